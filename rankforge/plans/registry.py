@@ -1,4 +1,15 @@
 """Registered queries and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import market_queries, page_queries, table_queries
+
+_MODULES = (market_queries, page_queries, table_queries)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_queries.ranked_pages(spark, sf_dir)
