@@ -77,12 +77,12 @@ def without_www(host: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """For citations: no fragment, host in lower case, one trailing slash less; else the trimmed lower case."""
+    """For citations: no fragment, host in lower case, one trailing slash of the path less (a bare root keeps its); else the trimmed lower case."""
     u = F.trim(url)
     m = r"^(?i)(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?"
-    path, query = F.regexp_extract(u, m, 3), F.regexp_extract(u, m, 4)
-    whole = F.concat(F.lower(F.regexp_extract(u, m, 1)), F.lit("://"), F.lower(F.regexp_extract(u, m, 2)), F.when(query == "", F.regexp_replace(path, r"/$", "")).otherwise(path), query)
-    return F.when(u.rlike(m), F.regexp_replace(whole, r"/$", "")).otherwise(F.lower(u))
+    path = F.regexp_replace(F.regexp_extract(u, m, 3), r"/$", "")
+    whole = F.concat(F.lower(F.regexp_extract(u, m, 1)), F.lit("://"), F.lower(F.regexp_extract(u, m, 2)), F.when(path == "", "/").otherwise(path), F.regexp_extract(u, m, 4))
+    return F.when(u.rlike(m), whole).otherwise(F.lower(u))
 
 
 def domain_root(host: Column, suffixes: Sequence[str] = ()) -> Column:

@@ -67,7 +67,7 @@ def local_presence(*inputs: Column) -> Column:
 def category_match(tags: Column, pairs: Column, business_type: Column) -> Column:
     """Null without tags or pairs; 0 if no pair fits (values split at ``;``); 1 if a word of the type is in a value; else 0.5."""
     values = F.transform(F.map_values(tags), F.lower)
-    fits = F.exists(pairs, lambda p: F.array_contains(F.transform(F.split(F.lower(F.coalesce(F.try_element_at(tags, p["key"]), F.lit(""))), ";"), F.trim), F.lower(p["value"])))
+    fits = F.exists(pairs, lambda p: F.array_contains(F.transform(F.split(F.lower(F.coalesce(F.try_element_at(tags, p["key"]), F.lit(""))), ";"), lambda v: F.trim(v)), F.lower(p["value"])))
     words = F.filter(F.split(F.lower(business_type), r"[^a-z0-9]+"), lambda w: F.length(w) >= 3)
     said = F.exists(words, lambda w: F.array_join(values, " ").contains(w))
     return F.when(tags.isNotNull() & (F.size(pairs) > 0), F.when(~fits, 0.0).when(said, 1.0).otherwise(0.5))

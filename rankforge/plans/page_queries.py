@@ -119,7 +119,7 @@ def normalize_name(spark, sf):
     return table(spark, sf, "documents").select("doc_id", signals.normalize_name(F.substring_index("text", "\n", 1)).alias("name"))
 
 
-@query(r"WITH u AS (SELECT page_id, trim(url) AS u FROM pages), m AS (SELECT page_id, lower(regexp_extract(u, '(?i)^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 1)) AS s, lower(regexp_extract(u, '(?i)^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 2)) AS h, regexp_extract(u, '(?i)^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 3) AS p, regexp_extract(u, '(?i)^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 4) AS q, u FROM u) SELECT page_id, CASE WHEN h = '' THEN lower(u) ELSE regexp_replace(s || '://' || h || CASE WHEN q = '' THEN regexp_replace(p, '/$', '') ELSE p END || q, '/$', '') END AS canonical FROM m")
+@query(r"WITH u AS (SELECT page_id, trim(url) AS u FROM pages), m AS (SELECT page_id, lower(regexp_extract(u, '(?i)^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 1)) AS s, lower(regexp_extract(u, '(?i)^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 2)) AS h, regexp_extract(u, '(?i)^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 3) AS p, regexp_extract(u, '(?i)^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 4) AS q, u FROM u) SELECT page_id, CASE WHEN h = '' THEN lower(u) ELSE s || '://' || h || CASE WHEN p IN ('', '/') THEN '/' ELSE regexp_replace(p, '/$', '') END || q END AS canonical FROM m")
 def canonical_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
 
