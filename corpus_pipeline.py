@@ -14,9 +14,9 @@ from rankforge.llm.common import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Fingerprints of 256 bits of five-word shingles. A pair of similarity 0.8 has an expected distance of 38.8 bits (an
-#: angle of acos(2 * 0.8 / 1.8)) with a deviation of 5.7; two of those more are still linked. Pairs at 39 bits share a
+#: angle of acos(2 * 0.8 / 1.8)) with a deviation of 5.7; three of those more are still linked. Pairs at 39 bits share a
 #: bucket of the 64 sampled tables with a chance of 0.999, at 50 bits of 0.94 (simhash.table_recall).
-SIMHASH = {"shingle": 5, "words": 4, "max_distance": 50, "sampled": 64, "width": 14}
+SIMHASH = {"shingle": 5, "words": 4, "max_distance": 56, "sampled": 64, "width": 14}
 #: Sources by a mild power of their tokens; nine tenths of all tokens stay.
 MIX = {"source": 0.8, "lang": 0.9, "topic": 1.0}
 KEEP_SHARE = 0.9
