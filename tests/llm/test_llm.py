@@ -382,3 +382,22 @@ def test_pipeline(spark, docs, tmp_path):
     kept = {r["doc_id"] for r in out}
     assert kept and not kept & {30, 31, 32, 33, 34, 35, 36, 37, 38}
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_licences(spark):
+    from rankforge.llm import licences as L
+
+    whole = " ".join(L.SENTENCES[k].capitalize() + "." for k in ("MitGrant", "MitNotice", "AsIs", "NoLiability"))
+    rows = [
+        (1, "Prose here.\nLicensed under the Apache License, Version 2.0."),
+        (2, whole + "\nReleased  under the MIT Licence!"),
+        (3, "All rights reserved. Licensed under CC BY-NC 4.0. All rights reserved."),
+        (4, "It is not licensed under the Apache License, Version 2.0."),
+        (5, None), (6, ""), (7, "The software is provided \"AS IS\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r["doc_id"]: (r["licences"], r["n_unmatched"]) for r in L.scan_licences(docs.union(docs)).collect()}
+    assert got == {1: ("Apache-2.0", 0), 2: ("MIT", 0), 3: ("Proprietary,CC-BY-NC-4.0", 0), 4: ("", 0), 5: ("", 0), 6: ("", 0), 7: ("", 1)}
+    assert L.scan_licences(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("*", "1 AS licences", "2 AS _ids")
+    assert L.scan_licences(clash).columns == ["doc_id", "sentence_ids", "licences", "n_unmatched"]
