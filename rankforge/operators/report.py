@@ -36,7 +36,10 @@ def highlights(ranked: DataFrame, signals: DataFrame, most: int = 5) -> DataFram
     """(market_id, place, id, signal): the first scored competitors with the first signal they have by category."""
     order = F.array_position(F.array(*[F.lit(s) for s in SIGNAL_ORDER]), F.col("category"))
     first = signals.withColumn("_o", order).where("_o > 0").groupBy("market_id", "id").agg(F.min_by("label", F.struct("_o", "label")).alias("signal"))
-    top = ranked.where("scored AND NOT is_user").withColumn("place", F.row_number().over(Window.partitionBy("market_id").orderBy(F.desc("final_score"), "id"))).where(F.col("place") <= most)
+    shown = F.col("scored") & ~F.col("is_user")
+    # filtered after the window: before it, the optimizer would copy the whole score expression into the filter
+    place = F.row_number().over(Window.partitionBy("market_id").orderBy(F.desc(shown), F.desc("final_score"), "id"))
+    top = ranked.withColumn("place", place).where((F.col("place") <= most) & shown)
     return top.join(first, ["market_id", "id"], "left").select("market_id", "place", "id", "signal")
 
 
