@@ -33,6 +33,7 @@ class Rule:
 DEFAULT_RULES = (
     Rule("symbols", "10 * n_symbols > n_words", "1"),
     Rule("dup_lines", "n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines", "1"),
+    Rule("stutter", "100 * n_stutter > 30 * n_words", "1"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 14 * n_words", "1"),
     Rule("few_letters", r"2 * regexp_count(text, '\\p{L}') < word_chars", "length(text)"),
 )
@@ -62,7 +63,7 @@ def _repeat_words(w: Column) -> Column:
 
 
 def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long) and base_failed.
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stutter (words equal to the one before) (long) and base_failed.
 
     A null text has no words. n_repeat_words: words inside 8-word windows that occur twice or more in the text,
     the first occurrence included; windows are compared by 64-bit hashes within one text. Everything stays in the
@@ -78,6 +79,7 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         lines.alias("_l"),
         F.coalesce(_let(F.col("_w"), _repeat_words), F.lit(0)).cast("long").alias("n_repeat_words"),
+        _let(F.col("_w"), lambda w: F.size(F.filter(w, lambda x, i: x.eqNullSafe(F.get(w, i - 1))))).cast("long").alias("n_stutter"),
     )
     q = q.select("*", F.col("_l")["n"].cast("long").alias("n_lines"), F.col("_l")["again"].cast("long").alias("n_dup_lines")).drop("_l")
     return q.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
@@ -109,7 +111,7 @@ def judge_quality(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = D
     Null and empty texts fail the base; rows repeat as they came; columns of ``docs`` named like a feature are
     replaced by the feature.
     """
-    made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept", "_w", "_l"}
+    made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter", "base_failed", "rejected_by", "kept", "_w", "_l"}
     q = quality_features(docs.select(*[c for c in docs.columns if c not in made]), text).withColumnRenamed(text, "text")
     ordered = plan_cascade(q, rules, sample_rows)
     q = q.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(cascade(ordered)))

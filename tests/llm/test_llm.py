@@ -31,6 +31,7 @@ def texts():
     out[36] = "\n".join(["same line here again"] * 9)
     out[37] = " ".join(words(rng, 9) * 12)
     out[38] = " ".join("x#%$" for _ in range(40))
+    out[45] = " ".join(w for w in words(rng, 12) for _ in range(5))
     out[39] = "Über straße 日本語 🙂 a  b\n \nc " * 4
     out[40] = " ".join(words(rng, 5000, 400))
     passage = words(rng, 80)
@@ -64,7 +65,7 @@ def test_quality_features(docs, texts):
         r = got[k]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
         assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
-    assert not got[38]["kept"] and got[0]["kept"] and not got[32]["kept"]
+    assert not got[38]["kept"] and not got[45]["kept"] and got[0]["kept"] and not got[32]["kept"]
 
 
 def test_quality_order_keeps_the_verdict(spark, docs):
@@ -380,7 +381,7 @@ def test_pipeline(spark, docs, tmp_path):
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     kept = {r["doc_id"] for r in out}
-    assert kept and not kept & {30, 31, 32, 33, 34, 35, 36, 37, 38}
+    assert kept and not kept & {30, 31, 32, 33, 34, 35, 36, 37, 38, 45}
     assert len(corpus_pipeline.STAGES) == 5
 
 
