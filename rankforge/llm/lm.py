@@ -24,8 +24,8 @@ from .keyed import bucket_bits, bucket_slices, chunks, mix, token_hashes
 
 #: No word, since words hold no space.
 END, START = b" end", np.uint64(0x5374617274)
-#: Weight of the lower order, in counts.
-MU = 20.0
+#: Weight of the lower order, in counts. The likelihood of held-out texts is flat from 200 to 500 on the given documents.
+MU = 300.0
 
 
 def ngram_keys(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
