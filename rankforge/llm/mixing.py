@@ -91,16 +91,26 @@ def budget_scale(tokens: np.ndarray, weight: np.ndarray, share: float) -> float:
     return hi
 
 
-def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], keep_share: float = 0.5, id_col: str = "doc_id", text: str = "text", topics: Mapping[str, str] = TOPICS, seed: int = 17, max_cells: int = 100_000) -> DataFrame:
+def add_features(docs: DataFrame, text: str = "text", topics: Mapping[str, str] = TOPICS) -> DataFrame:
+    """``docs`` with topic and n_tokens (words of the whole text; null: none), in place of columns of these names."""
+    kept = docs.select(*[c for c in docs.columns if c not in ("topic", "n_tokens")])
+    return kept.withColumns({"topic": topic_of(F.col(text), topics), "n_tokens": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")})
+
+
+def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], keep_share: float = 0.5, id_col: str = "doc_id", text: str | None = "text", topics: Mapping[str, str] = TOPICS, seed: int = 17, max_cells: int = 100_000) -> DataFrame:
     """``docs`` (without columns of these names) with topic, n_tokens, weight, probability and selected.
 
+    With ``text=None`` the rows have topic and n_tokens already (add_features, written to a table), so that whole texts
+    are scanned once and not for the counts and for the result.
+
     Null sources and languages are categories of their own, named empty. A text without words has no tokens, and the
     probability of its cell, or ``keep_share`` if no document of the cell has any. Selection compares a hash of the id with
     the probability: the same for repeated rows of an id and in every run. More than ``max_cells`` cells raise an error; none is left out.
     """
-    made = ("topic", "n_tokens", "weight", "probability", "selected", "_source", "_lang")
+    made = ("weight", "probability", "selected", "_source", "_lang")
     rows = docs.select(*[c for c in docs.columns if c not in made])
-    rows = rows.withColumns({"topic": topic_of(F.col(text), topics), "n_tokens": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"), "_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit(""))})
+    rows = rows if text is None else add_features(rows, text, topics)
+    rows = rows.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit(""))})
     dims = ("_source", "_lang", "topic")
     cells = rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     named = {{"source": "_source", "lang": "_lang"}.get(k, k): v for k, v in targets.items()}

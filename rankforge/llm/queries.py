@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, licences, lm, mixing, packing, passages, quality, sharding, simhash, urls
-from .common import table
+from .common import materialize, table
 
 #: Vocabulary of op9 and of the pipeline's packing, by name in the folder of public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -34,7 +34,8 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), MIX_TARGETS)
+    docs = mixing.add_features(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens")
+    mixed = mixing.mix_sources(materialize(docs, "features"), MIX_TARGETS, text=None)
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
 
 
