@@ -85,15 +85,20 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
     return q.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def plan_cascade(featured: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, sample_rows: int = 2000) -> list[Rule]:
-    """The rules by rejection per cost on at most ``sample_rows`` rows (a bounded sample decides the order only)."""
+def plan_cascade(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = DEFAULT_RULES, sample_rows: int = 500) -> list[Rule]:
+    """The rules by rejection per cost on the first ``sample_rows`` texts that Spark comes to.
+
+    take() reads a few partitions only, however many there are; the bounded sample decides the order and no verdict.
+    """
     rules = list(rules)
-    if len(rules) < 2:
+    sample = docs.select(F.col(text).alias("text")).where("text IS NOT NULL").take(sample_rows)
+    if len(rules) < 2 or not sample:
         return rules
-    got = featured.limit(sample_rows).where("NOT base_failed").agg(*[x for k, r in enumerate(rules) for x in (F.avg(F.expr(f"CASE WHEN {r.reject} THEN 1.0D ELSE 0.0D END")).alias(f"r{k}"), F.avg(F.expr(f"double({r.cost})")).alias(f"c{k}"))]).first()
-    gain = {r.name: (got[f"r{k}"] or 0.0) / max(got[f"c{k}"] or 0.0, 1e-9) for k, r in enumerate(rules)}
-    cheap = {r.name: got[f"c{k}"] or 0.0 for k, r in enumerate(rules)}
-    return sorted(rules, key=lambda r: (-gain[r.name], cheap[r.name], r.name))
+    featured = quality_features(docs.sparkSession.createDataFrame(sample, "text string"))
+    got = featured.agg(*[x for k, r in enumerate(rules) for x in (F.avg(F.when(~F.col("base_failed"), F.expr(f"CASE WHEN {r.reject} THEN 1.0D ELSE 0.0D END"))).alias(f"r{k}"), F.avg(F.expr(f"double({r.cost})")).alias(f"c{k}"))]).first()
+    cost = {r.name: got[f"c{k}"] or 0.0 for k, r in enumerate(rules)}
+    gain = {r.name: (got[f"r{k}"] or 0.0) / max(cost[r.name], 1e-9) for k, r in enumerate(rules)}
+    return sorted(rules, key=lambda r: (-gain[r.name], cost[r.name], r.name))
 
 
 def cascade(rules: Sequence[Rule]) -> Column:
@@ -105,7 +110,7 @@ def cascade(rules: Sequence[Rule]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def judge_quality(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = DEFAULT_RULES, sample_rows: int = 2000) -> DataFrame:
+def judge_quality(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = DEFAULT_RULES, sample_rows: int = 500) -> DataFrame:
     """Features, base_failed, rejected_by (first rule of the cascade that hit; ``base`` for the base) and kept.
 
     Null and empty texts fail the base; rows repeat as they came; columns of ``docs`` named like a feature are
@@ -113,6 +118,6 @@ def judge_quality(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = D
     """
     made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter", "base_failed", "rejected_by", "kept", "_w", "_l"}
     q = quality_features(docs.select(*[c for c in docs.columns if c not in made]), text).withColumnRenamed(text, "text")
-    ordered = plan_cascade(q, rules, sample_rows)
+    ordered = plan_cascade(docs, text, rules, sample_rows)
     q = q.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(cascade(ordered)))
     return q.withColumn("kept", F.col("rejected_by").isNull()).withColumnRenamed("text", text)

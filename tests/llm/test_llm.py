@@ -74,7 +74,7 @@ def test_quality_order_keeps_the_verdict(spark, docs):
     b = {(r["doc_id"], r["kept"]) for r in quality.judge_quality(docs, rules=rules[::-1], sample_rows=3).collect()}
     assert a == b
     cheap = [quality.Rule("dear", "n_words > 0", "100"), quality.Rule("cheap", "n_words > 0", "1")]
-    assert [r.name for r in quality.plan_cascade(quality.quality_features(docs), cheap)] == ["cheap", "dear"]
+    assert [r.name for r in quality.plan_cascade(docs, rules=cheap)] == ["cheap", "dear"]
     assert quality.judge_quality(empty(spark)).count() == 0
     clash = docs.selectExpr("*", "1 AS n_words", "'x' AS kept")
     assert quality.judge_quality(clash).where("kept").count() == quality.judge_quality(docs).where("kept").count()
