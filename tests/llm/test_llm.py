@@ -354,6 +354,21 @@ def test_chain_is_the_best_chain():
         assert score == pytest.approx(best.max())
 
 
+def test_a_long_block_does_not_hide_nearer_ones():
+    blocks = np.array([(0, 0, 300), (400, 400, 20), (425, 428, 20)])
+    assert sorted(passages.chain(blocks)) == [[0], [1, 2]]
+    rng = random.Random(3)
+    for _ in range(60):
+        blocks = np.array(sorted({(rng.randrange(0, 200), rng.randrange(0, 200), rng.randrange(3, 30)) for _ in range(9)}))
+        gap = lambda j, i: (blocks[i, :2] - blocks[j, :2] - blocks[j, 2]).tolist()
+        best = np.zeros(len(blocks))
+        for i in range(len(blocks)):
+            near = [best[j] - passages.GAP_COST * sum(gap(j, i)) for j in range(i) if min(gap(j, i)) >= 0 and max(gap(j, i)) <= passages.MAX_GAP]
+            best[i] = blocks[i, 2] + max([0, *near])
+        top = passages.chain(blocks)[0]
+        assert sum(blocks[i, 2] for i in top) - sum(passages.GAP_COST * sum(gap(a, b)) for a, b in zip(top, top[1:], strict=False)) == pytest.approx(best.max())
+
+
 def test_urls(spark):
     page = lambda link: f'<html><head><link rel="canonical" href="{link}"></head></html>'
     rows = [
