@@ -340,6 +340,42 @@ def test_passages(spark, docs, texts):
     assert left[30].strip() == "" and left[0] == texts[0] and left[32] is None
 
 
+def test_passages_whose_parts_are_scattered(spark):
+    rng = random.Random(21)
+    line, other = words(rng, 50, 100000), lambda n: words(rng, n, 100000)
+    rows = {1: other(30) + line[:30] + other(30), 2: other(20) + line[24:] + other(40), 8: other(35) + line + other(30), 9: other(60) + line + other(10), 11: other(9) + line[5:45] + other(9)}
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["src_doc_id"]): (r["start_word"], r["end_word"]) for r in passages.repeated_passages(docs).collect()}
+    assert got == {(9, 8): (60, 110), (11, 8): (9, 49)}
+    long = spark.createDataFrame([(1, " ".join(other(100))), (2, " ".join(other(100)))], "doc_id long, text string")
+    assert passages.repeated_passages(long).count() == 0
+    short = spark.createDataFrame([(1, " ".join(line[:20])), (2, " ".join(line[:20]))], "doc_id long, text string")
+    assert passages.repeated_passages(short).count() == 0
+
+
+def test_exact_runs_against_brute_force(spark):
+    rng = random.Random(22)
+    pool = [words(rng, n, 100000) for n in (60, 45, 40, 90, 200)]
+    rows = {}
+    for k in range(40):
+        w = words(rng, 15, 100000)
+        for _ in range(4):
+            p = rng.choice(pool)
+            a = rng.randrange(0, len(p) - 10)
+            w += p[a : a + rng.randrange(10, 70)] + words(rng, rng.randrange(1, 12), 100000)
+        rows[k] = w
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], "doc_id long, text string").repartition(4)
+    hit = defaultdict(set)
+    for r in passages.repeated_passages(docs).collect():
+        hit[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    seen = set()
+    for k, w in rows.items():
+        runs = [tuple(w[a : a + 40]) for a in range(len(w) - 39)]
+        for a, run in enumerate(runs):
+            assert run not in seen or set(range(a, a + 40)) <= hit[k]
+        seen |= set(runs)
+
+
 def test_chain_is_the_best_chain():
     rng = random.Random(8)
     for _ in range(60):
