@@ -110,15 +110,31 @@ def reshard(docs: DataFrame, old_shard: str, shards: int = 40, capacities: dict[
     return rows.select(id_col, "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("within") - 1).cast("long").alias("slot"))
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", old_shard: str | None = None) -> DataFrame:
     """Writes the shards that gain or lose rows under ``path`` (a folder a shard, rows by slot) and returns their numbers.
 
-    Ids must be unique. Shards whose rows all stay keep their files; a shard that only exists in the old layout is
-    emptied by its rows' new shards.
+    Shards whose rows all stay keep their files, and the folder of a shard that has lost all rows is deleted. Rows are
+    found again by id, size and checksum of the text and a number among those that are equal in all three, so null and
+    repeated ids keep all their rows; ``old_shard`` (the expression given to ``reshard``) also tells apart equal texts of
+    one id whose other columns differ. ``docs`` may be read from ``path``.
     """
+    spark = docs.sparkSession
     moved = placed.where("old_shard <> shard")
-    touched = moved.select(F.col("shard")).union(moved.select(F.col("old_shard"))).distinct()
-    rows = placed.join(touched, "shard", "left_semi").select(id_col, "shard", "slot")
-    full = rows.join(docs.drop("shard", "slot"), id_col)
-    (full.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path))
+    touched = materialize(moved.select(F.col("shard")).union(moved.select(F.col("old_shard"))).distinct(), "touched")
+    t = F.coalesce(F.col(text), F.lit(""))
+    key = {"_id": F.col(id_col).cast("long"), "_size": (F.octet_length(t) + 16).cast("long"), "_crc": F.crc32(t).cast("long"), "_old": F.coalesce(F.expr(old_shard).cast("int"), F.lit(-1)) if old_shard else F.lit(0)}
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    whole = docs.withColumns(key).drop("shard", "slot")
+    whole = whole.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*columns))))
+    rows = placed.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), (F.col("old_shard") if old_shard else F.lit(0)).alias("_old"), "shard", "slot")
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot"))).join(touched, "shard", "left_semi")
+    same = [whole[c].eqNullSafe(rows[c]) for c in (*key, "_n")]
+    full = materialize(whole.join(rows, same).select(*[whole[c] for c in columns], rows["shard"], rows["slot"]), "rewritten")
+    ordered = full.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    left = touched.join(placed.select("shard").distinct(), "shard", "left_anti").collect()  # at most a row an old shard
+    for r in left:
+        for name in (str(r["shard"]), *(["__HIVE_DEFAULT_PARTITION__"] if r["shard"] == -1 else [])):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={name}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return touched

@@ -237,6 +237,23 @@ def test_rewrite_touches_only_shards_that_change(spark, docs, tmp_path):
     assert back.count() == placed.where(placed["shard"].isin(*touched)).count()
 
 
+def test_rewrite_of_the_present_layout(spark, tmp_path):
+    path = str(tmp_path / "layout")
+    old = [(k, f"{k:03d}" + "x" * 81, 0) for k in range(10)] + [(k, f"{k:03d}" + "y" * 81, 1) for k in range(20, 36)] + [(None, "n" * 84, 2), (None, "m" * 84, 2), (50, "p" * 84, 2), (50, "p" * 84, 2), (50, "q" * 84, 2)] + [(60, "z" * 84, 3)]
+    spark.createDataFrame(old, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(path)
+    files = lambda n: sorted(p.name for p in (tmp_path / "layout" / f"shard={n}").glob("*.parquet"))
+    kept = files(0)
+    now = spark.read.parquet(path)
+    placed = sharding.reshard(now, "shard", capacities={0: 1000, 1: 1200, 2: 1000})
+    touched = {r["shard"] for r in sharding.rewrite_affected(now, placed, path, old_shard="shard").collect()}
+    assert 0 not in touched and {1, 2, 3} == touched and files(0) == kept and not files(3)
+    spark.catalog.refreshByPath(path)
+    back = spark.read.parquet(path)
+    want = Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in placed.collect())
+    assert Counter((r["doc_id"], zlib.crc32(r["text"].encode()), r["shard"]) for r in back.collect()) == want
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((k, t) for k, t, _ in old)
+
+
 def test_backoff_automaton(docs, texts):
     got = {r["doc_id"]: r for r in lm.score_texts(docs, order=3, mu=2.0).collect()}
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts}
