@@ -17,6 +17,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: angle of acos(2 * 0.8 / 1.8)) with a deviation of 5.7; three of those more are still linked. Pairs at 39 bits share a
 #: bucket of the 64 sampled tables with a chance of 0.999, at 50 bits of 0.94 (simhash.table_recall).
 SIMHASH = {"shingle": 5, "words": 4, "max_distance": 56, "sampled": 64, "width": 14}
+#: Candidates within max_distance are linked only if the Jaccard similarity of their shingles is this or more.
+SIMILARITY = 0.8
 #: Sources by a mild power of their tokens; nine tenths of all tokens stay.
 MIX = {"source": 0.8, "lang": 0.9, "topic": 1.0}
 KEEP_SHARE = 0.9
@@ -28,7 +30,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group; rows with a null id stay."""
-    groups = simhash.near_duplicates(docs.dropDuplicates(["doc_id"]), **SIMHASH)
+    groups = simhash.near_duplicates(docs.dropDuplicates(["doc_id"]), **SIMHASH, min_similarity=SIMILARITY)
     kept = groups.where("doc_id = component_id").select("doc_id")
     one = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     return one.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))

@@ -35,20 +35,31 @@ def _mix(h: np.ndarray, j: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int, words: int = 1) -> bytes:
-    """Big-endian SimHash of 64 * words bits; a bit is 1 if set in over half the shingle hashes."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hash of each run of ``shingle`` words; of all words if there are fewer, none without words."""
     found = words_of(text)
     if not found:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     flat = b" ".join(found)
     if len(found) < shingle:
-        hashes = [xxhash.xxh64_intdigest(flat, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-        starts = [0, *ends[:-shingle].tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(flat[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    h = np.array(hashes, np.uint64)
+        return np.array([xxhash.xxh64_intdigest(flat, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = [0, *ends[:-shingle].tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(flat[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingle hashes, sorted and distinct; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def fingerprint(text: str | None, shingle: int, words: int = 1) -> bytes:
+    """Big-endian SimHash of 64 * words bits; a bit is 1 if set in over half the shingle hashes."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return bytes(8 * words)
     out = []
     for j in range(words):
         w = h if not j else _mix(h, j)
@@ -70,6 +81,19 @@ def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, fp binary")
 
 
+def _add_digests(rows: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(id, fp, sig) of (id, t): with the fingerprint a 128-bit digest of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            fps = [fingerprint(t, shingle, words) for t in texts]
+            sigs = [xxhash.xxh3_128_digest(b" ".join(words_of(t)), SEED) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())], ["id", "fp", "sig"])
+
+    return rows.mapInArrow(run, "id long, fp binary, sig binary")
+
+
 def bit_tables(bits: int, max_distance: int, sampled: int = 0, width: int = 16) -> list[tuple[int, ...]]:
     """Bit positions of each table: pigeonhole blocks, or ``sampled`` seeded random sets of ``width`` positions."""
     if sampled:
@@ -194,13 +218,52 @@ def link_fingerprints(fps: DataFrame, n: int, max_distance: int, words: int = 1,
     return rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block").mapInArrow(link, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, max_distance: int = 4, words: int = 1, sampled: int = 0, width: int = 16) -> DataFrame:
+def similar_links(nodes: DataFrame, texts: DataFrame, min_similarity: float, shingle: int, max_distance: int, words: int = 1, sampled: int = 0, width: int = 16) -> DataFrame:
+    """Links (src, dst) between nodes (id, fp) whose texts (id, t) have that Jaccard similarity of their shingles or more.
+
+    The spanning edges of the fingerprints are candidates, so copies never make all pairs. Each is verified on the
+    whole texts. Nodes that a failed candidate led to are tried again, by the smallest node of what is linked so far,
+    until a round links nothing new.
+    """
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+            ok = [similarity(*(np.unique(shingle_hashes(t, shingle)) for t in pair)) >= min_similarity for pair in pairs]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["src", "dst", "ok"])
+
+    links, now = None, nodes
+    while True:
+        pairs = link_fingerprints(now, now.count(), max_distance, words, sampled, width).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        pairs = materialize(pairs, "candidates")
+        full = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
+        judged = materialize(full.mapInArrow(judge, "src long, dst long, ok boolean"), "judged")
+        good, failed = judged.where("ok").select("src", "dst"), judged.where("NOT ok")
+        links = good if links is None else links.union(good)
+        if good.isEmpty() or failed.isEmpty():
+            return links
+        groups = connected_components(links)
+        ends = failed.select("src").union(failed.select("dst")).distinct()
+        again = ends.join(groups, ends["src"] == groups["node"], "left").select(F.coalesce("component", "src").alias("id")).distinct()
+        now = materialize(nodes.join(again, "id", "left_semi"), "nodes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, max_distance: int = 4, words: int = 1, sampled: int = 0, width: int = 16, min_similarity: float | None = None) -> DataFrame:
     """(id, fingerprint hex, component_id): the smallest id reachable by links of at most ``max_distance`` bits.
 
     Texts without words have fingerprint zero and link like any other. A null id gets its fingerprint and a null
     component and links nothing. Repeated rows stay repeated. Equal fingerprints are one node, so copies never
-    make pairs; an empty table gives no rows.
+    make pairs; an empty table gives no rows. With ``min_similarity`` (ids must then be unique) only texts of that Jaccard
+    similarity of their shingles are linked, and equal fingerprints of unlike texts are not.
     """
+    if min_similarity is not None:
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
+        marked = materialize(_add_digests(rows, shingle, words), "fingerprints")
+        nodes = materialize(marked.where("id IS NOT NULL").groupBy("fp", "sig").agg(F.min("id").alias("id")), "nodes")
+        groups = connected_components(similar_links(nodes.select("id", "fp"), rows, min_similarity, shingle, max_distance, words, sampled, width))
+        of = nodes.join(groups, nodes["id"] == groups["node"], "left").select("fp", "sig", F.coalesce("component", "id").alias("component_id"))
+        out = marked.join(of, ["fp", "sig"], "left")
+        return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     marked = materialize(add_fingerprints(docs, id_col, text, shingle, words), "fingerprints")
     nodes = materialize(marked.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id")), "nodes")
     edges = link_fingerprints(nodes.select("id", "fp"), nodes.count(), max_distance, words, sampled, width)

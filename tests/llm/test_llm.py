@@ -113,6 +113,22 @@ def test_simhash_brute_force(spark, docs, texts):
     assert lone["component_id"] is None and lone["fingerprint"]
 
 
+def test_pipeline_links_by_shingle_similarity(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    rows, want = [], set()
+    for k, j in enumerate([0.6, 0.65, 0.7, 0.75, 0.79, 0.82, 0.85, 0.9, 0.95] * 3):
+        base, same = words(rng, 404, 100000), round(800 * j / (1 + j))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: same + 4] + words(rng, 400 - same, 100000)))]
+        want |= {2 * k} | ({2 * k + 1} if j < 0.8 else set())
+    rows += [(100, "x " * 300 + " ".join(words(rng, 100, 100000))), (101, "x " * 300 + " ".join(words(rng, 100, 100000)))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    assert want | {100, 101} == kept == {k for k in sets if not any(len(sets[k] & sets[i]) >= 0.8 * len(sets[k] | sets[i]) for i in sets if i < k)}
+
+
 def test_links_are_whole_in_hot_buckets(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = int(rng.integers(0, 2**63))
