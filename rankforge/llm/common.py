@@ -14,6 +14,8 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _own_dir: list[str] = []
+#: Tables written so far; ``drop_tables`` takes from this list.
+made: list[str] = []
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -26,43 +28,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Only local mode, as in tests, may go without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-shared-"))
     return _own_dir[0]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends and every reader sees the same rows."""
+    """Write ``df`` to the shared folder and read it back: lineage ends and every reader sees the same rows.
+
+    The table stays until ``drop_tables`` (its rows may be read long after this call).
+    """
     path = f"{shared_dir(df.sparkSession)}/rankforge/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
+    made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables that no frame in use reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    made[:] = [p for p in made if p not in set(paths)]
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, count: str, spread: str, total: int) -> DataFrame:
+    """``left`` joined by ``key`` with ``right``, which has one row a key and in ``count`` the key's rows in ``left``.
+
+    A key of more than ``total / 1000`` rows (1000 at least) is dealt over several tasks by a hash of ``spread``, and its
+    row of ``right`` is repeated for each. There can be no more than 1000 such keys, so their list may be broadcast.
+    """
+    limit = max(1000, total // 1000)
+    parts = F.ceil(F.col(count) / limit).cast("int")
+    hot = right.where(F.col(count) > limit).select(key, parts.alias("_parts"))
+    left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    right = right.select("*", F.explode(F.when(F.col(count) > limit, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))).alias("_salt")).drop(count)
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of every node that has an edge to another one; the component is its smallest node.
 
     Alternates large-star and small-star rounds (each links nodes to the smallest neighbour) until no edge
-    changes, which takes about log(n) rounds. Minima are aggregated map-side and joined back, so that a hub
-    with a third of all edges is a skewed join side, which AQE splits, and never a collected group.
-    Null ends and self-loops are no edges.
+    changes, which takes about log(n) rounds. Minima are aggregated map-side and joined back by salted keys, so a
+    hub with a third of all edges is dealt over many tasks and is never a collected group. Each round is written and
+    the one before it deleted. Null ends and self-loops are no edges.
     """
+    spark = edges.sparkSession
     now = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
     now = materialize(now.distinct(), "edges")
-    before = None
+    before, path = None, made[-1]
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before or seen[0] == 0:
             break
         before = seen
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = salted_join(both, low, "u", "n", "v", 2 * seen[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = salted_join(large, low, "a", "n", "b", 2 * seen[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop_tables(spark, [path])
+        path = made[-1]
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

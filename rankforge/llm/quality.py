@@ -1,12 +1,14 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Rules are reject predicates over the features below. On a sample the cost of a rule (work units a row) and its
-rejection rate are estimated; the cascade then tests rules by rejection per cost, the best first, and later rules
-are not evaluated for a row that an earlier one rejects. The order changes the work, never the verdict.
+Each rule is a reject predicate over a text, its words and its lines, and computes what it needs itself. On a bounded
+sample every rule is timed and its verdicts are recorded; the cascade takes next the rule that rejects most of the rows
+that the rules before it leave, per second. A row stops at its first rejection, so what later rules would count is
+never computed for it. The order changes the work, never the verdict.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -20,22 +22,37 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 
 
+@dataclass(frozen=True)
+class Parts:
+    """What rules read: the whole text, its words, its lines that hold a word, and the counts of the base."""
+
+    text: Column
+    words: Column
+    lines: Column
+    base: Column
+
+
 @dataclass(frozen=True)
 class Rule:
-    """reject: SQL predicate over the feature columns and ``text``; cost: SQL expression, work units of testing a row."""
+    """reject: the rows to reject, from a text's Parts."""
 
     name: str
-    reject: str
-    cost: str
+    reject: Callable[[Parts], Column]
 
 
-#: Cost units: 1 for a comparison of ready features, and the characters that a pattern has to scan.
+def _share(hits: Column, of: Column, percent: int) -> Column:
+    return 100 * hits > percent * of
+
+
+#: Shares in whole numbers, so that every engine agrees.
 DEFAULT_RULES = (
-    Rule("symbols", "10 * n_symbols > n_words", "1"),
-    Rule("dup_lines", "n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines", "1"),
-    Rule("stutter", "100 * n_stutter > 30 * n_words", "1"),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 14 * n_words", "1"),
-    Rule("few_letters", r"2 * regexp_count(text, '\\p{L}') < word_chars", "length(text)"),
+    Rule("symbols", lambda p: _share(p.base["n_symbols"], p.base["n_words"], 10)),
+    Rule("word_length", lambda p: (p.base["word_chars"] < 2 * p.base["n_words"]) | (p.base["word_chars"] > 14 * p.base["n_words"])),
+    Rule("dup_lines", lambda p: (F.size(p.lines) >= 4) & _share(p.base["n_dup_lines"], F.size(p.lines), 40)),
+    Rule("bullets", lambda p: (F.size(p.lines) >= 5) & _share(F.size(F.filter(p.lines, lambda x: x.rlike(r"^[ \t]*[-*•]"))), F.size(p.lines), 90)),
+    Rule("ellipses", lambda p: (F.size(p.lines) >= 5) & _share(F.size(F.filter(p.lines, lambda x: x.rlike(r"(\.\.\.|…)[ \t\r]*$"))), F.size(p.lines), 50)),
+    Rule("stutter", lambda p: _share(F.size(F.filter(p.words, lambda x, i: x.eqNullSafe(F.get(p.words, i - 1)))), p.base["n_words"], 30)),
+    Rule("few_letters", lambda p: 2 * F.regexp_count(p.text, F.lit(r"\p{L}")) < p.base["word_chars"]),
 )
 
 
@@ -62,62 +79,94 @@ def _repeat_words(w: Column) -> Column:
     return F.when(F.size(w) > WINDOW, _let(hashes, of_hashes))
 
 
-def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stutter (words equal to the one before) (long) and base_failed.
-
-    A null text has no words. n_repeat_words: words inside 8-word windows that occur twice or more in the text,
-    the first occurrence included; windows are compared by 64-bit hashes within one text. Everything stays in the
-    row: no shuffle, so a text repeated by a third of all rows costs as much as any other.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
-    q = docs.withColumn("_w", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
-    lines = _let(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(NOT_SPACE)), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("again")))
-    q = q.select(
-        *docs.columns,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+def _base(t: Column, w: Column, lines: Column) -> Column:
+    """The counts that the base and the output need of every row."""
+    return F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        lines.alias("_l"),
-        F.coalesce(_let(F.col("_w"), _repeat_words), F.lit(0)).cast("long").alias("n_repeat_words"),
-        _let(F.col("_w"), lambda w: F.size(F.filter(w, lambda x, i: x.eqNullSafe(F.get(w, i - 1))))).cast("long").alias("n_stutter"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.coalesce(_repeat_words(w), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
-    q = q.select("*", F.col("_l")["n"].cast("long").alias("n_lines"), F.col("_l")["again"].cast("long").alias("n_dup_lines")).drop("_l")
-    return q.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def plan_cascade(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = DEFAULT_RULES, sample_rows: int = 500) -> list[Rule]:
-    """The rules by rejection per cost on the first ``sample_rows`` texts that Spark comes to.
+def _judged(text: Column, use: Callable[[Parts], Column]) -> Column:
+    """``use`` of the parts of a text, each computed once; a null text is empty."""
+    t = F.coalesce(text, F.lit(""))
+    words, lines = F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), F.filter(F.split(t, "\n", -1), lambda x: x.rlike(NOT_SPACE))
+    return _let(words, lambda w: _let(lines, lambda x: _let(_base(t, w, x), lambda b: use(Parts(t, w, x, b)))))
 
-    take() reads a few partitions only, however many there are; the bounded sample decides the order and no verdict.
+
+def _base_failed(b: Column) -> Column:
+    return (b["n_words"] < 20) | (100 * b["n_repeat_words"] > 30 * b["n_words"])
+
+
+def greedy_order(costs: Sequence[float], hits: Sequence[tuple[tuple[bool, ...], int]]) -> list[int]:
+    """Numbers of the rules, each next one with most rejections of what is left per cost; hits: (verdicts of the rules, rows)."""
+    left, order = list(hits), []
+    while len(order) < len(costs):
+        free = [k for k in range(len(costs)) if k not in order]
+        best = max(free, key=lambda k: (sum(n for v, n in left if v[k]) / costs[k], -costs[k], -k))
+        order.append(best)
+        left = [(v, n) for v, n in left if not v[best]]
+    return order
+
+
+def plan_cascade(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = DEFAULT_RULES, sample_rows: int = 500, repeats: int = 5) -> list[Rule]:
+    """The rules by rejection per cost, from at most ``sample_rows`` texts.
+
+    A twentieth of the rows is read until there are enough (the first rows where the table is too small for that), so
+    a few partitions are read however many there are. A rule's cost is the time of judging the sample with it alone
+    less that of a comparison, each run once to compile and then timed; a clock that sees no difference gives a floor.
     """
-    rules = list(rules)
-    sample = docs.select(F.col(text).alias("text")).where("text IS NOT NULL").take(sample_rows)
+    rules, spark = list(rules), docs.sparkSession
+    texts = docs.select(F.col(text).alias("t")).where(F.col(text).isNotNull())
+    sample = texts.sample(0.05, seed=1).take(sample_rows) if len(rules) > 1 else []
+    if len(rules) > 1 and len(sample) < sample_rows:
+        sample = texts.take(sample_rows)
     if len(rules) < 2 or not sample:
         return rules
-    featured = quality_features(docs.sparkSession.createDataFrame(sample, "text string"))
-    got = featured.agg(*[x for k, r in enumerate(rules) for x in (F.avg(F.when(~F.col("base_failed"), F.expr(f"CASE WHEN {r.reject} THEN 1.0D ELSE 0.0D END"))).alias(f"r{k}"), F.avg(F.expr(f"double({r.cost})")).alias(f"c{k}"))]).first()
-    cost = {r.name: got[f"c{k}"] or 0.0 for k, r in enumerate(rules)}
-    gain = {r.name: (got[f"r{k}"] or 0.0) / max(cost[r.name], 1e-9) for k, r in enumerate(rules)}
-    return sorted(rules, key=lambda r: (-gain[r.name], cost[r.name], r.name))
-
-
-def cascade(rules: Sequence[Rule]) -> Column:
+    parts = lambda p: F.struct(p.text.alias("t"), p.words.alias("w"), p.lines.alias("l"), p.base.alias("b"))
+    held = spark.createDataFrame(sample, "t string").coalesce(1).select(_judged(F.col("t"), parts).alias("p")).select("p.*").cache()
+    own = Parts(*[F.col(c) for c in "twlb"])
+    flags = [F.coalesce(r.reject(own), F.lit(False)) for r in rules]
+    hits = [(tuple(r["v"]), r["count"]) for r in held.where(~_base_failed(own.base)).groupBy(F.array(*flags).alias("v")).count().collect()]
+
+    def seconds(flag: Column) -> float:
+        run = held.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).agg(F.count_if(flag))
+        run.collect()
+        began = time.perf_counter()
+        run.collect()
+        return time.perf_counter() - began
+
+    idle = seconds(own.base["n_words"] < 0)
+    costs = [max(seconds(f) - idle, 1e-3) / repeats for f in flags]
+    held.unpersist()
+    return [rules[k] for k in greedy_order(costs, hits)]
+
+
+def cascade(rules: Sequence[Rule], p: Parts) -> Column:
     """Name of the first rule that rejects the row, else null; CASE stops at the first hit."""
     out = None
     for r in rules:
-        hit = F.expr(r.reject)
+        hit = r.reject(p)
         out = F.when(hit, r.name) if out is None else out.when(hit, r.name)
     return F.lit(None).cast("string") if out is None else out
 
 
 def judge_quality(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = DEFAULT_RULES, sample_rows: int = 500) -> DataFrame:
-    """Features, base_failed, rejected_by (first rule of the cascade that hit; ``base`` for the base) and kept.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by and kept.
 
-    Null and empty texts fail the base; rows repeat as they came; columns of ``docs`` named like a feature are
-    replaced by the feature.
+    n_repeat_words: words inside 8-word windows that occur twice or more in the text, the first occurrence included;
+    windows are compared by 64-bit hashes within one text. rejected_by: ``base``, or the rule of the cascade that hit
+    first. Null and empty texts have no words and fail the base. Everything stays in the row: repeated rows repeat, a
+    very long text is one row, and no key is shuffled. Columns of ``docs`` named like a result are replaced by it.
+    An empty table gives no rows.
     """
-    made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter", "base_failed", "rejected_by", "kept", "_w", "_l"}
-    q = quality_features(docs.select(*[c for c in docs.columns if c not in made]), text).withColumnRenamed(text, "text")
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept", "_q"} - {text}
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in made]
     ordered = plan_cascade(docs, text, rules, sample_rows)
-    q = q.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(cascade(ordered)))
-    return q.withColumn("kept", F.col("rejected_by").isNull()).withColumnRenamed("text", text)
+    verdict = lambda p: F.struct(p.base.alias("b"), F.when(_base_failed(p.base), "base").otherwise(cascade(ordered, p)).alias("by"))
+    q = docs.select(*kept, _judged(F.col(f"`{text}`"), verdict).alias("_q"))
+    counts = [F.col(f"_q.b.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return q.select(*kept, *counts, F.col("_q.by").eqNullSafe("base").alias("base_failed"), F.col("_q.by").alias("rejected_by"), F.col("_q.by").isNull().alias("kept"))
