@@ -31,7 +31,7 @@ def bucket_bits(docs: DataFrame, text: str) -> int:
     return max(5, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], list[str]]]:
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[int | None], list[str]]]:
     """(chunk, ids, texts) of a task's rows (id, text) in their order; numbers are unique over all tasks."""
     number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
     for b in batches:
@@ -40,7 +40,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int |
             ids.append(i)
             texts.append(t)
             size += len(t)
-            if size >= CHUNK_BYTES:
+            if size >= limit:
                 yield number, ids, texts
                 number, ids, texts, size = number + 1, [], [], 0
     if ids:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from rankforge.llm import ann, lm, mixing, packing, passages, quality, sharding, simhash, urls
 from rankforge.llm.common import connected_components
@@ -73,8 +74,16 @@ def test_quality_order_keeps_the_verdict(spark, docs):
     a = {(r["doc_id"], r["kept"]) for r in quality.judge_quality(docs, rules=rules).collect()}
     b = {(r["doc_id"], r["kept"]) for r in quality.judge_quality(docs, rules=rules[::-1], sample_rows=3).collect()}
     assert a == b
-    cheap = [quality.Rule("dear", "n_words > 0", "100"), quality.Rule("cheap", "n_words > 0", "1")]
-    assert [r.name for r in quality.plan_cascade(docs, rules=cheap)] == ["cheap", "dear"]
+    assert sorted(r.name for r in quality.plan_cascade(docs)) == sorted(r.name for r in rules)
+    dear = quality.Rule("dear", lambda p: F.size(F.array_distinct(F.transform(p.words, lambda x: F.regexp_replace(x, "(a|b|c)+x?", "")))) < 0)
+    cheap = quality.Rule("cheap", lambda p: p.base["n_words"] > 25)
+    assert [r.name for r in quality.plan_cascade(docs, rules=[dear, cheap])] == ["cheap", "dear"]
+    # the second rule alone rejects less than the third, but what it rejects is left after the first
+    assert quality.greedy_order([1, 1, 1], [((True, False, True), 5), ((False, True, False), 3), ((True, False, False), 2)]) == [0, 1, 2]
+    assert quality.greedy_order([10, 1], [((True, False), 5), ((False, True), 3)]) == [1, 0]
+    body = docs.selectExpr("doc_id", "text AS body", "1 AS text", "2 AS `n_words`").union(docs.selectExpr("doc_id", "text AS body", "1 AS text", "2 AS `n_words`"))
+    kept = quality.judge_quality(body, "body").where("kept")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(2 * [k for k, ok in a if ok])
     assert quality.judge_quality(empty(spark)).count() == 0
     clash = docs.selectExpr("*", "1 AS n_words", "'x' AS kept")
     assert quality.judge_quality(clash).where("kept").count() == quality.judge_quality(docs).where("kept").count()
@@ -271,7 +280,7 @@ def test_rewrite_of_the_present_layout(spark, tmp_path):
 
 
 def test_backoff_automaton(docs, texts):
-    got = {r["doc_id"]: r for r in lm.score_texts(docs, order=3, mu=2.0).collect()}
+    got = {r["doc_id"]: r for r in lm.score_texts(docs, mus=(3.0, 2.0)).collect()}
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts}
     toks = {k: [*WORD.findall((t or "").lower()), None] for k, t in texts.items() if k != 39}
     toks[39] = [*WORD.findall(texts[39].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))), None]
@@ -298,7 +307,7 @@ def test_backoff_automaton(docs, texts):
                 if len(hist) >= n - 1:
                     h = tuple(hist[len(hist) - n + 1 :])
                     state = grams["<s>"] if h == ("<s>",) else grams[h]
-                    p = (grams[(*h, w)] + 2.0 * p) / (state + 2.0)
+                    p = (grams[(*h, w)] + (5.0 - n) * p) / (state + 5.0 - n)
             score += math.log10(p)
         r = got[k]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[k], len(t), known, total)
@@ -306,6 +315,12 @@ def test_backoff_automaton(docs, texts):
 
 
 def test_automaton_edges(spark):
+    big = (1 << 60) + 1
+    rows = [(big, "a b c d", "", "", 0), (None, "a b c e", "", "", 0), (7, "a b c d " * 400_000, "", "", 0), (8, "x", "", "", 0), (8, "x", "", "", 0)]
+    got = lm.score_texts(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS score", "2 AS chunk").coalesce(1)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter([big, None, 7, 8, 8])
+    long = next(r for r in got if r["doc_id"] == 7)
+    assert long["n_tokens"] == 1_600_001 and math.isfinite(long["score"])
     assert lm.score_texts(empty(spark)).count() == 0
     one = lm.score_texts(spark.createDataFrame([(None, None, "", "", 0), (None, "a", "", "", 0)], SCHEMA)).collect()
     assert sorted(r["n_tokens"] for r in one) == [1, 2] and all(r["score"] < 0 for r in one)
