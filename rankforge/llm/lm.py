@@ -101,7 +101,8 @@ class Automaton:
         root = (counts[0] + 1) / (tokens + types + 1)
         weight, self.arc, self.failure = [None, root], [None, np.log10(root)], [None]
         size = len(grams.keys[0])
-        before = np.arange(size) - 1
+        before, self.opens = np.arange(size) - 1, np.zeros(size, bool)
+        self.opens[grams.first] = True
         for n in range(1, self.order):
             c = np.append(counts[n - 1], starts) if n == 1 else counts[n - 1]
             with np.errstate(divide="ignore"):
@@ -111,7 +112,7 @@ class Automaton:
             at[numbers[n][live]] = np.flatnonzero(live)
             history = np.where(grams.live[n - 1][before[at]] | (n == 1), numbers[n - 1][before[at]], 0)
             if n == 1:
-                history = np.where(np.isin(at, grams.first), -1, history)
+                history = np.where(self.opens[at], -1, history)
             p = (counts[n] + mus[n - 1] * weight[n][numbers[n - 1][at]]) / (c[history] + mus[n - 1])
             weight.append(p)
             self.arc.append(np.where(counts[n] > 0, np.log10(p), np.nan))
@@ -129,7 +130,9 @@ class Automaton:
         arcs = [None, self.arc[1][self.number[1]]]  # the root has an arc for each token
         held, reach = np.where(self.known[self.number[1]], 1, 0), np.ones(size, np.int64)
         for n in range(2, self.order + 1):
-            arcs.append(np.where(g.live[n - 1], self.arc[n][np.where(g.live[n - 1], self.number[n], 0)], np.nan))
+            live = g.live[n - 1]
+            arcs.append(np.full(size, np.nan))
+            arcs[n][live] = self.arc[n][self.number[n][live]]
             has = ~np.isnan(arcs[n])
             reach[has] = n
             if n < self.order:
@@ -142,7 +145,7 @@ class Automaton:
             falls = np.flatnonzero((state >= n) & (reach <= n))
             row = self.number[n][falls - 1]
             if n == 1:
-                row = np.where(np.isin(falls, g.first), -1, row)
+                row = np.where(self.opens[falls], -1, row)
             out[falls] += self.failure[n][row]
         return out
 
