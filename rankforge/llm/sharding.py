@@ -2,7 +2,8 @@
 
 The driver sees one number a shard. Each old shard is a line of bytes, made of blocks of bounded size; the flow
 says how many bytes of the line stay and how many go to each new shard, and a document goes where its first byte
-lies. So shard sizes differ from their capacities by a few documents at most, and whole blocks move together.
+lies, so whole blocks move together. A document that lies across a cut makes a shard larger than its capacity; such
+differences are then settled by moving a few documents of fitting sizes, of which each shard offers a bounded number.
 """
 
 from __future__ import annotations
@@ -70,21 +71,56 @@ def min_cost_transfers(sizes: dict[int, int], capacities: dict[int, int]) -> dic
     return {k: cap[e ^ 1] for k, e in direct.items() if cap[e ^ 1]}
 
 
+#: Documents of each power of two of bytes that a shard offers for settling.
+OFFERS = 16
+
+
+def settle(sizes: dict[int, int], capacities: dict[int, int], offers: list[tuple[int, int, int, bool]]) -> dict[int, int]:
+    """New shards of some offered rows (row, shard, size, has moved anyway), so that sizes come near the capacities.
+
+    From the shard furthest above its capacity to the one furthest below it goes the offer whose size is nearest to
+    half of their difference, as long as one lessens it; among equal sizes one that has left its old shard anyway.
+    """
+    over = {j: sizes.get(j, 0) - c for j, c in capacities.items()}
+    own: dict[int, list[tuple[int, bool, int]]] = {j: [] for j in over}
+    for row, shard, size, moved in offers:
+        own[shard].append((size, not moved, row))
+    out: dict[int, int] = {}
+    while over:
+        high, low = max(over, key=lambda j: (over[j], -j)), min(over, key=lambda j: (over[j], j))
+        gap = over[high] - over[low]
+        fit = [x for x in own[high] if x[0] < gap]
+        if not fit:
+            return out
+        best = min(fit, key=lambda x: (abs(2 * x[0] - gap), x))
+        own[high].remove(best)
+        own[low].append((best[0], False, best[2]))
+        out[best[2]] = low
+        over[high] -= best[0]
+        over[low] += best[0]
+    return out
+
+
 def equal_capacities(total: int, shards: int) -> dict[int, int]:
     return {j: total // shards + (j < total % shards) for j in range(shards)}
 
 
-def reshard(docs: DataFrame, old_shard: str, shards: int = 40, capacities: dict[int, int] | None = None, id_col: str = "doc_id", text: str = "text", block_bytes: int = 32_000_000) -> DataFrame:
+def reshard(docs: DataFrame, old_shard: str, shards: int = 40, capacities: dict[int, int] | None = None, id_col: str = "doc_id", text: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
     """(id, size, text_crc32, old_shard, shard, slot): every row in a new shard, by the law ``bytes``.
 
     old_shard: SQL expression of the present shard (an int; null counts as shard -1). size: UTF-8 bytes of the text
-    (null: none) plus 16. Slots count each shard's rows from 0. Repeated rows keep a slot each; an empty table has no rows.
+    (null: none) plus 16. Shards come as near to their capacities as the documents that they offer allow: if no
+    document is larger than a shard, they end closer together than the size of a middling one. Slots count each shard's rows from 0.
+    Repeated rows keep a slot each, a null id is kept, other columns are not read; an empty table has no rows. Blocks have
+    ``block_bytes`` or a 100 000th of all bytes, whichever is more.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t).cast("long").alias("text_crc32"), F.coalesce(F.expr(old_shard).cast("int"), F.lit(-1)).alias("old_shard"))
-    rows = materialize(rows, "sizes")
-    sizes = {r["old_shard"]: r["b"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("b")).collect()}
-    moves = min_cost_transfers(sizes, capacities or equal_capacities(sum(sizes.values()), shards))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    sizes = {r["old_shard"]: r["b"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("b")).collect()}  # a row a shard
+    capacities = capacities or equal_capacities(sum(sizes.values()), shards)
+    moves = min_cost_transfers(sizes, capacities)
+    block_bytes = max(block_bytes, sum(sizes.values()) // 100_000)
     line, parts = [], []
     for i in sorted(sizes):
         lo = 0
@@ -95,14 +131,24 @@ def reshard(docs: DataFrame, old_shard: str, shards: int = 40, capacities: dict[
     spark = docs.sparkSession
     cuts = spark.createDataFrame(line, "old_shard int, lo long, hi long, shard int")  # at most old + new shards rows
     parts = spark.createDataFrame(parts, "old_shard int, blocks long")  # a row an old shard
-    rows = rows.join(F.broadcast(parts), "old_shard").withColumn("block", F.pmod(F.xxhash64(id_col, "text_crc32"), F.col("blocks"))).drop("blocks")
+    rows = rows.join(F.broadcast(parts), "old_shard").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))).drop("blocks")
     blocks = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("b"))
     blocks = blocks.select("old_shard", "block", (F.sum("b").over(Window.partitionBy("old_shard").orderBy("block")) - F.col("b")).alias("base"))
-    in_block = Window.partitionBy("old_shard", "block").orderBy(id_col, "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_block = Window.partitionBy("old_shard", "block").orderBy(id_col, "text_crc32", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("before", F.sum("size").over(in_block) - F.col("size")).join(blocks, ["old_shard", "block"])
     rows = rows.withColumn("at", F.col("base") + F.col("before")).drop("base", "before")
     rows = rows.join(F.broadcast(cuts.withColumnRenamed("old_shard", "o")), (F.col("old_shard") == F.col("o")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).drop("o", "lo", "hi")
     rows = materialize(rows, "placed")
+    # a shard's offers: the first documents of each power of two, chosen within each block before they meet
+    kind, moved = F.length(F.bin("size")), F.col("shard") != F.col("old_shard")
+    few = F.row_number().over(Window.partitionBy("shard", "old_shard", "block", "kind").orderBy(F.desc("moved"), "size", id_col, "row"))
+    offers = rows.select("row", "shard", "old_shard", "block", "size", id_col, kind.alias("kind"), moved.alias("moved")).withColumn("k", few).where(F.col("k") <= OFFERS)
+    offers = offers.withColumn("k", F.row_number().over(Window.partitionBy("shard", "kind").orderBy(F.desc("moved"), F.xxhash64("size", id_col, "row")))).where(F.col("k") <= OFFERS)
+    now = {r["shard"]: r["b"] for r in rows.groupBy("shard").agg(F.sum("size").alias("b")).collect()}  # a row a shard
+    taken = settle(now, capacities, [tuple(r) for r in offers.select("row", "shard", "size", "moved").collect()])  # OFFERS a power of two and shard
+    if taken:
+        moved_again = spark.createDataFrame(sorted(taken.items()), "row long, to int")  # no more rows than offers
+        rows = rows.join(F.broadcast(moved_again), "row", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
     runs = rows.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))
     runs = runs.select("shard", "old_shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("old_shard", "block")) - F.col("n")).alias("base"))
     within = F.row_number().over(Window.partitionBy("shard", "old_shard", "block").orderBy("at"))
