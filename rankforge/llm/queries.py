@@ -34,7 +34,7 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.add_features(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens")
+    docs = mixing.add_features(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", F.xxhash64("text").alias("text_hash"))
     mixed = mixing.mix_sources(materialize(docs, "features"), MIX_TARGETS, text=None)
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
 

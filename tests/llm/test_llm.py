@@ -386,23 +386,71 @@ def test_raking_meets_the_marginals():
     rng = np.random.default_rng(1)
     counts = rng.integers(1, 100, 60).astype(float)
     codes = [np.arange(60) % 5, np.arange(60) // 5 % 4, np.arange(60) // 20]
-    targets = [mixing.tempered(np.bincount(c, counts), 0.5) for c in codes]
-    mass = counts * mixing.rake(counts, codes, targets)
-    for c, t in zip(codes, targets, strict=True):
-        assert np.bincount(c, mass) / mass.sum() == pytest.approx(t, abs=1e-6)
-
-
-def test_mixing(spark, docs):
-    got = mixing.mix_sources(docs, {"source": {"s0": 0.5}, "lang": 0.5}, keep_share=0.6).collect()
-    again = mixing.mix_sources(docs.repartition(5), {"source": {"s0": 0.5}, "lang": 0.5}, keep_share=0.6).collect()
+    wants = [mixing.affordable(mixing.tempered(np.bincount(c, counts), 0.3), np.bincount(c, counts), 0.9 * counts.sum()) for c in codes]
+    mass = mixing.rake(counts, codes, wants)
+    assert (mass <= counts).all() and (mass == counts).any()
+    for c, t in zip(codes, wants, strict=True):
+        assert np.bincount(c, mass) == pytest.approx(t, abs=1e-4)
+    assert mixing.affordable(np.array([0.5, 0.25, 0.25]), np.array([10.0, 100, 100]), 100.0).tolist() == [10, 45, 45]
+
+
+def brute_rake(rows, dims, want, rounds=3000):
+    """Plain proportional fitting of tokens by cell (a dict), each cell bounded by what it has."""
+    mass = dict(rows)
+    for _ in range(rounds):
+        for k, wanted in enumerate(want):
+            for name, w in wanted.items():
+                own = [c for c in rows if c[k] == name]
+                for _ in range(60):
+                    now = sum(mass[c] for c in own)
+                    open_cells = [c for c in own if now > w or mass[c] < rows[c]]
+                    free = sum(mass[c] for c in open_cells)
+                    if abs(now - w) < 1e-9 * w or free <= 0:
+                        break
+                    for c in open_cells:
+                        mass[c] = min(rows[c], mass[c] * (w - now + free) / free)
+    return mass
+
+
+def test_mixing(spark, docs, texts):
+    targets = {"source": {"s0": 0.25}, "lang": 0.9}
+    got = mixing.mix_sources(docs, targets, keep_share=0.4).collect()
+    again = mixing.mix_sources(docs.repartition(5), targets, keep_share=0.4).collect()
     assert {(r["doc_id"], r["selected"]) for r in got} == {(r["doc_id"], r["selected"]) for r in again}
-    assert sum(r["n_tokens"] * r["probability"] for r in got) == pytest.approx(0.6 * sum(r["n_tokens"] for r in got), rel=1e-3)
-    share = sum(r["n_tokens"] * r["weight"] for r in got if r["source"] == "s0") / sum(r["n_tokens"] * r["weight"] for r in got)
-    assert share == pytest.approx(0.5, abs=1e-6)
+    total = sum(r["n_tokens"] for r in got)
+    assert total == sum(len(WORD.findall(t or "")) for t in texts.values())
+    cells = Counter()
+    for r in got:
+        cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
+    cells = {c: n for c, n in cells.items() if n}
+    has = [Counter() for _ in range(3)]
+    for c, n in cells.items():
+        for k in range(3):
+            has[k][c[k]] += n
+    shares = [{s: 0.25 if s == "s0" else 0.75 * n / (total - has[0]["s0"]) for s, n in has[0].items()}, {s: n**0.9 / sum(x**0.9 for x in has[1].values()) for s, n in has[1].items()}, {s: n / total for s, n in has[2].items()}]
+    want = [{s: 0.4 * total * v for s, v in share.items()} for share in shares]
+    assert all(v <= has[k][s] for k in range(3) for s, v in want[k].items())
+    for k in range(3):
+        reached = Counter()
+        for r in got:
+            reached[(r["source"], r["lang"], r["topic"])[k]] += r["n_tokens"] * r["probability"]
+        assert {s: pytest.approx(reached[s], rel=1e-5) for s in want[k]} == want[k]
+    brute = brute_rake(cells, 3, want, 300)
+    for r in got:
+        if r["n_tokens"]:
+            c = (r["source"], r["lang"], r["topic"])
+            assert r["probability"] == pytest.approx(brute[c] / cells[c], rel=0.02, abs=1e-3) and r["weight"] == pytest.approx(r["probability"] / 0.4)
+    spread = {r["doc_id"]: r["probability"] for r in mixing.mix_sources(docs, targets, keep_share=0.4, max_cells=1).collect()}
+    assert all(spread[r["doc_id"]] == pytest.approx(r["probability"], abs=1e-3) for r in got)
     assert mixing.mix_sources(empty(spark), {}).count() == 0
     assert mixing.mix_sources(docs.selectExpr("*", "1 AS weight", "2 AS topic"), {}).columns.count("weight") == 1
-    with pytest.raises(ValueError):
-        mixing.mix_sources(docs, {}, max_cells=1)
+
+
+def test_null_ids_are_drawn_one_by_one(spark):
+    rows = [(None, f"word {k} here", "en", "s", 0) for k in range(400)] + [(9, "a b", None, None, 0)] * 3 + [(10, "w " * 500_000, "en", "s", 0)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, SCHEMA), {"source": 1.0}).collect()
+    assert len(got) == 404 and 120 < sum(r["selected"] for r in got if r["doc_id"] is None) < 280
+    assert len({r["selected"] for r in got if r["doc_id"] == 9}) == 1
 
 
 def test_passages(spark, docs, texts):
