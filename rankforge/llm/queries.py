@@ -95,19 +95,49 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-_HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+def _host_sql(url: str) -> str:
+    return rf"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path_sql(url: str) -> str:
+    return rf"regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
+
+
+def _node_sql(url: str) -> str:
+    """The query loses its tracking parameters one by one as a list."""
+    query = rf"regexp_extract(coalesce({url}, ''), '(?s)^[^?#]*\?([^#]*)', 1)"
+    kept = rf"array_to_string(list_filter(string_split({query}, '&'), lambda x: NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid)=')), '&')"
+    return rf"CASE WHEN {_host_sql(url)} <> '' THEN {_host_sql(url)} || regexp_replace({_path_sql(url)}, '/$', '') || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END END"
+
+
 _OP5 = rf"""
-WITH u AS (SELECT page_id, {_HOST} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
-r AS (SELECT *, split_part(rule, '/', 1) AS h, substr(rule, instr(rule, '/')) AS p
+WITH RECURSIVE r AS (SELECT *, split_part(rule, '/', 1) AS h, substr(rule, instr(rule, '/')) AS p
     FROM (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')) v(kind, rule)),
-m AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(kind, length(rule)) AS kind FROM u JOIN r
-    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(kind, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)
+u AS (SELECT page_id, url, {_host_sql('url')} AS host, {_path_sql('url')} AS path, {_node_sql('url')} AS node, html FROM pages),
+tags AS (SELECT url, list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b') AND regexp_matches(x, '(?is)\bhref\s*=\s*["'']?[^"''\s>]'))[1] AS c,
+    list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?is)http-equiv\s*=\s*["'']?refresh\b') AND regexp_matches(x, '(?is)\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*[^"''\s>]'))[1] AS m FROM u),
+links AS (SELECT url, regexp_extract(c, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS l FROM tags WHERE c IS NOT NULL
+    UNION ALL SELECT url, regexp_extract(m, '(?is)\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*([^"''\s>]+)', 1) FROM tags WHERE m IS NOT NULL),
+ends AS (SELECT url AS s, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN l
+    WHEN starts_with(l, '//') THEN split_part(url, '://', 1) || ':' || l
+    WHEN starts_with(l, '/') THEN split_part(url, '://', 1) || '://' || {_host_sql('url')} || l
+    ELSE split_part(url, '://', 1) || '://' || {_host_sql('url')} || coalesce(nullif(regexp_replace({_path_sql('url')}, '[^/]*$', ''), ''), '/') || l END AS d FROM links),
+e AS (SELECT s, d, {_node_sql('s')} AS a, {_node_sql('d')} AS b FROM ends),
+either AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach(a, b) AS (SELECT a, a FROM either UNION SELECT reach.a, either.b FROM reach JOIN either ON reach.b = either.a),
+ruled AS (SELECT url, max_by(rule, length(rule)) AS rule, max_by(kind, length(rule)) AS kind
+    FROM (SELECT DISTINCT url, {_host_sql('url')} AS host, {_path_sql('url')} AS path FROM (SELECT url FROM pages UNION SELECT s FROM e UNION SELECT d FROM e) WHERE url IS NOT NULL)
+    JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY url),
+votes AS (SELECT node, kind FROM u JOIN ruled USING (url) UNION SELECT a, kind FROM e JOIN ruled ON s = url UNION SELECT b, kind FROM e JOIN ruled ON d = url),
+said AS (SELECT reach.a AS node, min(kind) AS kind FROM reach JOIN votes ON reach.b = votes.node GROUP BY reach.a)
+SELECT page_id, host, path, rule, coalesce(ruled.kind, said.kind, 'allow') AS verdict
+FROM u LEFT JOIN ruled ON u.url = ruled.url LEFT JOIN said ON u.node = said.node
 """
 
 _OP8 = """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """

@@ -15,7 +15,7 @@ _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*http-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)"""
 #: Query parameters that name a visit, not a page.
-_TRACKING = r"(?<=[?&])(?:utm_[a-z]+|gclid|fbclid|ref)=[^&]*&?"
+_TRACKING = r"(?<=[?&])(?:utm_[a-z]+|gclid|fbclid)=[^&]*&?"
 
 
 def _lower_ascii(c: Column) -> Column:
@@ -58,11 +58,12 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
 
 
 def equivalence_edges(pages: DataFrame, url: str = "url", html: str = "html", redirects: DataFrame | None = None) -> DataFrame:
-    """(src, dst) node names: canonical links and refresh redirects of the pages, and a table (src, dst) of redirects."""
+    """(src_url, dst_url, src, dst): canonical links and refresh redirects of the pages and a table (src, dst) of redirects, with the ends' node names."""
     found = pages.select(F.col(url).alias("u"), F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("link")).where("link <> ''")
-    edges = found.select(node_of(F.col("u")).alias("src"), node_of(resolve(F.col("u"), F.col("link"))).alias("dst"))
+    edges = found.select(F.col("u").alias("src_url"), resolve(F.col("u"), F.col("link")).alias("dst_url"))
     if redirects is not None:
-        edges = edges.union(redirects.select(node_of(F.col("src")), node_of(F.col("dst"))))
+        edges = edges.union(redirects.select("src", "dst"))
+    edges = edges.select("*", node_of(F.col("src_url")).alias("src"), node_of(F.col("dst_url")).alias("dst"))
     return edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
 
 
@@ -70,19 +71,20 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str =
     """(id, host, path, rule, verdict, inherited): the longest rule's verdict, else that of the url's aliases.
 
     Aliases are the connected component over redirect and canonical-link edges. Without a rule of its own a url is
-    allowed if any alias is allowed by a rule (allow takes precedence), blocked if any is blocked, else allowed.
-    Null and malformed urls match no rule, have no alias and are allowed. Repeated rows stay repeated.
+    allowed if any alias is allowed by a rule (allow takes precedence), blocked if any is blocked, else allowed. The
+    urls at both ends of an edge are judged as they stand, listed as a page or not. Null and malformed urls match no rule,
+    have no alias and are allowed. Repeated rows stay repeated; other columns are not read; an empty table gives no rows.
     """
     u = F.col(url)
     out = pages.select(F.col(id_col).alias(id_col), host_of(u).alias("host"), path_of(u).alias("path"), node_of(u).alias("node"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     out = out.withColumn("rule", rule).withColumn("own", verdict)
-    groups = materialize(connected_components(equivalence_edges(pages, url, html, redirects)), "aliases")
-    name = F.concat(F.lit("x://"), F.col("node"))
-    members = groups.select("node", "component", matching_rule(host_of(name), path_of(name) , rules)[1].alias("own"))
-    # a page's own url may have lost its last slash as a node, so pages vote by their full urls too
-    votes = members.select("component", "own").union(out.join(groups, "node").select("component", "own"))
-    decided = votes.where("own IS NOT NULL").groupBy("component").agg(F.min("own").alias("said"))  # allow sorts before block
+    edges = materialize(equivalence_edges(pages, url, html, redirects), "edges")
+    groups = materialize(connected_components(edges), "aliases")
+    judged = lambda c: matching_rule(host_of(c), path_of(c), rules)[1].alias("own")
+    votes = edges.select(F.col("src").alias("node"), judged(F.col("src_url"))).union(edges.select("dst", judged(F.col("dst_url")))).union(out.select("node", "own"))
+    votes = votes.where("own IS NOT NULL").groupBy("node").agg(F.min("own").alias("own"))  # allow sorts before block
+    decided = votes.join(groups, "node").groupBy("component").agg(F.min("own").alias("said"))
     said = groups.join(decided, "component").select("node", "said")
     out = out.join(said, "node", "left")
     return out.select(id_col, "host", "path", "rule", F.coalesce("own", "said", F.lit("allow")).alias("verdict"), (F.col("own").isNull() & F.col("said").isNotNull()).alias("inherited"))

@@ -551,6 +551,27 @@ def test_urls(spark):
     no_allow = [r for r in rows if r[0] != 4]
     got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(no_allow, "page_id long, url string, html string"), urls.EXAMPLE_RULES).collect()}
     assert got[2]["verdict"] == got[3]["verdict"] == "block" and got[3]["inherited"]
+    rows += [
+        (10, "http://slash.example.org/q", page("http://a.example.net/es/")),  # a target that is no page and ends in a slash
+        (11, "http://apart.example.org/?ref=1", page("http://z.example.net/fr/1")), (12, "http://apart.example.org/?ref=2", ""),
+        (13, "http://track.example.org/a/?utm_source=x", page("http://z.example.net/fr/1")), (14, "https://track.example.org/a#top", ""), (14, "https://track.example.org/a#top", ""),
+        (15, "http://rel.example.org/d/e?k=1", page("f")), (16, "http://rel.example.org/d/f", page("../x")), (17, "http://net/es/", page("http://rel.example.org/d/f")),
+        (None, "http://rel.example.org/d/f", None),
+    ]
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, node string, verdict string")
+    got = urls.judge_urls(table, urls.EXAMPLE_RULES).select("page_id", "host", "path", "rule", "verdict").collect()
+    said = {r["page_id"]: r["verdict"] for r in got}
+    assert [said[k] for k in range(10, 18)] == ["block", "block", "allow", "block", "block", "block", "block", "block"] and said[None] == "block"
+    import duckdb
+    import pandas as pd
+
+    from rankforge.llm import queries
+
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame(rows, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
+    con.execute("CREATE VIEW pages AS SELECT page_id, url, html FROM frame")
+    assert Counter(map(tuple, got)) == Counter(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({queries.ORACLE_SQL['op5_url_aliases']})").fetchall())
+    assert urls.judge_urls(table.limit(0), urls.EXAMPLE_RULES).count() == 0
 
 
 def test_pipeline(spark, docs, tmp_path):
