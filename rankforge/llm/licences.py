@@ -1,101 +1,130 @@
 """Licence scans by sentence rules, in DataFrame expressions only.
 
-A text is cut into sentences (at line ends and after full stops), each is normalised, and those that are known become
-identifiers. The sequence of identifiers is then matched against licence rules in their order, the longer sequences
-first: each rule consumes the identifiers it matches, so a whole licence is named before the sentences it shares with others.
+A text is cut into sentences: at stops, semicolons and colons before white space, and at blank lines. A line end inside
+a paragraph is white space, so wrapped notices are whole sentences, and signs that lead comment lines are no words. Each
+normalised sentence that is known becomes an identifier; where a sentence as a whole is not known, its lines are tried, each
+alone and with all that follow it, for notices between lines without a stop. The sequence of identifiers is then matched
+against ordered licence rules, the longer sequences first: each rule consumes the identifiers it matches, so a whole
+licence is named before the sentences it shares with others.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licence notices, normalised, and the rules over their identifiers.
-SENTENCES = {
-    "MitName": "released under the mit license",
-    "MitUnder": "licensed under the mit license",
-    "MitGrant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "MitNotice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "AsIs": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "NoLiability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
-    "Apache2Name": "licensed under the apache license version 2 0",
-    "Apache2Use": "you may not use this file except in compliance with the license",
-    "Apache2Copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
-    "Apache2Basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "Gpl3Name": "this work is licensed under the gnu general public license version 3",
-    "GplFree": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "GplHope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "GplSee": "see the gnu general public license for more details",
-    "CcByNc4Name": "licensed under cc by nc 4 0",
-    "CcBy4Name": "licensed under cc by 4 0",
-    "CcBySa4Name": "licensed under cc by sa 4 0",
-    "BsdRedist": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "BsdEndorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "AllRights": "all rights reserved",
-}
-RULES = (
-    ("MIT", ("MitGrant", "MitNotice", "AsIs", "NoLiability")),
-    ("MIT", ("MitGrant", "MitNotice")),
-    ("Apache-2.0", ("Apache2Name", "Apache2Use", "Apache2Copy", "Apache2Basis")),
-    ("Apache-2.0", ("Apache2Name", "Apache2Use")),
-    ("GPL-3.0-or-later", ("GplFree", "GplHope", "GplSee")),
-    ("BSD-3-Clause", ("BsdRedist", "BsdEndorse")),
-    ("MIT", ("MitName",)),
-    ("MIT", ("MitUnder",)),
-    ("Apache-2.0", ("Apache2Name",)),
-    ("GPL-3.0-only", ("Gpl3Name",)),
-    ("GPL-3.0-or-later", ("GplFree",)),
-    ("CC-BY-NC-4.0", ("CcByNc4Name",)),
-    ("CC-BY-SA-4.0", ("CcBySa4Name",)),
-    ("CC-BY-4.0", ("CcBy4Name",)),
-    ("BSD-2-Clause", ("BsdRedist",)),
-    ("Proprietary", ("AllRights",)),
-)
-#: Sentences end at a line end, or after a full stop, exclamation or question mark before white space.
-BOUNDARY = r"([.!?])[ \t]+"
-
-
-def normalised_sentences(text: Column) -> Column:
-    """Lower-case sentences of letters and digits a-z, 0-9, single spaces; British spelling of license unified."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), BOUNDARY, "$1\n")
-    plain = F.regexp_replace(F.lower(marked), r"[^a-z0-9\n]+", " ")
-    plain = F.replace(plain, F.lit("licence"), F.lit("license"))
-    return F.transform(F.split(plain, "\n", -1), lambda s: F.trim(s))
+from .common import let
+from .licence_texts import NOTICES, SPDX
+
+#: Signs that lead a comment line.
+LEAD = r"(\A|\n)[ \t]*[;#!:*/>%-]+[ \t]*"
+#: A stop with closing quotes or brackets before white space or the end; what is no letter, digit, line end or cut; blank lines.
+STOP, PLAIN, BLANK = r"""[.!?;:]+["')\]]*([ \t\r\n]|\z)""", r"[^a-z0-9\n\x01]+", r"\n *(?:\n *)+"
+CUT, HEAD_WORDS = "\x01", 3
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def sentences_of(text: str) -> list[str]:
+    """Normalised sentences of a notice (the same cut as that of whole columns)."""
+    t = text.translate(str.maketrans(_UPPER, _LOWER))
+    t = re.sub(LEAD, r"\1", t)
+    t = re.sub(PLAIN, " ", re.sub(STOP.replace(r"\z", r"\Z"), lambda m: CUT + m[1], t))
+    t = re.sub(BLANK, CUT, t).replace("licence", "license")
+    return [s for s in (" ".join(x.split()) for x in t.split(CUT)) if s]
+
+
+def build_tables(notices: Sequence[tuple[str, int | None, str]] = NOTICES, spdx: Sequence[str] = SPDX) -> tuple[dict[str, str], tuple[tuple[str, tuple[str, ...]], ...]]:
+    """(identifier -> sentence, rules): identifiers are the first licence that has the sentence and a number; a rule is a
+    whole notice, or the one sentence that names a licence alone."""
+    ids: dict[str, str] = {}
+    count: dict[str, int] = {}
+    rules: list[tuple[str, tuple[str, ...]]] = []
+
+    def identifier(name: str, sentence: str) -> str:
+        if sentence not in ids:
+            count[name] = count.get(name, 0) + 1
+            ids[sentence] = f"{name}#{count[name]}"
+        return ids[sentence]
+
+    for name, alone, text in notices:
+        parts = tuple(identifier(name, s) for s in sentences_of(text))
+        rules.append((name, parts))
+        if alone is not None:
+            rules.append((name, (parts[alone],)))
+    lead = identifier("SPDX", "spdx license identifier")
+    rules += [(name, (lead, identifier("SPDX", sentences_of(name)[0]))) for name in spdx]
+    unique: dict[tuple[str, ...], str] = {}
+    for name, parts in rules:
+        unique.setdefault(parts, name)
+    return {v: k for k, v in ids.items()}, tuple((name, parts) for parts, name in unique.items())
+
+
+SENTENCES, RULES = build_tables()
+
+
+def _heads(sentences: Mapping[str, str]) -> list[str]:
+    return sorted({" ".join(s.split(" ")[:HEAD_WORDS]) for s in sentences.values()})
+
+
+def known_sentences(text: Column, sentences: Mapping[str, str]) -> Column:
+    """Known normalised sentences in order of the text."""
+    t = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    t = F.regexp_replace(t, LEAD, "$1")
+    t = F.regexp_replace(F.regexp_replace(t, STOP, CUT + "$1"), PLAIN, " ")
+    t = F.replace(F.regexp_replace(t, BLANK, CUT), F.lit("licence"), F.lit("license"))
+    known, heads = list(sentences.values()), _heads(sentences)
+
+    def of_lines(lines: Column) -> Column:
+        def one(line: Column, k: Column) -> Column:
+            rest = F.array_join(F.slice(lines, k + 1, F.size(lines)), " ")
+            starts = F.substring_index(line, " ", HEAD_WORDS).isin(*heads)
+            return F.when(starts, let(rest, lambda r: F.when(r.isin(*known), r).when(line.isin(*known), line)))
+
+        return let(F.array_join(lines, " "), lambda whole: F.when(whole.isin(*known), F.array(whole)).otherwise(F.transform(lines, one)))
+
+    lines = lambda s: F.filter(F.transform(F.split(s, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.flatten(F.transform(F.split(t, CUT, -1), lambda s: let(lines(s), of_lines))), lambda x: x.isNotNull())
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> DataFrame:
     """(id, sentence_ids, licences, n_unmatched): identifiers in order of the text, licences in order of the text, distinct,
     both joined by commas, and the number of known sentences that no rule consumed.
 
-    Null and empty texts have none. Everything stays in the row: repeated rows repeat and nothing is shuffled.
+    Null and empty texts have none. Everything stays in the row: repeated rows repeat, a very long text is one row, other
+    columns are not read and nothing is shuffled. An empty table gives no rows.
     """
-    by_text = {s: k for k, s in sentences.items()}
-    known = F.filter(normalised_sentences(F.col(text)), lambda s: s.isin(*by_text))
-    table = F.create_map(*[F.lit(x) for pair in by_text.items() for x in pair])
-    ids = F.transform(known, lambda s: F.element_at(table, s))
+    table = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (s, k)])
+    ids = F.transform(known_sentences(F.col(f"`{text}`"), sentences), lambda s: F.element_at(table, s))
     out = docs.select(F.col(id_col), ids.alias("_ids"))
     # identifiers as [a][b]; a matched sequence becomes {licence}
     sequence = F.concat(F.lit(""), F.array_join(F.transform("_ids", lambda i: F.concat(F.lit("["), i, F.lit("]"))), ""))
     for name, parts in sorted(rules, key=lambda r: -len(r[1])):
         sequence = F.replace(sequence, F.lit("".join(f"[{p}]" for p in parts)), F.lit("{" + name + "}"))
+    sequence = F.when(F.size("_ids") > 0, sequence).otherwise("")
     named = F.array_distinct(F.regexp_extract_all("_seq", F.lit(r"\{([^}]*)\}"), F.lit(1)))
     return out.withColumn("_seq", sequence).select(id_col, F.array_join("_ids", ",").alias("sentence_ids"), F.array_join(named, ",").alias("licences"), F.regexp_count("_seq", F.lit(r"\[")).cast("long").alias("n_unmatched"))
 
 
 def scan_sql(table: str = "documents", sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> str:
-    """DuckDB SQL of scan_licences."""
+    """DuckDB SQL of scan_licences, by joins of sentences and lines with the table of known ones."""
     rows = ", ".join(f"('{k}', '{s}')" for k, s in sentences.items())
-    seq = "coalesce(string_agg('[' || k || ']', '' ORDER BY i) FILTER (WHERE k IS NOT NULL), '')"
+    seq = "coalesce(string_agg('[' || k || ']', '' ORDER BY i, j) FILTER (WHERE k IS NOT NULL), '')"
     for name, parts in sorted(rules, key=lambda r: -len(r[1])):
         seq = f"replace({seq}, '{''.join(f'[{p}]' for p in parts)}', '{{{name}}}')"
+    stop = STOP.replace("'", "''")
     return rf"""
 WITH known(k, s) AS (VALUES {rows}),
-m AS (SELECT doc_id, replace(regexp_replace(lower(regexp_replace(coalesce(text, ''), '([.!?])[ \t]+', E'\\1\n', 'g')), '[^a-z0-9\n]+', ' ', 'g'), 'licence', 'license') AS t FROM {table}),
-p AS (SELECT doc_id, unnest(string_split(t, E'\n')) AS s, generate_subscripts(string_split(t, E'\n'), 1) AS i FROM m),
-h AS (SELECT doc_id, i, k FROM p LEFT JOIN known ON trim(p.s) = known.s),
-g AS (SELECT doc_id, coalesce(string_agg(k, ',' ORDER BY i) FILTER (WHERE k IS NOT NULL), '') AS sentence_ids, {seq} AS seq FROM h GROUP BY doc_id),
+m AS (SELECT row_number() OVER () AS r, doc_id, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{LEAD}', '\1', 'g'), '{stop}', chr(1) || '\1', 'g'), '{PLAIN}', ' ', 'g'), '{BLANK}', chr(1), 'g'), 'licence', 'license') AS t FROM {table}),
+p AS (SELECT r, doc_id, unnest(string_split(t, chr(1))) AS s, generate_subscripts(string_split(t, chr(1)), 1) AS i FROM m),
+l AS (SELECT r, doc_id, i, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM p),
+w AS (SELECT l.*, known.k FROM l LEFT JOIN known ON array_to_string(l.l, ' ') = known.s),
+o AS (SELECT r, doc_id, i, unnest(l) AS line, generate_subscripts(l, 1) AS j, l FROM w WHERE k IS NULL),
+h AS (SELECT r, doc_id, i, 0 AS j, k FROM w UNION ALL
+    SELECT r, doc_id, i, j, coalesce(a.k, b.k) FROM o LEFT JOIN known a ON array_to_string(o.l[j:], ' ') = a.s LEFT JOIN known b ON o.line = b.s),
+g AS (SELECT r, any_value(doc_id) AS doc_id, coalesce(string_agg(k, ',' ORDER BY i, j) FILTER (WHERE k IS NOT NULL), '') AS sentence_ids, {seq} AS seq FROM h GROUP BY r),
 e AS (SELECT *, regexp_extract_all(seq, '\{{([^}}]*)\}}', 1) AS n FROM g)
 SELECT doc_id, sentence_ids, array_to_string(list_filter(n, lambda x, j: list_position(n, x) = j), ',') AS licences,
     (length(seq) - length(replace(seq, '[', '')))::BIGINT AS n_unmatched FROM e

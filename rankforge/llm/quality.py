@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, WORD
+from .common import NOT_SPACE, WORD, let
 
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -56,27 +56,22 @@ DEFAULT_RULES = (
 )
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often a lambda inside reads it and wherever the optimizer moves it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _repeat_words(w: Column) -> Column:
     """Words of the array in windows that occur twice; the common case of no such window ends at a set of hashes."""
 
     def of_hashes(h: Column) -> Column:
         by_hash = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) < F.size(h), _let(by_hash, of_sorted))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(by_hash, of_sorted))
 
     def of_sorted(s: Column) -> Column:
         twice = F.filter(s, lambda x, k: F.get(s, k - 1)["h"].eqNullSafe(x["h"]) | F.get(s, k + 1)["h"].eqNullSafe(x["h"]))
-        return _let(F.sort_array(F.transform(twice, lambda x: x["i"])), covered)
+        return let(F.sort_array(F.transform(twice, lambda x: x["i"])), covered)
 
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
 
     hashes = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(F.slice(w, i + 1, WINDOW)))
-    return F.when(F.size(w) > WINDOW, _let(hashes, of_hashes))
+    return F.when(F.size(w) > WINDOW, let(hashes, of_hashes))
 
 
 def _base(t: Column, w: Column, lines: Column) -> Column:
@@ -94,7 +89,7 @@ def _judged(text: Column, use: Callable[[Parts], Column]) -> Column:
     """``use`` of the parts of a text, each computed once; a null text is empty."""
     t = F.coalesce(text, F.lit(""))
     words, lines = F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), F.filter(F.split(t, "\n", -1), lambda x: x.rlike(NOT_SPACE))
-    return _let(words, lambda w: _let(lines, lambda x: _let(_base(t, w, x), lambda b: use(Parts(t, w, x, b)))))
+    return let(words, lambda w: let(lines, lambda x: let(_base(t, w, x), lambda b: use(Parts(t, w, x, b)))))
 
 
 def _base_failed(b: Column) -> Column:

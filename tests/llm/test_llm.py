@@ -585,19 +585,47 @@ def test_pipeline(spark, docs, tmp_path):
 
 
 def test_licences(spark):
+    import textwrap
+
+    import duckdb
+    import pandas as pd
+
     from rankforge.llm import licences as L
+    from rankforge.llm.licence_texts import NOTICES
 
-    whole = " ".join(L.SENTENCES[k].capitalize() + "." for k in ("MitGrant", "MitNotice", "AsIs", "NoLiability"))
+    notice = lambda name: max((t for n, _, t in NOTICES if n == name), key=len)
+    wrap = lambda t, lead="", width=75: "\n".join(textwrap.wrap(t, width, initial_indent=lead, subsequent_indent=lead))
+    grant, rest = notice("MIT").split("conditions: ")
+    mit = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + wrap(grant + "conditions:") + "\n\n" + wrap(rest)
+    commented = "/*\n * Copyright 2021 Some Body\n *\n" + "\n *\n".join(wrap(x, " * ") for x in notice("Apache-2.0").split("\n\n")) + "\n */\nint main;"
     rows = [
         (1, "Prose here.\nLicensed under the Apache License, Version 2.0."),
-        (2, whole + "\nReleased  under the MIT Licence!"),
+        (2, mit + "\nReleased  under the MIT Licence!"),
         (3, "All rights reserved. Licensed under CC BY-NC 4.0. All rights reserved."),
         (4, "It is not licensed under the Apache License, Version 2.0."),
         (5, None), (6, ""), (7, "The software is provided \"AS IS\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."),
+        (8, commented), (9, wrap(notice("GPL-3.0-or-later"), "# ", 60)), (10, wrap(notice("GPL-2.0-or-later"), "// ", 72)),
+        (11, wrap(notice("BSD-3-Clause"), "  ")), (12, "// SPDX-License-Identifier: MIT\nint x;"), (13, "no stop here\nReleased under the MIT License\nand on it goes"),
+        (14, "a line with no stop\n" + wrap(grant + "conditions:", "", 40) + "\n" + rest), (15, wrap(notice("Zlib"), "; ")), (16, "word " * 200_000 + "\n\n" + wrap(notice("ISC"))),
     ]
     docs = spark.createDataFrame(rows, "doc_id int, text string")
-    got = {r["doc_id"]: (r["licences"], r["n_unmatched"]) for r in L.scan_licences(docs.union(docs)).collect()}
-    assert got == {1: ("Apache-2.0", 0), 2: ("MIT", 0), 3: ("Proprietary,CC-BY-NC-4.0", 0), 4: ("", 0), 5: ("", 0), 6: ("", 0), 7: ("", 1)}
+    got = L.scan_licences(docs.union(docs.where("doc_id < 4"))).collect()
+    named = {r["doc_id"]: r["licences"] for r in got}
+    assert named == {1: "Apache-2.0", 2: "MIT", 3: "Proprietary,CC-BY-NC-4.0", 4: "", 5: "", 6: "", 7: "", 8: "Apache-2.0", 9: "GPL-3.0-or-later", 10: "GPL-2.0-or-later", 11: "BSD-3-Clause", 12: "MIT", 13: "MIT", 14: "MIT", 15: "Zlib", 16: "ISC"}
+    assert {r["doc_id"]: r["n_unmatched"] for r in got} == {k: int(k == 7) for k, _ in rows}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([*rows, *rows[:3]], columns=["doc_id", "text"]))
+    assert Counter(map(tuple, got)) == Counter(con.sql(L.scan_sql()).fetchall())
     assert L.scan_licences(docs.limit(0)).count() == 0
     clash = docs.selectExpr("*", "1 AS licences", "2 AS _ids")
     assert L.scan_licences(clash).columns == ["doc_id", "sentence_ids", "licences", "n_unmatched"]
+
+
+def test_every_notice_is_found(spark):
+    from rankforge.llm import licences as L
+    from rankforge.llm.licence_texts import NOTICES
+
+    docs = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(NOTICES)], "doc_id int, text string")
+    got = {r["doc_id"]: r["licences"].split(",") for r in L.scan_licences(docs).collect()}
+    assert all(name in got[k] for k, (name, _, _) in enumerate(NOTICES))
+    assert len(L.SENTENCES) > 120 and len(L.RULES) > 80
