@@ -503,6 +503,79 @@ def test_exact_runs_against_brute_force(spark):
         seen |= set(runs)
 
 
+def local_identity(a, b, min_words):
+    """Whether some words a[i:j] of min_words and some b[k:l] match in 90 % of the longer one (local alignment with unit costs)."""
+    n, m = len(a), len(b)
+    score, start, hit = np.zeros(m + 1), np.tile([-1, -1], (m + 1, 1)), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        new, at, got = np.zeros(m + 1), np.tile([-1, -1], (m + 1, 1)), np.zeros(m + 1, int)
+        for j in range(1, m + 1):
+            same = a[i - 1] == b[j - 1]
+            best = max((score[j - 1] + (1 if same else -4), 0), (score[j] - 4, 1), (new[j - 1] - 4, 2))
+            if best[0] > 0:
+                new[j] = best[0]
+                prev = ((start[j - 1], hit[j - 1]), (start[j], hit[j]), (at[j - 1], got[j - 1]))[best[1]]
+                at[j] = prev[0] if prev[0][0] >= 0 else (i - 1, j - 1)
+                got[j] = prev[1] + (best[1] == 0 and same)
+                if i - at[j][0] >= min_words and got[j] >= 0.9 * max(i - at[j][0], j - at[j][1]):
+                    return True
+        score, start, hit = new, at, got
+    return False
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(row[j] + (x == y), row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(41)
+    pool = [words(rng, n, 100000) for n in (50, 60, 70, 55, 65)]
+
+    def edited(p):
+        out = list(p)
+        for _ in range(rng.randrange(0, 5)):
+            k = rng.randrange(len(out))
+            out[k : k + rng.randrange(0, 2)] = words(rng, rng.randrange(0, 2), 100000)
+        return out
+
+    rows = {k: words(rng, rng.randrange(10, 40), 100000) + edited(rng.choice(pool)) + words(rng, rng.randrange(5, 30), 100000) for k in range(26)}
+    rows |= {k: words(rng, 90, 100000) for k in range(26, 34)}
+    docs = spark.createDataFrame([(k, " ".join(w), "x", 1) for k, w in rows.items()], "doc_id long, text string, chunk string, src_doc_id int").repartition(4)
+    got = passages.repeated_passages(docs).collect()
+    assert all(r["src_doc_id"] < r["doc_id"] and r["end_word"] - r["start_word"] >= 40 for r in got)
+    for r in got:
+        a, b = rows[r["doc_id"]][r["start_word"] : r["end_word"]], rows[r["src_doc_id"]][r["src_start_word"] : r["src_end_word"]]
+        assert common(a, b) >= r["n_matched"] >= 0.8 * max(len(a), len(b)) and r["identity"] == pytest.approx(r["n_matched"] / max(len(a), len(b)))
+    want = {k for k in rows if any(local_identity(rows[k], rows[j], 40) for j in range(k))}
+    assert want <= {r["doc_id"] for r in got} and len(want) > 10 and not {r["doc_id"] for r in got} & set(range(26, 34))
+
+
+def test_passages_of_repeated_ids_and_long_texts(spark):
+    rng = random.Random(51)
+    shared, long = words(rng, 60, 100000), words(rng, 900_000, 1_000_000)
+    rows = [(1, " ".join(words(rng, 5) + shared)), (1, " ".join(words(rng, 20))), (2, " ".join(shared)), (2, "few words"), (2, None), (None, " ".join(shared)), (3, " ".join(long)), (4, " ".join(words(rng, 30) + long[500_000:500_100]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(docs)
+    assert {(r["doc_id"], r["src_doc_id"], r["start_word"], r["end_word"]) for r in found.collect()} == {(2, 1, 0, 60), (4, 3, 30, 130)}
+    left = Counter((r["doc_id"], len(WORD.findall(r["text"] or ""))) for r in passages.remove_passages(docs, found).collect())
+    assert left == Counter({(1, 65): 1, (1, 20): 1, (2, 0): 3, (None, 60): 1, (3, 900_000): 1, (4, 30): 1})
+
+
+def test_a_loose_chain_hides_no_close_one():
+    a = np.arange(1000, 1300)
+    b = np.concatenate([a[:100], np.arange(5000, 5040), a[100:130], a[160:]])
+    spread = np.array([(0, 0, 100), (100, 140, 30), (160, 170, 140)])
+    assert passages.verified(a, b, spread, 40, 0.8)
+    x, y = np.array([1, 2, 9, 3, 4, 5]), np.array([1, 7, 2, 3, 8, 4, 5])
+    assert passages.common_words(x, y) == common(x.tolist(), y.tolist()) == 5
+
+
 def test_chain_is_the_best_chain():
     rng = random.Random(8)
     for _ in range(60):
