@@ -26,13 +26,15 @@ LEAD = r"(\A|\n)[ \t]*[;#!:*/>%-]+[ \t]*"
 #: A stop with closing quotes or brackets before white space or the end; what is no letter, digit, line end or cut; blank lines.
 STOP, PLAIN, BLANK = r"""[.!?;:]+["')\]]*([ \t\r\n]|\z)""", r"[^a-z0-9\n\x01]+", r"\n *(?:\n *)+"
 CUT, HEAD_WORDS = "\x01", 3
+#: Its colon ends no sentence.
+SPDX_LEAD = "spdx-license-identifier"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def sentences_of(text: str) -> list[str]:
     """Normalised sentences of a notice (the same cut as that of whole columns)."""
     t = text.translate(str.maketrans(_UPPER, _LOWER))
-    t = re.sub(LEAD, r"\1", t)
+    t = re.sub(LEAD, r"\1", t.replace(SPDX_LEAD + ":", SPDX_LEAD))
     t = re.sub(PLAIN, " ", re.sub(STOP.replace(r"\z", r"\Z"), lambda m: CUT + m[1], t))
     t = re.sub(BLANK, CUT, t).replace("licence", "license")
     return [s for s in (" ".join(x.split()) for x in t.split(CUT)) if s]
@@ -56,8 +58,7 @@ def build_tables(notices: Sequence[tuple[str, int | None, str]] = NOTICES, spdx:
         rules.append((name, parts))
         if alone is not None:
             rules.append((name, (parts[alone],)))
-    lead = identifier("SPDX", "spdx license identifier")
-    rules += [(name, (lead, identifier("SPDX", sentences_of(name)[0]))) for name in spdx]
+    rules += [(name, (identifier(name, sentences_of(f"{SPDX_LEAD}: {name}")[0]),)) for name in spdx]
     unique: dict[tuple[str, ...], str] = {}
     for name, parts in rules:
         unique.setdefault(parts, name)
@@ -72,8 +73,12 @@ def _heads(sentences: Mapping[str, str]) -> list[str]:
 
 
 def telling_words(sentences: Mapping[str, str]) -> list[str]:
-    """A few words such that each sentence has one of them: next always the word of most sentences that have none yet."""
-    left, out = [set(s.replace("license", "licen").split(" ")) for s in sentences.values()], []
+    """A few words such that each sentence has one of them: next always the word of most sentences that have none yet, of
+    the longer words (prose has them less often) as long as a sentence has any."""
+    left, out = [], []
+    for s in sentences.values():
+        words = set(s.replace("license", "licen").split(" "))
+        left.append({w for w in words if len(w) > 7 or w == "licen"} or {w for w in words if len(w) > 2 and w.isalpha()} or words)
     while left:
         count: dict[str, int] = {}
         for words in left:
@@ -88,7 +93,7 @@ def telling_words(sentences: Mapping[str, str]) -> list[str]:
 def known_sentences(text: Column, sentences: Mapping[str, str]) -> Column:
     """Known normalised sentences in order of the text."""
     t = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    t = F.regexp_replace(t, LEAD, "$1")
+    t = F.regexp_replace(F.replace(t, F.lit(SPDX_LEAD + ":"), F.lit(SPDX_LEAD)), LEAD, "$1")
     t = F.regexp_replace(F.regexp_replace(t, STOP, CUT + "$1"), PLAIN, " ")
     t = F.replace(F.regexp_replace(t, BLANK, CUT), F.lit("licence"), F.lit("license"))
     lower = F.lower(text)
@@ -136,7 +141,7 @@ def scan_sql(table: str = "documents", sentences: Mapping[str, str] = SENTENCES,
     stop = STOP.replace("'", "''")
     return rf"""
 WITH known(k, s) AS (VALUES {rows}),
-m AS (SELECT row_number() OVER () AS r, doc_id, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{LEAD}', '\1', 'g'), '{stop}', chr(1) || '\1', 'g'), '{PLAIN}', ' ', 'g'), '{BLANK}', chr(1), 'g'), 'licence', 'license') AS t FROM {table}),
+m AS (SELECT row_number() OVER () AS r, doc_id, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{SPDX_LEAD}:', '{SPDX_LEAD}'), '{LEAD}', '\1', 'g'), '{stop}', chr(1) || '\1', 'g'), '{PLAIN}', ' ', 'g'), '{BLANK}', chr(1), 'g'), 'licence', 'license') AS t FROM {table}),
 p AS (SELECT r, doc_id, unnest(string_split(t, chr(1))) AS s, generate_subscripts(string_split(t, chr(1)), 1) AS i FROM m),
 l AS (SELECT r, doc_id, i, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM p),
 w AS (SELECT l.*, known.k FROM l LEFT JOIN known ON array_to_string(l.l, ' ') = known.s),

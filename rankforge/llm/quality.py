@@ -54,7 +54,7 @@ DEFAULT_RULES = (
     Rule("bullets", lambda p: (F.size(p.lines) >= 5) & _share(F.size(F.filter(p.lines, lambda x: x.rlike(r"^[ \t]*[-*•]"))), F.size(p.lines), 90)),
     Rule("ellipses", lambda p: (F.size(p.lines) >= 5) & _share(F.size(F.filter(p.lines, lambda x: x.rlike(r"(\.\.\.|…)[ \t\r]*$"))), F.size(p.lines), 50)),
     Rule("stutter", lambda p: _share(F.size(F.filter(p.words, lambda x, i: x.eqNullSafe(F.get(p.words, i - 1)))), p.base["n_words"], 30)),
-    Rule("few_letters", lambda p: 2 * F.regexp_count(p.text, F.lit(r"\p{L}")) < p.base["word_chars"]),
+    Rule("few_letters", lambda p: 2 * F.length(F.regexp_replace(p.text, r"\P{L}+", "")) < p.base["word_chars"]),
 )
 
 
