@@ -3,8 +3,9 @@
 Candidates come from tables of bit positions. For a small ``max_distance`` the tables are those of the pigeonhole
 principle (some blocks of the fingerprint must be equal), so no link is lost. For larger ones they are seeded random
 positions, with the recall that ``table_recall`` gives. Distances to the pivots are computed once for each distinct
-fingerprint; by the triangle inequality a pair whose coordinates differ by more than ``max_distance`` is discarded,
-and the survivors are verified by their full distance.
+fingerprint and travel with it. Pairs in a bucket lie in order of the first coordinate, so only those in a window of it meet; by
+the triangle inequality a pair of which any coordinate differs by more than ``max_distance`` is discarded, which
+leaves next to no unlike pair of 64 bits, and the survivors are verified by their full distance.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, words_of
 
 SEED = 42
-PIVOTS = 8
+#: Reference fingerprints. Two unlike 64-bit fingerprints are within 4 of each other in one coordinate with a chance of 0.57,
+#: in all 32 with one of 1e-8.
+PIVOTS = 32
 #: Buckets above this many fingerprints are dealt out as pairs of sub-blocks of half the size.
 HOT_BUCKET = 4096
 
@@ -103,6 +106,14 @@ def bit_tables(bits: int, max_distance: int, sampled: int = 0, width: int = 16)
     return [tuple(int(x) for b in pair for x in b) for pair in combinations(blocks, 2)]
 
 
+def plan_tables(n: int, bits: int, distance: int, recall: float, rows: int = 16, least: int = 14) -> tuple[int, int]:
+    """(tables, width) for ``n`` fingerprints: buckets of about ``rows`` unlike ones, and as many tables as give
+    a pair at ``distance`` that chance of a shared bucket. Width grows with log n, tables as a small power of n."""
+    width = max(least, int(np.ceil(np.log2(max(1, n / rows)))))
+    hit = float(np.prod([(bits - distance - i) / (bits - i) for i in range(width)]))
+    return max(1, int(np.ceil(np.log1p(-recall) / np.log1p(-hit)))), width
+
+
 def table_recall(bits: int, distance: int, tables: int, width: int) -> float:
     """Chance that a pair at ``distance`` shares a bucket in at least one sampled table."""
     hit = np.prod([(bits - distance - i) / (bits - i) for i in range(width)])
@@ -159,14 +170,14 @@ def _linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, pv: np.ndarray, mo
     return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
-def link_fingerprints(fps: DataFrame, n: int, max_distance: int, words: int = 1, sampled: int = 0, width: int = 16) -> DataFrame:
+def link_fingerprints(fps: DataFrame, n: int, max_distance: int, words: int = 1, sampled: int = 0, width: int = 16, n_pivots: int = PIVOTS) -> DataFrame:
     """Edges (src, dst) between the ids of distinct fingerprints, enough to span every group of linked ones.
 
     fps: (id, fp), one row a fingerprint; n: their number, which sets the partitions. A bucket of over HOT_BUCKET
     fingerprints goes to pairs of sub-blocks in several groups, so no group is unbounded and no pair is dropped.
     """
     spots = bit_tables(64 * words, max_distance, sampled, width)
-    ref = pivots(words)
+    ref = pivots(words, n_pivots)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,7 +229,7 @@ def link_fingerprints(fps: DataFrame, n: int, max_distance: int, words: int = 1,
     return rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block").mapInArrow(link, "src long, dst long")
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, min_similarity: float, shingle: int, max_distance: int, words: int = 1, sampled: int = 0, width: int = 16) -> DataFrame:
+def similar_links(nodes: DataFrame, texts: DataFrame, min_similarity: float, shingle: int, max_distance: int, words: int = 1, reach: tuple[int, float] | None = None, n_pivots: int = PIVOTS) -> DataFrame:
     """Links (src, dst) between nodes (id, fp) whose texts (id, t) have that Jaccard similarity of their shingles or more.
 
     The spanning edges of the fingerprints are candidates, so copies never make all pairs. Each is verified on the
@@ -234,7 +245,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame, min_similarity: float, shi
 
     links, now = None, nodes
     while True:
-        pairs = link_fingerprints(now, now.count(), max_distance, words, sampled, width).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        n = now.count()
+        sampled, width = plan_tables(n, 64 * words, *reach) if reach else (0, 16)
+        pairs = link_fingerprints(now, n, max_distance, words, sampled, width, n_pivots).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
         pairs = materialize(pairs, "candidates")
         full = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
         judged = materialize(full.mapInArrow(judge, "src long, dst long, ok boolean"), "judged")
@@ -248,25 +261,29 @@ def similar_links(nodes: DataFrame, texts: DataFrame, min_similarity: float, shi
         now = materialize(nodes.join(again, "id", "left_semi"), "nodes")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, max_distance: int = 4, words: int = 1, sampled: int = 0, width: int = 16, min_similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, max_distance: int = 4, words: int = 1, reach: tuple[int, float] | None = None, n_pivots: int = PIVOTS, min_similarity: float | None = None) -> DataFrame:
     """(id, fingerprint hex, component_id): the smallest id reachable by links of at most ``max_distance`` bits.
 
     Texts without words have fingerprint zero and link like any other. A null id gets its fingerprint and a null
     component and links nothing. Repeated rows stay repeated. Equal fingerprints are one node, so copies never
     make pairs; an empty table gives no rows. With ``min_similarity`` (ids must then be unique) only texts of that Jaccard
-    similarity of their shingles are linked, and equal fingerprints of unlike texts are not.
+    similarity of their shingles are linked, and equal fingerprints of unlike texts are not. ``reach`` (distance, chance): sampled
+    tables that hold a pair at that distance with that chance; without it the tables hold every pair within
+    ``max_distance``. Other columns are not read; a very long text is hashed whole.
     """
     if min_similarity is not None:
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
         marked = materialize(_add_digests(rows, shingle, words), "fingerprints")
         nodes = materialize(marked.where("id IS NOT NULL").groupBy("fp", "sig").agg(F.min("id").alias("id")), "nodes")
-        groups = connected_components(similar_links(nodes.select("id", "fp"), rows, min_similarity, shingle, max_distance, words, sampled, width))
+        groups = connected_components(similar_links(nodes.select("id", "fp"), rows, min_similarity, shingle, max_distance, words, reach, n_pivots))
         of = nodes.join(groups, nodes["id"] == groups["node"], "left").select("fp", "sig", F.coalesce("component", "id").alias("component_id"))
         out = marked.join(of, ["fp", "sig"], "left")
         return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     marked = materialize(add_fingerprints(docs, id_col, text, shingle, words), "fingerprints")
     nodes = materialize(marked.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    edges = link_fingerprints(nodes.select("id", "fp"), nodes.count(), max_distance, words, sampled, width)
+    n = nodes.count()
+    sampled, width = plan_tables(n, 64 * words, *reach) if reach else (0, 16)
+    edges = link_fingerprints(nodes.select("id", "fp"), n, max_distance, words, sampled, width, n_pivots)
     groups = connected_components(edges)
     of = nodes.join(groups, nodes["id"] == groups["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = marked.join(of, "fp", "left")

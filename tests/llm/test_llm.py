@@ -165,6 +165,10 @@ def test_bit_tables_lose_no_pair():
             flips = set(rng.sample(range(64), d))
             assert any(not t & flips for t in tables)
     assert simhash.table_recall(256, 39, 64, 14) > 0.99
+    for n in (0, 10**5, 10**7, 10**10):
+        tables, width = simhash.plan_tables(n, 256, 50, 0.94)
+        assert simhash.table_recall(256, 50, tables, width) >= 0.94 and n / 2**width <= 16
+    assert simhash.plan_tables(200_000, 256, 50, 0.94)[0] <= 68
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
@@ -655,6 +659,13 @@ def test_pipeline(spark, docs, tmp_path):
     kept = {r["doc_id"] for r in out}
     assert kept and not kept & {30, 31, 32, 33, 34, 35, 36, 37, 38, 45}
     assert len(corpus_pipeline.STAGES) == 5
+    odd = docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", "1 AS weight", "'x' AS topic", "2 AS n_words", "3 AS component_id")
+    odd = odd.union(odd).union(odd.where("doc_id < 3").selectExpr("CAST(NULL AS BIGINT)", "text", "lang", "source", "n_chars", "1", "'y'", "2", "3")).union(odd.where("doc_id = 7").selectExpr("doc_id", "concat(text, ' and other words')", "lang", "source", "n_chars", "1", "'y'", "2", "3"))
+    odd.coalesce(2).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    again = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {r["doc_id"] for r in again} - {None} <= set(range(46)) and len({(r["doc_id"], r["start"]) for r in again if r["doc_id"] is not None}) == sum(r["doc_id"] is not None for r in again)
+    empty(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_licences(spark):
