@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.llm import mixing, packing, passages, quality, queries, simhash
-from rankforge.llm.common import materialize
+from rankforge.llm.common import drop_tables, made, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Fingerprints of 256 bits of five-word shingles. A pair of similarity 0.8 has an expected distance of 38.8 bits (an
-#: angle of acos(2 * 0.8 / 1.8)) with a deviation of 5.7; three of those more are still linked. Pairs at 39 bits share a
-#: bucket of the 64 sampled tables with a chance of 0.999, at 50 bits of 0.94 (simhash.table_recall).
-SIMHASH = {"shingle": 5, "words": 4, "max_distance": 56, "sampled": 64, "width": 14}
+#: angle of acos(2 * 0.8 / 1.8)) with a deviation of 5.7; three of those more are still candidates. The sampled tables hold a
+#: pair at 50 bits with a chance of 0.94, at 39 bits of 0.999; their number and width follow the number of documents. At such
+#: distances pivots discard little, so there are few.
+SIMHASH = {"shingle": 5, "words": 4, "max_distance": 56, "reach": (50, 0.94), "n_pivots": 4}
 #: Candidates within max_distance are linked only if the Jaccard similarity of their shingles is this or more.
 SIMILARITY = 0.8
 #: Sources by a mild power of their tokens; nine tenths of all tokens stay.
@@ -25,29 +26,42 @@ KEEP_SHARE = 0.9
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge_quality(docs).where("kept").select(*COLUMNS)
+    """Drops documents that the base or a rule rejects; null, empty and wordless texts go, repeated rows are judged alike."""
+    return quality.judge_quality(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def one_row_an_id(docs: DataFrame) -> DataFrame:
+    """Of rows that share an id the one whose columns hash least, the same in every run."""
+    docs = docs.where("doc_id IS NOT NULL").select(*COLUMNS)
+    again = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    first = F.min_by(F.struct(*COLUMNS), F.xxhash64(*COLUMNS))
+    few = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
+    return docs.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(few)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group; rows with a null id stay."""
-    groups = simhash.near_duplicates(docs.dropDuplicates(["doc_id"]), **SIMHASH, min_similarity=SIMILARITY)
+    """Keeps the smallest id of each group, and one row of it; rows with a null id stay. Texts without words are one group."""
+    one = one_row_an_id(docs)
+    groups = simhash.near_duplicates(one, **SIMHASH, min_similarity=SIMILARITY)
     kept = groups.where("doc_id = component_id").select("doc_id")
-    one = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    return one.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    return one.join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document has; a document of which no word is left goes."""
+    """Cuts passages that an earlier document has; a document of which no word is left goes. A null id has no passage and stays."""
     found = materialize(passages.repeated_passages(docs), "passages")
     cut = passages.remove_passages(docs, found)
     return cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs, MIX, KEEP_SHARE).where("selected").select(*COLUMNS)
+    """Keeps a document with its cell's calibrated probability; whole texts are scanned once. Null ids are drawn one by one."""
+    rows = materialize(mixing.add_features(docs.select(*COLUMNS)), "features")
+    return mixing.mix_sources(rows, MIX, KEEP_SHARE, text=None).where("selected").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their sequence and offset; a null text is its end token."""
     return packing.pack_documents(docs, queries.vocabulary_path(), 1024)
 
 
@@ -57,9 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; the tables of a stage go once the next one's input is written. An empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
+        before = len(made)
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, name.replace(" ", "-"))
+            drop_tables(spark, made[before:-1])
     return docs
