@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0088
+#: What counts as an e-mail address and as a phone number in a text.
+EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+PHONE = r"(\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
 
 
 def half_up(c: Column, places: int = 0) -> Column:
@@ -33,7 +36,7 @@ def sanitize(c: Column) -> Column:
 
 
 def redact_emails(c: Column) -> Column:
-    return F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
+    return F.regexp_replace(c, EMAIL, "[email]")
 
 
 def truncate_words(c: Column, n: int) -> Column:

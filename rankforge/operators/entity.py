@@ -11,13 +11,21 @@ from ..functions.scalars import haversine_km
 
 #: Metres within which equal names, and equal sites or phones, are one business.
 NAME_METRES, KEY_METRES = 150.0, 250.0
+_own_dir: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir; only local mode, as in tests, may go without and gets one temporary folder."""
     import tempfile
 
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="spark-shared-"))
+    return _own_dir[0]
 
 
 def priority_score(website: Column, phone: Column, address: Column, lat: Column, type_in_tags: Column, type_in_name: Column, n_tags: Column) -> Column:
@@ -93,9 +101,10 @@ def flag_chains(candidates: DataFrame) -> DataFrame:
 
     domain_root is null for shared hosts, which never make a chain.
     """
-    n = F.count("domain_root").over(Window.partitionBy("market_id", "domain_root"))
-    chain = F.col("brand").isNotNull() | (F.col("domain_root").isNotNull() & (n >= 2))
-    return candidates.withColumn("is_chain", chain).withColumn("brand", F.when(F.col("is_chain"), F.coalesce("brand", "name")))
+    n = candidates.where("domain_root IS NOT NULL").groupBy("market_id", "domain_root").agg((F.count("*") >= 2).alias("_many"))
+    candidates = candidates.join(n, ["market_id", "domain_root"], "left")
+    chain = F.col("brand").isNotNull() | F.coalesce("_many", F.lit(False))
+    return candidates.withColumn("is_chain", chain).withColumn("brand", F.when(F.col("is_chain"), F.coalesce("brand", "name"))).drop("_many")
 
 
 def exclude_self(candidates: DataFrame, subjects: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -120,8 +129,14 @@ def asof_snapshot(requests: DataFrame, saved: DataFrame, fresh_hours: int = 72,
     requests: key, as_of, live_failed; saved: key, saved_at. A stale row serves only if the live source failed.
     """
     age = F.timestamp_diff("MICROSECOND", F.col("saved_at"), F.col("as_of")) / F.lit(3.6e9)
-    j = requests.join(saved.withColumnRenamed("key", "s_key"), (F.col("key") == F.col("s_key")) & (F.col("saved_at") <= F.col("as_of")), "left")
-    g = j.groupBy(*requests.columns).agg(F.max(F.when(age <= stale_hours, F.col("saved_at"))).alias("saved_at"))
+    r = requests.withColumn("_row", F.monotonically_increasing_id())
+    oldest = requests.agg(F.min("as_of"), F.max("as_of")).first()
+    recent = saved.withColumnRenamed("key", "s_key")
+    if oldest[0] is not None:  # rows that no request can use are not sent
+        recent = recent.where((F.col("saved_at") >= F.lit(oldest[0]) - F.make_dt_interval(hours=F.lit(stale_hours))) & (F.col("saved_at") <= F.lit(oldest[1])))
+    recent = recent.dropDuplicates(["s_key", "saved_at"])
+    j = r.join(recent, (F.col("key") == F.col("s_key")) & (F.col("saved_at") <= F.col("as_of")) & (age <= stale_hours), "left")
+    g = j.groupBy("_row", *requests.columns).agg(F.max("saved_at").alias("saved_at")).drop("_row")
     state = F.when(F.col("saved_at").isNull(), "none").when(age <= fresh_hours, "fresh").when(F.col("live_failed"), "stale").otherwise("none")
     g = g.withColumn("state", state)
     return g.withColumn("snapshot_at", F.when(F.col("state") != "none", F.col("saved_at"))).drop("saved_at")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import finite, half_up
+
 #: Fixed value: the order in which a business's signals are shown.
 SIGNAL_ORDER = ("momentum", "offer", "hiring", "risk", "change", "social")
 
@@ -63,6 +65,23 @@ def plural(n: Column, one: str, many: str) -> Column:
     return F.concat_ws(" ", n.cast("string"), F.when(n == 1, one).otherwise(many))
 
 
+def market_names(names: DataFrame, most: int = 3) -> DataFrame:
+    """(market_id, names): the first ``most`` names of each market in words and how many more; no market is gathered whole."""
+    n = F.row_number().over(Window.partitionBy("market_id").orderBy("name"))
+    top = names.withColumn("_n", n).where(F.col("_n") <= most + 1).groupBy("market_id").agg(F.sort_array(F.collect_list("name")).alias("ns"))
+    total = names.groupBy("market_id").agg(F.count("*").alias("n"))
+    more = F.concat(F.array_join(F.slice("ns", 1, most), ", "), F.lit(" and "), (F.col("n") - most).cast("string"), F.lit(" more"))
+    return top.join(total, "market_id").select("market_id", F.when(F.col("n") <= most, list_names(F.col("ns"), most)).otherwise(more).alias("names"))
+
+
+def distance_range(records: DataFrame) -> DataFrame:
+    """(market_id, distances): the nearest and the farthest finite distance in words, one number if both read alike; null without any."""
+    km = lambda c: F.when(c < 10, F.format_string("%.1f", half_up(c, 1))).otherwise(half_up(c).cast("string"))
+    g = records.groupBy("market_id").agg(F.min(finite(F.col("distance_km"))).alias("a"), F.max(finite(F.col("distance_km"))).alias("b"))
+    a, b = km(F.col("a")), km(F.col("b"))
+    return g.select("market_id", F.when(a == b, F.concat(a, F.lit(" km"))).otherwise(F.concat(a, F.lit("–"), b, F.lit(" km"))).alias("distances"))
+
+
 def list_names(names: Column, most: int = 3) -> Column:
     """a, a and b, or a, b and n more."""
     n = F.size(names)

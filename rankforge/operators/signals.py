@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Social platforms by host, and path beginnings that are no profile.
-SOCIAL = {"facebook.com": "facebook", "instagram.com": "instagram", "linkedin.com": "linkedin", "youtube.com": "youtube", "tiktok.com": "tiktok", "x.com": "x", "twitter.com": "x"}
-NO_PROFILE = r"^/(share|sharer|intent|embed|login|signup|dialog|plugins|hashtag)\b"
+#: Social platforms by host, and beginnings of paths that are no profile.
+SOCIAL = {"facebook.com": "facebook", "fb.com": "facebook", "instagram.com": "instagram", "linkedin.com": "linkedin", "youtube.com": "youtube", "youtu.be": "youtube", "x.com": "x", "twitter.com": "x", "tiktok.com": "tiktok"}
+NO_PROFILE = ("sharer", "share", "sharearticle", "sharing", "dialog", "intent", "plugins", "embed", "home", "login", "cws/share")
 COMPANY_ENDINGS = r"\b(inc|llc|ltd|co|corp|company|gmbh|limited|corporation)\b"
 
 
@@ -22,7 +22,13 @@ def for_matching(text: Column) -> Column:
 def keyword_pattern(keyword: Column) -> Column:
     """Whole word or phrase with an optional s; white space inside is flexible."""
     quoted = F.regexp_replace(F.lower(keyword), r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    return F.concat(F.lit(r"(?U)(?<![a-z0-9])"), F.regexp_replace(quoted, r"\s+", r"\\s+"), F.lit(r"s?(?![a-z0-9])"))
+    return F.concat(F.lit(r"(?<![a-z0-9])"), F.regexp_replace(quoted, r"\s+", r"[\\s\\p{Z}]+"), F.lit(r"s?(?![a-z0-9])"))
+
+
+def _count(text: str, keyword: str) -> Column:
+    """Matches of a keyword; a text without its first word isn't searched."""
+    first = keyword.lower().split()[0] if keyword.split() else ""
+    return F.when(F.contains(F.col(text), F.lit(first)), F.regexp_count(text, keyword_pattern(F.lit(keyword)))).otherwise(0)
 
 
 def keyword_hits(pages: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
@@ -32,12 +38,11 @@ def keyword_hits(pages: DataFrame, lexicon: DataFrame, text: str = "text") -> Da
     every page's text is normalised once and no pair of page and keyword is a shuffled row.
     """
     words = [r.asDict() for r in lexicon.select("category", "kw_ord", "keyword").orderBy("category", "kw_ord").collect()]
-    if len(words) > 10_000:
-        raise ValueError("the lexicon has over 10000 keywords")
     p = pages.withColumn("_t", for_matching(F.col(text)))
-    hits = [F.struct(F.lit(w["category"]).alias("category"), F.lit(w["kw_ord"]).alias("kw_ord"), F.lit(w["keyword"]).alias("keyword"), F.regexp_count("_t", keyword_pattern(F.lit(w["keyword"]))).alias("n")) for w in words]
-    p = p.withColumn("_h", F.filter(F.array(*hits), lambda h: h["n"] > 0)).drop("_t")
-    return p.select(*[c for c in pages.columns if c != text], F.inline("_h"))
+    hits = [F.struct(F.lit(w["category"]).alias("category"), F.lit(w["kw_ord"]).alias("kw_ord"), F.lit(w["keyword"]).alias("keyword"), _count("_t", w["keyword"]).alias("n")) for w in words]
+    # an outer generator: before an inner one the optimizer puts a filter that counts every keyword a second time
+    rows = p.select(*[c for c in pages.columns if c != text], F.inline_outer(F.filter(F.array(*hits), lambda h: h["n"] > 0)))
+    return rows.where("n IS NOT NULL")
 
 
 def site_signals(hits: DataFrame) -> DataFrame:
@@ -56,7 +61,7 @@ def social_platform(url: Column) -> Column:
     out = F.lit(None).cast("string")
     for h, name in SOCIAL.items():
         out = F.when((host == h) | host.endswith("." + h), name).otherwise(out)
-    return F.when(~path.isin("", "/") & ~path.rlike(NO_PROFILE), out)
+    return F.when(~path.isin("", "/") & ~path.rlike(f"^/({'|'.join(NO_PROFILE)})([/.?]|$)"), out)
 
 
 @F.pandas_udf(T.StringType())
@@ -82,9 +87,12 @@ def attribute_articles(articles: DataFrame, entities: DataFrame) -> DataFrame:
     enough). Joined on the name's first word, which the title must hold as a word, so no nested loop.
     """
     e = entities.withColumn("first", F.substring_index("name_norm", " ", 1))
-    w = articles.withColumn("first", F.explode(F.array_distinct(F.split("title_norm", " "))))
-    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    hit = w.join(e, ["market_id", "first"]).where(F.contains(pad("title_norm"), pad("name_norm")))
+    # a word is sent with as much of the title as the longest name has words, never with all of it
+    longest = e.agg(F.max(F.size(F.split("name_norm", " ")))).first()[0] or 1
+    words = F.split("title_norm", " ")
+    w = articles.select("market_id", "article", F.posexplode(words).alias("at", "first"), words.alias("ws"))
+    w = w.select("market_id", "article", "first", F.array_join(F.slice("ws", F.col("at") + 1, longest), " ").alias("here")).distinct()
+    hit = w.join(e, ["market_id", "first"]).where(F.startswith(F.concat(F.col("here"), F.lit(" ")), F.concat(F.col("name_norm"), F.lit(" "))))
     g = hit.groupBy("market_id", "article").agg(F.max(F.struct(F.length("name_norm").alias("n"), F.col("name_norm").alias("best"), F.col("entity"))).alias("b"), F.collect_set("name_norm").alias("all"))
     ok = F.forall("all", lambda x: F.contains(F.concat(F.lit(" "), F.col("b.best"), F.lit(" ")), F.concat(F.lit(" "), x, F.lit(" "))))
     return g.where(ok).select("market_id", "article", F.col("b.entity").alias("entity"))

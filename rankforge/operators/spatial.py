@@ -40,6 +40,17 @@ def radius_join(markets: DataFrame, points: DataFrame, pad_cells: int = 0) -> Da
     return near.where("distance_km <= radius_km").drop("m_lat", "m_lon", "cell_row", "cell_col", "radius_km")
 
 
+def tagged_in_radius(markets: DataFrame, points: DataFrame, pairs: DataFrame, pad_cells: int = 0) -> DataFrame:
+    """radius_join of the named points whose tags (map) hold one of their market's (key, value) pairs; a point comes once a market.
+
+    pairs: market_id, key, value, as few as a business type has tags.
+    """
+    wanted = pairs.groupBy("market_id").agg(F.collect_set(F.struct("key", "value")).alias("_pairs"))
+    named = points.where(F.coalesce(F.try_element_at("tags", F.lit("name")), F.lit("")) != "")
+    near = radius_join(markets, named, pad_cells).join(wanted, "market_id")
+    return near.where(F.exists("_pairs", lambda p: F.coalesce(F.try_element_at("tags", p["key"]) == p["value"], F.lit(False)))).drop("_pairs")
+
+
 def box_covers(markets: DataFrame) -> DataFrame:
     """Adds covered: the whole circle's box lies in the region's box (r_south, r_north, r_west, r_east)."""
     d_lat = F.col("radius_km") * 1000 / METRES_A_DEGREE

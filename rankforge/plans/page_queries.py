@@ -42,9 +42,9 @@ def page_text(spark, sf):
     return _features(spark, sf).select("page_id", "title", "word_count", F.length("text").alias("text_chars"), F.length("content").alias("content_chars"))
 
 
-@query(r"SELECT page_id, len(regexp_extract_all(html, '<a href=\"/'))::BIGINT AS n_links FROM pages WHERE len(regexp_extract_all(html, '<a href=\"/')) BETWEEN 1 AND 30")
+@query(r"WITH a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root, regexp_extract_all(html, '<a href=\"(/[^\"]*)\">[^<]*', 1) AS hs, regexp_extract_all(html, '<a href=\"/[^\"]*\">([^<]*)', 1) AS ls FROM pages) SELECT page_id, (ord - 1)::INTEGER AS ord, root || hs[ord] AS href, left(trim(replace(ls[ord], '&amp;', '&')), 60) AS label FROM (SELECT *, unnest(range(1, least(len(hs), 30) + 1)) AS ord FROM a)")
 def page_links(spark, sf):
-    return audit.page_links(_features(spark, sf)).groupBy("page_id").agg(F.count("*").alias("n_links"))
+    return audit.page_links(_features(spark, sf)).select("page_id", "ord", "href", "label")
 
 
 @query()
@@ -68,10 +68,8 @@ def contact_flags(spark, sf):
 
 
 def _audits(spark: SparkSession, sf: str) -> DataFrame:
-    f = _features(spark, sf)
-    links = audit.page_links(f).groupBy("page_id").agg(*[F.bool_or(F.col("type").isin(*t)).alias(n) for n, t in (("has_contact", ("contact",)), ("has_booking", ("booking", "quote")), ("has_services", ("services",)), ("has_pricing", ("pricing",)), ("has_about", ("about",)), ("has_blog", ("blog",)))])
-    flags = ["has_contact", "has_booking", "has_services", "has_pricing", "has_about", "has_blog"]
-    a = f.join(links, "page_id", "left").fillna(False, flags).join(audit.contact_flags(f), "page_id")
+    flags = {"has_contact": ("contact",), "has_booking": ("booking", "quote"), "has_services": ("services",), "has_pricing": ("pricing",), "has_about": ("about",), "has_blog": ("blog",)}
+    a = audit.with_contact_flags(audit.link_type_flags(_features(spark, sf), flags))
     word = lambda w: F.regexp_count(signals.for_matching(F.col("text")), signals.keyword_pattern(F.lit(w)))
     return a.select("page_id", "url", "title", "meta_description", "h1_count", "word_count", F.lit("tion").alias("business_type"), F.lit("Thon, CA").alias("market"), F.col("text").alias("body_text"), word("the").alias("cta_count"), "has_phone", "has_email", *flags, (word("of") > 0).alias("has_testimonials"), (word("and") > 0).alias("has_trust"), (word("that") > 0).alias("has_gallery"), "heading_count", "has_viewport", (F.col("page_id") % 5000).alias("fetch_ms"), "html_bytes", F.startswith("url", F.lit("https:")).alias("is_https"))
 
@@ -109,14 +107,14 @@ def site_signals(spark, sf):
     return signals.site_signals(signals.keyword_hits(docs, _lexicon(spark)))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g') AS text FROM documents")
+@query(r"SELECT doc_id, regexp_replace(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', '[email]', 'g') AS text FROM documents")
 def redact_emails(spark, sf):
     return table(spark, sf, "documents").select("doc_id", scalars.redact_emails(F.col("text")).alias("text"))
 
 
 @query()
 def normalize_name(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", signals.normalize_name(F.substring_index("text", "\n", 1)).alias("name"))
+    return table(spark, sf, "documents").select("doc_id", signals.normalize_name(F.col("text")).alias("name"))
 
 
 @query(r"WITH u AS (SELECT page_id, trim(url) AS u FROM pages), m AS (SELECT page_id, lower(regexp_extract(u, '(?i)^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 1)) AS s, lower(regexp_extract(u, '(?i)^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 2)) AS h, regexp_extract(u, '(?i)^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 3) AS p, regexp_extract(u, '(?i)^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 4) AS q, u FROM u) SELECT page_id, CASE WHEN h = '' THEN lower(u) ELSE s || '://' || h || CASE WHEN p IN ('', '/') THEN '/' ELSE regexp_replace(p, '/$', '') END || q END AS canonical FROM m")
@@ -149,14 +147,19 @@ def describe_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.describe_url(F.col("url")).alias("shown"))
 
 
-@query("SELECT page_id, NULL::VARCHAR AS platform FROM pages")
+_PROFILES = "CASE page_id % 12 WHEN 0 THEN 'https://fb.com/p' WHEN 1 THEN 'https://www.facebook.com/sharer.php?u=' WHEN 2 THEN 'http://youtu.be/v' WHEN 3 THEN 'https://m.youtube.com/embed/x' WHEN 4 THEN 'https://twitter.com/intent/tweet?x=' WHEN 5 THEN 'https://x.com/name' WHEN 6 THEN 'https://linkedin.com/shareArticle?u=' WHEN 7 THEN 'https://uk.linkedin.com/company/y' WHEN 8 THEN 'https://www.tiktok.com/' WHEN 9 THEN 'https://instagram.com/shares' WHEN 10 THEN 'https://notx.com/a' ELSE '' END"
+
+
+@query("SELECT page_id, CASE WHEN url LIKE '' THEN NULL ELSE CASE page_id % 12 WHEN 0 THEN 'facebook' WHEN 2 THEN 'youtube' WHEN 5 THEN 'x' WHEN 7 THEN 'linkedin' WHEN 9 THEN 'instagram' END END AS platform FROM pages")
 def social_platform(spark, sf):
-    return table(spark, sf, "pages").select("page_id", signals.social_platform(F.col("url")).alias("platform"))
+    """The pages' urls behind a profile or a share button (the given pages link to no platform)."""
+    href = F.concat(F.expr(_PROFILES), F.when(F.col("page_id") % 12 == 11, F.col("url")).otherwise(""))
+    return table(spark, sf, "pages").select("page_id", signals.social_platform(href).alias("platform"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[<>`{}\x00-\x08\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g').trim() AS clean FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[<>`{}\x00-\x08\x0E-\x1F\x7F]', '', 'g'), '[\s\p{Z}\x0B\x{85}]+', ' ', 'g').trim() AS clean FROM documents")
 def sanitize_text(spark, sf):
-    return table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", scalars.sanitize(F.col("text")).alias("clean"))
+    return table(spark, sf, "documents").select("doc_id", scalars.sanitize(F.col("text")).alias("clean"))
 
 
 @query(r"SELECT doc_id, CASE WHEN len(regexp_split_to_array(trim(text), '[ \t\n\f\r]+')) > 12 THEN array_to_string(regexp_split_to_array(trim(text), '[ \t\n\f\r]+')[1:12], ' ') || '…' ELSE trim(text) END AS short FROM documents")

@@ -38,9 +38,9 @@ def quota_anchored(spark, sf):
     return quota.quota_anchored(_events(spark, sf), 86400, 2).select("ord", "key", "window_no", "admitted")
 
 
-@query("WITH d AS (SELECT ts::DATE AS day, count(*) AS n FROM events WHERE event_id % 400 = 0 GROUP BY 1), l AS (SELECT *, CASE WHEN day - lag(day) OVER (ORDER BY day) < 2 THEN 0 ELSE 1 END AS new FROM d), s AS (SELECT *, sum(new) OVER (ORDER BY day) AS life FROM l) SELECT life::BIGINT AS life, min(day) AS first_day, max(day) AS last_day, sum(n)::BIGINT AS n_events FROM s GROUP BY 1")
+@query("WITH d AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1), l AS (SELECT *, CASE WHEN day - lag(day) OVER (ORDER BY day) < 2 THEN 0 ELSE 1 END AS new FROM d), s AS (SELECT *, sum(new) OVER (ORDER BY day) AS life FROM l) SELECT life::BIGINT AS life, min(day) AS first_day, max(day) AS last_day, sum(n)::BIGINT AS n_events FROM s GROUP BY 1")
 def retention_sessions(spark, sf):
-    return quota.retention_sessions(_events(spark, sf).where("ord % 400 = 0"), 2)
+    return quota.retention_sessions(_events(spark, sf), 2)
 
 
 @query("WITH r AS (SELECT DISTINCT o_custkey AS k, DATE '1997-01-01'::TIMESTAMP AS a, o_custkey % 2 = 0 AS live_failed FROM orders), j AS (SELECT k, live_failed, max(o_orderdate) AS s FROM r LEFT JOIN orders ON o_custkey = k AND o_orderdate <= a AND date_diff('microsecond', o_orderdate, a) / 3.6e9 <= 8760 GROUP BY ALL) SELECT k AS key, CASE WHEN s IS NULL THEN 'none' WHEN date_diff('microsecond', s, TIMESTAMP '1997-01-01') / 3.6e9 <= 2190 THEN 'fresh' WHEN live_failed THEN 'stale' ELSE 'none' END AS state FROM j")
@@ -112,10 +112,10 @@ def market_status(spark, sf):
     return resolve.market_status(s).select("market_id", "code", F.coalesce("retryable", F.lit(False)).alias("retryable"))
 
 
-@query("WITH e AS (SELECT lower(trim(role || conv_id % 50 || '@x.org')) AS email, conv_id * 1000 + turn AS ord, role AS source, CASE WHEN turn % 2 = 0 THEN trim(left(text, 20)) END AS m FROM conversations) SELECT email, min(ord) AS first_ord, arg_min(source, ord) AS source, count(*)::BIGINT AS n_events FROM e GROUP BY 1")
+@query(r"WITH e AS (SELECT conv_id * 1000 + turn AS o, lower(trim(concat(role, cast(conv_id % 50 AS VARCHAR), '@x.org '))) AS email, role, CASE WHEN turn % 2 = 0 THEN text END AS m FROM conversations) SELECT email, min(o) AS first_ord, min_by(role, o) AS source, count(*)::BIGINT AS n_events, string_agg('[' || o || '] ' || trim(m), chr(10) ORDER BY o) FILTER (WHERE trim(m) <> '') AS messages FROM e GROUP BY email")
 def merge_signups(spark, sf):
-    e = table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn AS event_ord", "concat(role, cast(conv_id % 50 as string), '@x.org ') AS email", "role AS source", "CASE WHEN turn % 2 = 0 THEN left(text, 20) END AS message")
-    return reports.merge_signups(e).select("email", "first_ord", "source", "n_events")
+    e = table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn AS event_ord", "concat(role, cast(conv_id % 50 as string), '@x.org ') AS email", "role AS source", "CASE WHEN turn % 2 = 0 THEN text END AS message")
+    return reports.merge_signups(e).select("email", "first_ord", "source", "n_events", "messages")
 
 
 @query("SELECT CASE WHEN event_id % 3 = 0 THEN 'v2' ELSE 'legacy' END AS generation, count(*)::BIGINT AS n_reports, sum(CASE WHEN event_id % 10 <> 0 THEN event_id % 8 END)::BIGINT AS n_competitors, count_if(event_id % 10 = 0)::BIGINT AS n_unreadable FROM events WHERE event_id % 3 <> 2 GROUP BY 1")
@@ -142,9 +142,9 @@ def serving_pool(spark, sf):
     return reports.serving_pool(_snapshots(spark, sf), "1997-01-01")
 
 
-@query(f"WITH {_SNAP} SELECT count_if(age <= 72)::BIGINT AS active, count(*)::BIGINT AS retained, floor(min(age) * 100 + 0.5e0) / 100 AS newest_h, floor(max(age) * 100 + 0.5e0) / 100 AS oldest_h, count_if(age <= 72) < 10 AS low_active, count_if(age <= 72) = 0 AS serving_retained, (SELECT count(*) FROM (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey % 50 = 0) c WHERE id NOT IN (SELECT id FROM ok WHERE age <= 72))::BIGINT AS lacking FROM ok")
+@query(f"WITH {_SNAP} SELECT count_if(age <= 72)::BIGINT AS active, count(*)::BIGINT AS retained, floor(min(age) * 100 + 0.5e0) / 100 AS newest_h, floor(max(age) * 100 + 0.5e0) / 100 AS oldest_h, count_if(age <= 72) < 10 AS low_active, count_if(age <= 72) = 0 AS serving_retained, (SELECT count(*) FROM (SELECT DISTINCT o_orderkey AS id FROM orders) c WHERE id NOT IN (SELECT id FROM ok WHERE age <= 72))::BIGINT AS lacking FROM ok")
 def pool_health(spark, sf):
-    return reports.pool_health(_snapshots(spark, sf), _snapshots(spark, sf).where("id % 50 = 0"), "1997-01-01")
+    return reports.pool_health(_snapshots(spark, sf), _snapshots(spark, sf), "1997-01-01")
 
 
 @query("SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'blocked' WHEN 2 THEN 'http_5xx' WHEN 3 THEN 'dns' WHEN 4 THEN 'timeout' ELSE 'connection' END AS failure FROM events")

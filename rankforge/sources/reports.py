@@ -90,6 +90,15 @@ def write_csv(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
     rows.select(*safe).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
 
 
+def json_rows(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(json) of each row: the given columns that it has a value for, in that order."""
+    return rows.select(F.to_json(F.struct(*columns)).alias("json"))
+
+
+def write_json(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
+    json_rows(rows, columns).write.mode("overwrite").text(path)
+
+
 def write_reports(valid: DataFrame, path: str) -> None:
     """Reports by created date, so that retention drops whole folders."""
     valid.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy("created_date").json(path)

@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Requests of a client that each kind of call admits in a window, and the window's seconds.
+GUARD_LIMITS = {"analyze": 10, "sample": 30, "waitlist": 5, "reports": 60, "refresh-auth": 10}
+GUARD_SECONDS = 60
+
+
+def guard(events: DataFrame, limits: dict[str, int] = GUARD_LIMITS, seconds: int = GUARD_SECONDS) -> DataFrame:
+    """Adds most, admitted and used_before by the limit of the event's bucket; a bucket without a limit is never admitted. events: ord, ts, key, bucket."""
+    most = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("bucket")]
+    e = events.withColumn("_w", F.floor(F.unix_seconds("ts") / seconds))
+    n = F.row_number().over(Window.partitionBy("bucket", "key", "_w").orderBy("ts", "ord"))
+    e = e.withColumn("used_before", (n - 1).cast("bigint")).withColumn("most", most)
+    return e.withColumn("admitted", F.coalesce(F.col("used_before") < F.col("most"), F.lit(False))).drop("_w")
+
+
 def quota_tumbling(events: DataFrame, seconds: int, most: int) -> DataFrame:
     """Adds window_start, admitted, used_before and reset_at: the first ``most`` of a key in each epoch-aligned window. events: ord, ts, key."""
     e = events.withColumn("_w", F.floor(F.unix_seconds("ts") / seconds) * seconds)
