@@ -229,12 +229,12 @@ def link_fingerprints(fps: DataFrame, n: int, max_distance: int, words: int = 1,
     return rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block").mapInArrow(link, "src long, dst long")
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, min_similarity: float, shingle: int, max_distance: int, words: int = 1, reach: tuple[int, float] | None = None, n_pivots: int = PIVOTS) -> DataFrame:
-    """Links (src, dst) between nodes (id, fp) whose texts (id, t) have that Jaccard similarity of their shingles or more.
+def similar_groups(nodes: DataFrame, texts: DataFrame, min_similarity: float, shingle: int, max_distance: int, words: int = 1, reach: tuple[int, float] | None = None, n_pivots: int = PIVOTS) -> DataFrame:
+    """(node, component) of nodes (id, fp) linked to others: their texts (id, t) have that Jaccard similarity of their shingles or more.
 
     The spanning edges of the fingerprints are candidates, so copies never make all pairs. Each is verified on the
     whole texts. Nodes that a failed candidate led to are tried again, by the smallest node of what is linked so far,
-    until a round links nothing new.
+    until a round links nothing new. A round starts from the components of the one before, not from all links.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, min_similarity: float, shi
             ok = [similarity(*(np.unique(shingle_hashes(t, shingle)) for t in pair)) >= min_similarity for pair in pairs]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["src", "dst", "ok"])
 
-    links, now = None, nodes
+    groups, now = None, nodes
     while True:
         n = now.count()
         sampled, width = plan_tables(n, 64 * words, *reach) if reach else (0, 16)
@@ -252,10 +252,11 @@ def similar_links(nodes: DataFrame, texts: DataFrame, min_similarity: float, shi
         full = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
         judged = materialize(full.mapInArrow(judge, "src long, dst long, ok boolean"), "judged")
         good, failed = judged.where("ok").select("src", "dst"), judged.where("NOT ok")
-        links = good if links is None else links.union(good)
+        if groups is None or not good.isEmpty():
+            links = good if groups is None else good.union(groups.where("node <> component").select("component", "node"))
+            groups = connected_components(links)
         if good.isEmpty() or failed.isEmpty():
-            return links
-        groups = connected_components(links)
+            return groups
         ends = failed.select("src").union(failed.select("dst")).distinct()
         again = ends.join(groups, ends["src"] == groups["node"], "left").select(F.coalesce("component", "src").alias("id")).distinct()
         now = materialize(nodes.join(again, "id", "left_semi"), "nodes")
@@ -275,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
         marked = materialize(_add_digests(rows, shingle, words), "fingerprints")
         nodes = materialize(marked.where("id IS NOT NULL").groupBy("fp", "sig").agg(F.min("id").alias("id")), "nodes")
-        groups = connected_components(similar_links(nodes.select("id", "fp"), rows, min_similarity, shingle, max_distance, words, reach, n_pivots))
+        groups = similar_groups(nodes.select("id", "fp"), rows, min_similarity, shingle, max_distance, words, reach, n_pivots)
         of = nodes.join(groups, nodes["id"] == groups["node"], "left").select("fp", "sig", F.coalesce("component", "id").alias("component_id"))
         out = marked.join(of, ["fp", "sig"], "left")
         return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
