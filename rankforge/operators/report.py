@@ -104,6 +104,34 @@ def position_text(summary: DataFrame) -> DataFrame:
     return summary.select("market_id", F.concat(head, gap).alias("text"))
 
 
+#: Our wording of what scores rest on.
+METHODOLOGY = "Scores rest on what fetched homepages and directory rows show. An input that was not observed is N/A and leaves the score. Equal scores share a rank; chain locations are listed without one."
+
+
+def report_notes(records: DataFrame, recommended: DataFrame) -> DataFrame:
+    """(market_id, quality, summary, action): the texts on a market's data, findings and lack of a plan, in our own words.
+
+    records: ranked rows with ``outcome`` and ``audit_status``; recommended: market_id, n_recommendations. With
+    recommendations there is no action text.
+    """
+    state = lambda s: F.count_if(F.col("audit_status") == s)
+    other = ~F.col("is_user")
+    outcome = lambda o: F.count_if(other & F.col("outcome").startswith(o))
+    g = records.groupBy("market_id").agg(
+        F.count("*").alias("n"), F.count_if(other).alias("others"), state("unavailable").alias("failed"), state("partial").alias("limited"), F.count_if(~other & F.col("scored")).alias("own"),
+        *[outcome(o).alias(f"n_{o}") for o in ("chain", "scored", "no_website", "not_attempted", "failed")],
+    ).join(recommended, "market_id")
+    said = lambda c, text: F.when(F.col(c) > 0, text)
+    num = lambda c, words: F.concat(F.col(c).cast("string"), F.lit(words))
+    parts = F.concat_ws(", ", num("n_scored", " scored"), said("n_no_website", num("n_no_website", " without a website")), said("n_failed", plural(F.col("n_failed"), "failed audit", "failed audits")), said("n_not_attempted", num("n_not_attempted", " beyond the audit limit")), said("n_chain", plural(F.col("n_chain"), "chain location", "chain locations")))
+    coverage = F.when(F.col("failed") == 0, "Full").when(F.col("failed") < F.col("n"), "Limited").otherwise("No")
+    nearby = F.coalesce(said("others", F.concat(F.lit(" Nearby: "), parts, F.lit("."))), F.lit(""))
+    thin = F.coalesce(said("limited", F.concat(F.lit(" "), plural(F.col("limited"), "audit", "audits"), F.lit(" saw the homepage only."))), F.lit(""))
+    summary = F.concat(F.lit("Found "), plural(F.col("others"), "business", "businesses"), F.lit(" nearby; "), num("n_scored", " could be scored. What was not observed is N/A and never zero."))
+    action = F.when(F.col("n_recommendations") > 0, None).when(F.col("own") == 0, "Nothing to act on: the own audit was unavailable.").when(F.col("n_scored") == 0, "Nothing to act on: no other business was scored.").otherwise("No gap: every element checked was seen.")
+    return g.select("market_id", F.concat(coverage, F.lit(" coverage."), nearby, thin).alias("quality"), summary.alias("summary"), action.alias("action"))
+
+
 def snapshot_rows(ranked: DataFrame, signals: DataFrame, most: int = 10) -> DataFrame:
     """Table rows of a market: rank order, the user first on a tie, unranked last, with the first available signal."""
     order = F.array_position(F.array(*[F.lit(s) for s in SIGNAL_ORDER]), F.col("category"))

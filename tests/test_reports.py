@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from rankforge.operators import provenance, report
+from rankforge.operators import invariants, provenance, report
 from rankforge.sources import pages, reports
 from rankforge.streaming import admission, quota
 
@@ -82,3 +82,37 @@ def test_stream_counts_equal_the_batch(spark, tmp_path):
     got = {(r["key"], r["window"]["start"]): r["count"] for r in spark.table("counts").collect()}
     want = {(r["key"], r["window_start"]): r["n"] for r in quota.quota_tumbling(rows, 600, 5).groupBy("key", "window_start").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_sound_reports_break_no_invariant(spark):
+    e = spark.sql("SELECT 1 AS report_id, 2 AS schema_version, 'real-only' AS policy, false AS synthetic, CAST(null AS int) AS scoring_version, 1 AS n_sources, 90D AS lat, -180D AS lon, '2026-01-01T10:00:00Z' AS generated_at")
+    assert invariants.envelope_violations(e).count() == 0
+    bad = e.select("report_id", *[F.lit(None).cast(t).alias(c) for c, t in e.dtypes if c != "report_id"])
+    assert {r["rule"] for r in invariants.envelope_violations(bad).collect()} == {"schema_version", "policy", "synthetic", "no_sources", "coordinates", "generated_at"}
+    s = spark.sql("SELECT 1 AS report_id, 1 AS source_id, 'homepage' AS kind, 'p' AS provider, 't' AS title, '2026-01-01' AS accessed_at, 'used' AS status, 'HTTP://a.example' AS url")
+    assert invariants.source_row_violations(s).count() == 0
+    c = spark.sql("SELECT 1 AS report_id, * FROM VALUES ('a', true, array(1)), ('b', false, slice(array(1), 1, 0)), ('c', true, slice(array(1), 1, 0)), ('d', true, array(1, 1, 7, 8)), ('e', false, null) t(label, required, source_ids)")
+    assert {(r["label"], r["rule"]) for r in invariants.citation_violations(c, s).collect()} == {("c", "empty"), ("d", "repeated"), ("d", "unknown"), ("e", "missing")}
+
+
+def test_record_states_find_one_broken_field(spark):
+    good = {"market_id": 1, "id": "a", "available": True, "is_chain": False, "skipped": False, "audit_status": "complete", "signal_status": "complete", "rank": 1, "tied": False, "word_count": 5, **{c: 50.0 for c in invariants.SCORES}}
+    down = good | {"id": "b", "available": False, "skipped": True, "audit_status": "unavailable", "signal_status": "unavailable", "rank": None, "word_count": None, **{c: None for c in invariants.SCORES}}
+    kinds = {bool: "boolean", str: "string", int: "int", float: "double"}
+    schema = ", ".join(f"{c} {kinds[type(v)]}" for c, v in good.items())
+    found = lambda *rows: {(r["id"], r["rule"]) for r in invariants.record_state_violations(spark.createDataFrame([tuple(r[c] for c in good) for r in rows], schema), ("word_count",)).collect()}
+    assert found(good, down) == set() and found() == set()
+    for change, rule in (({"risk": 101.0}, "risk_range"), ({"momentum": float("nan")}, "momentum_range"), ({"change": None}, "change_missing"), ({"is_chain": True}, "chain_scored"), ({"signal_status": None}, "audit_states"), ({"tied": True}, "tied")):
+        assert found(good | change, down) == {("a", rule)}
+    assert found(good, down | {"skipped": None, "word_count": 0}) == {("b", "not_skipped"), ("b", "word_count_observed")}
+    assert found(good, good | {"id": "c"}) == {("a", "tied"), ("c", "tied")}
+
+
+def test_summaries_must_follow_from_records(spark):
+    rows = spark.sql("SELECT 1 AS market_id, * FROM VALUES ('a', 'A', true, true, false, 60, 60, 2, false, 'scored', 'complete'), ('b', 'B', false, true, false, 70, 71, 1, false, 'scored', 'partial'), ('c', 'C', false, false, false, null, null, null, false, 'failed:timeout', 'unavailable') t(id, name, is_user, scored, is_chain, website_score, final_score, rank, tied, outcome, audit_status)")
+    said = spark.sql("SELECT 1 AS market_id, 2L AS competitors, 1L AS audited, 70L AS average_website, 71L AS average_final, 2 AS your_rank, false AS your_tied, -11L AS market_gap, 'recoverable' AS status, 1L AS failed, 1L AS limited, 0L AS chains, 1L AS scored, 0L AS no_website, 0L AS not_attempted, 1L AS audit_failed")
+    assert invariants.summary_violations(said, rows).count() == 0
+    rules = lambda s: {r["rule"] for r in invariants.summary_violations(s, rows).collect()}
+    assert rules(said.withColumn("market_gap", F.lit(None).cast("long"))) == {"market_gap"}
+    assert rules(said.withColumn("limited", F.lit(0)).withColumn("status", F.lit("leading"))) == {"limited", "status"}
+    assert rules(said.limit(0)) == {"summary_missing"}
