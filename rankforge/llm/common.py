@@ -81,25 +81,26 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, count: str, spread:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of every node that has an edge to another one; the component is its smallest node.
 
-    Alternates large-star and small-star rounds (each links nodes to the smallest neighbour) until no edge
-    changes, which takes about log(n) rounds. Minima are aggregated map-side and joined back by salted keys, so a
+    Alternates large-star and small-star rounds (each links nodes to the smallest neighbour) until every node has
+    one edge to a root, which takes about log(n) rounds. Minima are aggregated map-side and joined back by salted keys, so a
     hub with a third of all edges is dealt over many tasks and is never a collected group. Each round is written and
     the one before it deleted. Null ends and self-loops are no edges.
     """
     spark = edges.sparkSession
     now = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
     now = materialize(now.distinct(), "edges")
-    before, path = None, made[-1]
+    path = made[-1]
     while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == before or seen[0] == 0:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
+        nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        n, knots = nodes.agg(F.sum("up"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+        if not knots:
             break
-        before = seen
         both = now.union(now.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = salted_join(both, low, "u", "n", "v", 2 * seen[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = salted_join(both, low, "u", "n", "v", 2 * n).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = salted_join(large, low, "a", "n", "b", 2 * seen[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = salted_join(large, low, "a", "n", "b", 2 * n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         drop_tables(spark, [path])
         path = made[-1]

@@ -252,10 +252,11 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, min_similarity: float, sh
         full = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
         judged = materialize(full.mapInArrow(judge, "src long, dst long, ok boolean"), "judged")
         good, failed = judged.where("ok").select("src", "dst"), judged.where("NOT ok")
-        if groups is None or not good.isEmpty():
+        n_good, n_failed = judged.agg(F.count_if("ok"), F.count_if(~F.col("ok"))).first()
+        if groups is None or n_good:
             links = good if groups is None else good.union(groups.where("node <> component").select("component", "node"))
             groups = connected_components(links)
-        if good.isEmpty() or failed.isEmpty():
+        if not n_good or not n_failed:
             return groups
         ends = failed.select("src").union(failed.select("dst")).distinct()
         again = ends.join(groups, ends["src"] == groups["node"], "left").select(F.coalesce("component", "src").alias("id")).distinct()
