@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licences, lm, mixing, packing, passages, quality, sharding, simhash, urls
+from . import ann, collocations, licences, lm, mixing, packing, passages, quality, sharding, simhash, urls
 from .common import materialize, table
 
 #: Vocabulary of op9 and of the pipeline's packing, by name in the folder of public tokenizers.
@@ -69,13 +69,17 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_distance=4)
 
 
+def op11_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_passages, op2_licence_sentences, op3_quality_cascade, op4_mix_sources, op5_url_aliases, op6_min_cost_reshard, op7_backoff_automaton, op8_one_bit_codes, op9_shortest_pack_first, op10_simhash_pivots, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_passages, op2_licence_sentences, op3_quality_cascade, op4_mix_sources, op5_url_aliases, op6_min_cost_reshard, op7_backoff_automaton, op8_one_bit_codes, op9_shortest_pack_first, op10_simhash_pivots, op11_toivonen_phrases, pipeline)}
 
 _OP3 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -142,4 +146,22 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_licence_sentences": licences.scan_sql(), "op3_quality_cascade": _OP3, "op5_url_aliases": _OP5, "op8_one_bit_codes": _OP8}
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM x, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w)),
+n AS (SELECT lang, count(*) AS n FROM x GROUP BY lang),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT lang, m, phrase, a, w, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, l.a AS l, r.a AS r, n.n, ((1000::HUGEINT * k.a * n.n) // (l.a::HUGEINT * r.a))::BIGINT AS score FROM k JOIN n USING (lang)
+    JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1:k.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer FROM c, (SELECT unnest(range(2, 5)) AS k), (SELECT unnest(range(1, 5)) AS i) WHERE k < m AND i + k - 1 <= m GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_licence_sentences": licences.scan_sql(), "op3_quality_cascade": _OP3, "op5_url_aliases": _OP5, "op8_one_bit_codes": _OP8, "op11_toivonen_phrases": _OP11}
