@@ -29,7 +29,7 @@ from .common import drop_tables, made, materialize, salted_join
 from .keyed import mix
 
 #: UTF-8 bytes of text that are counted together in a task.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Words of a sampled window.
 WINDOW = 64
 #: Bits of the largest membership table (16 MB, whatever the input).
@@ -145,15 +145,18 @@ def _count(texts: DataFrame, longest: int, least: int, keep: Members, old: Membe
             for length, phrases, _, counts, inside in _levels(lang, words, longest, keep, old):
                 if length == 1 and old is None:
                     phrases, counts, inside = pa.concat_arrays([phrases, pa.array([b""], pa.binary())]), np.append(counts, counts.sum()), np.append(inside, True)
-                k = len(counts)
-                m = np.full(k, length, np.int32)
-                if length == 1 and old is None:
-                    m[-1] = 0
-                if k:
-                    yield pa.record_batch([pa.array([lang] * k, pa.string()), pa.array(m), pc.cast(phrases, pa.string(), safe=False), pa.array(inside), pa.array(counts, pa.int64())], ["lang", "m", "phrase", "proposed", "a"])
-
-    rows = texts.mapInArrow(run, "lang string, m int, phrase string, proposed boolean, a bigint")
-    return rows.groupBy("lang", "m", "phrase", "proposed").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("m") == 0))
+                if len(counts):
+                    tails = pa.array([b"\t-" + lang.encode("utf-8", "replace"), b"\t+" + lang.encode("utf-8", "replace")], pa.binary())
+                    keys = pc.binary_join_element_wise(phrases, tails.take(pa.array(inside.astype(np.int8))), b"")
+                    yield pa.record_batch([pc.cast(keys, pa.string(), safe=False), pa.array(counts, pa.int64())], ["key", "a"])
+
+    # narrow rows, as there are many: a phrase has no tab, so one ends it. A chunk has counted its phrases, so grouping them once
+    # more before the exchange would only take memory.
+    rows = texts.mapInArrow(run, "key string, a bigint").repartition("key").groupBy("key").agg(F.sum("a").alias("a"))
+    phrase, tail = F.substring_index("key", "\t", 1), F.expr("substring(key, instr(key, '\t') + 1)")
+    words = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1)
+    often = rows.where((F.col("a") >= least) | (phrase == ""))
+    return often.select(F.substr(tail, F.lit(2)).alias("lang"), words.alias("m"), phrase.alias("phrase"), tail.startswith("+").alias("proposed"), "a")
 
 
 def _hash_phrases(rows: DataFrame) -> DataFrame:
