@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, collocations, licences, lm, mixing, packing, passages, quality, sharding, simhash, urls
+from . import ann, collocations, decontaminate, licences, lm, mixing, packing, passages, quality, sharding, simhash, urls
 from .common import materialize, table
 
 #: Vocabulary of op9 and of the pipeline's packing, by name in the folder of public tokenizers.
@@ -73,13 +73,19 @@ def op11_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return decontaminate.with_digest(found).select("row.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest, "contaminated")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_passages, op2_licence_sentences, op3_quality_cascade, op4_mix_sources, op5_url_aliases, op6_min_cost_reshard, op7_backoff_automaton, op8_one_bit_codes, op9_shortest_pack_first, op10_simhash_pivots, op11_toivonen_phrases, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_passages, op2_licence_sentences, op3_quality_cascade, op4_mix_sources, op5_url_aliases, op6_min_cost_reshard, op7_backoff_automaton, op8_one_bit_codes, op9_shortest_pack_first, op10_simhash_pivots, op11_toivonen_phrases, op12_suffix_matches, pipeline)}
 
 _OP3 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -164,4 +170,16 @@ FROM b LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 1
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_licence_sentences": licences.scan_sql(), "op3_quality_cascade": _OP3, "op5_url_aliases": _OP5, "op8_one_bit_codes": _OP8, "op11_toivonen_phrases": _OP11}
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS s FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM b WHERE len(w) > 0)),
+g AS (SELECT row, k, m, array_to_string(w[k:k + m - 1], ' ') AS s FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS k FROM d), (SELECT DISTINCT m FROM i) WHERE k + m - 1 <= len(w)),
+h AS (SELECT row, k, m, item FROM g JOIN i USING (m, s)),
+n AS (SELECT row, count(DISTINCT k + o) AS n_hit FROM (SELECT DISTINCT row, k, unnest(range(0, m)) AS o FROM h) GROUP BY row),
+t AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT row, item FROM h) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (row) LEFT JOIN t USING (row)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_licence_sentences": licences.scan_sql(), "op3_quality_cascade": _OP3, "op5_url_aliases": _OP5, "op8_one_bit_codes": _OP8, "op11_toivonen_phrases": _OP11, "op12_suffix_matches": _OP12}
