@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, collocations, decontaminate, licences, lm, mixing, packing, passages, quality, sharding, simhash, urls
+from . import ann, collocations, conversations, decontaminate, licences, lm, mixing, packing, passages, quality, sharding, simhash, urls
 from .common import materialize, table
 
 #: Vocabulary of op9 and of the pipeline's packing, by name in the folder of public tokenizers.
@@ -79,13 +79,18 @@ def op12_suffix_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.with_digest(found).select("row.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest, "contaminated")
 
 
+def op13_parallel_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair_conversations(conversations.damage(rows), rows)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_passages, op2_licence_sentences, op3_quality_cascade, op4_mix_sources, op5_url_aliases, op6_min_cost_reshard, op7_backoff_automaton, op8_one_bit_codes, op9_shortest_pack_first, op10_simhash_pivots, op11_toivonen_phrases, op12_suffix_matches, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_passages, op2_licence_sentences, op3_quality_cascade, op4_mix_sources, op5_url_aliases, op6_min_cost_reshard, op7_backoff_automaton, op8_one_bit_codes, op9_shortest_pack_first, op10_simhash_pivots, op11_toivonen_phrases, op12_suffix_matches, op13_parallel_viterbi, pipeline)}
 
 _OP3 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
