@@ -187,4 +187,43 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN n USING (row) LEFT JOIN t USING (row)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_licence_sentences": licences.scan_sql(), "op3_quality_cascade": _OP3, "op5_url_aliases": _OP5, "op8_one_bit_codes": _OP8, "op11_toivonen_phrases": _OP11, "op12_suffix_matches": _OP12}
+def _op13_sql() -> str:
+    """Forward search over four states (nothing, system, user, assistant); of equal costs the least audit stays."""
+    edit = lambda s, cost, letter, line: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'o': {f'list_append({s}.o, {line})' if line else f'{s}.o'}}}"
+    far = "{'c': 1000000000, 'a': '', 'o': []::VARCHAR[]}"
+    kept = {0: [], 1: [(0, "s")], 2: [(0, "u"), (1, "u"), (3, "u")], 3: [(2, "a")]}
+    step = {0: (2, "user:"), 1: (2, "user:"), 2: (3, "assistant:"), 3: (2, "user:")}
+
+    def after(q: int) -> str:
+        ways = [edit(f"s{q}", 3, "D", "")]
+        ways += [f"CASE WHEN live AND role[1:1] = '{r}' THEN {edit(f's{p}', 'cut', 'K', chr(39).join(['role || ', ':', ' || text']))} ELSE {far} END" for p, r in kept[q]]
+        ways += [f"CASE WHEN live THEN {edit(f's{p}', '2 + cut', 'R', chr(39).join(['', line, ' || text']))} ELSE {far} END" for p, (to, line) in step.items() if to == q]
+        return f"least({', '.join(ways)})" if len(ways) > 1 else ways[0]
+
+    user = "least(s2, " + ", ".join(edit(f"s{p}", 2, "I", "'user:'") for p in (0, 1, 3)) + ")"
+    closed = f"SELECT conv_id, i, s0, s1, s2, least(s3, {edit('s2', 2, 'I', chr(39) + 'assistant:' + chr(39))}) AS s3 FROM (SELECT conv_id, i, s0, s1, {user} AS s2, s3 FROM (FROM_HERE))"
+    begin = f"SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'o': []::VARCHAR[]}} AS s0, {far} AS s1, {far} AS s2, {far} AS s3 FROM conversations"
+    go = f"SELECT v.conv_id, v.i + 1 AS i, {after(0)} AS s0, {after(1)} AS s1, {after(2)} AS s2, {after(3)} AS s3 FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i + 1"
+    return rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM d),
+g AS (SELECT *, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS e, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY i)[1:1] || role[1:1] AS pair FROM o),
+f AS (SELECT *, e <> '' AND NOT again AS live, CASE WHEN e NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut FROM g),
+v(conv_id, i, s0, s1, s2, s3) AS (({closed.replace('FROM_HERE', begin)}) UNION ALL ({closed.replace('FROM_HERE', go)})),
+w AS (SELECT conv_id, least(s0, s3) AS s FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (e = '') AS blank, count(*) FILTER (e <> '' AND again) AS duplicate,
+    count(*) FILTER (live AND cut = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    s.c::BIGINT AS cost, s.a AS audit, sha256(array_to_string(s.o, chr(10))) AS repaired_sha256
+FROM w LEFT JOIN t ON w.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_licence_sentences": licences.scan_sql(), "op3_quality_cascade": _OP3, "op5_url_aliases": _OP5, "op8_one_bit_codes": _OP8, "op11_toivonen_phrases": _OP11, "op12_suffix_matches": _OP12, "op13_parallel_viterbi": _op13_sql()}
