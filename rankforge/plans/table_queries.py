@@ -33,9 +33,9 @@ def quota_tumbling(spark, sf):
     return q.select("ord", "key", "admitted", "used_before", F.unix_seconds("reset_at").alias("reset_s"))
 
 
-@query()
+@query("WITH RECURSIVE e AS (SELECT event_id AS ord, user_id AS key, epoch_us(ts) AS t FROM events), w(key, no, s) AS (SELECT key, 1::BIGINT, min(t) FROM e GROUP BY key UNION ALL SELECT * FROM (SELECT key, no + 1, (SELECT min(t) FROM e WHERE e.key IS NOT DISTINCT FROM w.key AND t >= s + 86400000000) AS s FROM w) WHERE s IS NOT NULL), j AS (SELECT ord, e.key, no, s, t, row_number() OVER (PARTITION BY e.key, no ORDER BY t, ord) AS n FROM e JOIN w ON e.key IS NOT DISTINCT FROM w.key AND t >= s AND t < s + 86400000000) SELECT ord, key, no AS window_no, n <= 2 AS admitted, greatest(0, 2 - n) AS remaining, (s + 86400000000 - t) // 1000 AS reset_ms FROM j")
 def quota_anchored(spark, sf):
-    return quota.quota_anchored(_events(spark, sf), 86400, 2).select("ord", "key", "window_no", "admitted")
+    return quota.quota_anchored(_events(spark, sf), 86400, 2).select("ord", "key", "window_no", "admitted", "remaining", "reset_ms")
 
 
 @query("WITH d AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1), l AS (SELECT *, CASE WHEN day - lag(day) OVER (ORDER BY day) < 2 THEN 0 ELSE 1 END AS new FROM d), s AS (SELECT *, sum(new) OVER (ORDER BY day) AS life FROM l) SELECT life::BIGINT AS life, min(day) AS first_day, max(day) AS last_day, sum(n)::BIGINT AS n_events FROM s GROUP BY 1")

@@ -84,10 +84,13 @@ def merge_signups(events: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """The given columns, then the others by name; cells that a spreadsheet would run are quoted by an apostrophe."""
+    """One file with one header: the given columns, then the others by name; cells that a spreadsheet would run are quoted by an apostrophe.
+
+    The export is read by people, so its rows stream through one task into one file (a header alone if there are none).
+    """
     order = [*columns, *sorted(set(rows.columns) - set(columns))]
     safe: list[Column] = [csv_safe(F.col(c).cast("string")).alias(c) for c in order]
-    rows.select(*safe).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
+    rows.select(*safe).repartition(1).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
 
 
 def json_rows(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
