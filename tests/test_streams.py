@@ -56,3 +56,42 @@ def test_retention_stream_equals_the_batch_form(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("life").collect()
     assert [tuple(r)[:4] for r in got] == [tuple(r) for r in lives][:-1]  # the last one hasn't ended
     assert all(r["deleted_on"] == r["last_day"] + dt.timedelta(days=3) for r in got)
+
+
+def admit(rows, seconds, most):
+    """The plain loop: (decision of each try)."""
+    known, used, out = set(), {}, {}
+    for o, t, k in sorted(rows, key=lambda r: (r[1], r[0])):
+        w = int(t.replace(tzinfo=dt.timezone.utc).timestamp()) // seconds
+        if k is None:
+            out[o] = "limited"
+        elif k in known:
+            out[o] = "exists"
+        elif used.get(w, 0) < most:
+            known.add(k)
+            used[w] = used.get(w, 0) + 1
+            out[o] = "new"
+        else:
+            out[o] = "limited"
+    return out
+
+
+@pytest.mark.parametrize("cuts", [[], [30, 31, 70]])
+def test_admission_stream(spark, tmp_path, cuts):
+    rows = events(random.Random(5), 90, [*range(25), None], 14_000_000)
+    sink = admission.AdmissionSink(str(tmp_path / "list"), 60, 2)
+    play(spark, rows, cuts, tmp_path, lambda s: s, lambda w: w.foreachBatch(sink).start())
+    got = {r["ord"]: r["decision"] for r in sink.decided(spark).collect()}
+    assert got == admit(rows, 60, 2) and {"new", "exists", "limited"} <= set(got.values())
+
+
+def test_a_replayed_batch_admits_nobody_twice(spark, tmp_path):
+    rows = events(random.Random(6), 40, list(range(20)), 14_000_000)
+    sink = admission.AdmissionSink(str(tmp_path / "list"), 60, 2)
+    parts = [spark.createDataFrame(rows[a:b], SCHEMA) for a, b in ((0, 15), (15, 30), (30, 40))]
+    for batch, k in ((0, 0), (1, 1), (1, 1), (2, 2), (2, 2)):
+        sink(parts[k], batch)
+    got = sink.decided(spark).collect()
+    assert len(got) == 40 and {r["ord"]: r["decision"] for r in got} == admit(rows, 60, 2)
+    new = [r["key"] for r in got if r["decision"] == "new"]
+    assert len(new) == len(set(new))
