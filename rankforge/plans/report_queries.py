@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import audit, entity, market, provenance, report, resolve, scoring, signals, spatial
+from ..operators import audit, entity, market, nested, provenance, report, resolve, scoring, signals, spatial
 from ..sources import pages as page_source
 from ..sources import poi, reports
 from ..streaming import admission
@@ -135,6 +135,19 @@ def forbidden_values(spark, sf):
     return provenance.forbidden_values(r, '"[a-z]"')
 
 
+_FIELDS = "to_json(struct(event_id AS id, struct(event_type AS policy, array(struct(CASE event_id % 3 WHEN 0 THEN 'Demo maps' WHEN 1 THEN 'maps' ELSE 'mock' END AS provider, event_type AS note)) AS sources, CASE WHEN event_id % 7 = 0 THEN map('upliftBy', value, 'usedMockData', value) END AS extra) AS report, from_json(props, 'map<string,string>') AS props))"
+
+
+@query("""WITH r AS (SELECT event_id, to_json({'id': event_id, 'report': {'policy': event_type, 'sources': [{'provider': CASE event_id % 3 WHEN 0 THEN 'Demo maps' WHEN 1 THEN 'maps' ELSE 'mock' END}], 'extra': CASE WHEN event_id % 7 = 0 THEN {'upliftBy': value, 'usedMockData': value} END}}) AS j FROM events),
+t AS (SELECT event_id, t.key, t.fullkey, t.type, t.atom FROM r, json_tree(r.j) t)
+SELECT event_id AS report_id, replace(fullkey, '$', 'response') AS path, CASE WHEN key IN ('demoMode', 'usedMockData') OR regexp_matches(key, '(?i)uplift') THEN 'forbidden_field' ELSE 'synthetic_source' END AS rule FROM t
+WHERE key IN ('demoMode', 'usedMockData') OR regexp_matches(key, '(?i)uplift') OR (key IN ('source', 'sourceType', 'provider', 'policy') AND type = 'VARCHAR' AND regexp_matches(atom::VARCHAR, '(?i)mock|demo|synthetic'))""")
+def forbidden_fields(spark, sf):
+    """Events as nested reports; their props are a part of each."""
+    r = table(spark, sf, "events").select(F.col("event_id").alias("report_id"), F.expr(_FIELDS).alias("payload"))
+    return nested.synthetic_fields(r)
+
+
 @query("WITH m AS (SELECT o_custkey AS catalog_id, max(o_orderkey) AS sample_id FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), s AS (SELECT c_custkey AS catalog_id, c_custkey AS sample_id FROM customer) SELECT * FROM m UNION ALL SELECT * FROM s WHERE catalog_id NOT IN (SELECT catalog_id FROM m)")
 def snapshot_meta(spark, sf):
     m = table(spark, sf, "orders").where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("catalog_id")).agg(F.max("o_orderkey").alias("sample_id"))
@@ -161,7 +174,7 @@ def social_links(spark, sf):
     return signals.first_social_links(links, "page")
 
 
-@query()
+@query("WITH RECURSIVE f AS (SELECT user_id AS key, event_id AS ord, ts, floor(epoch(ts) / 86400)::BIGINT AS w FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, w ORDER BY ts, event_id) = 1), l AS (SELECT row_number() OVER (ORDER BY w) AS i, list({'k': key, 'o': ord} ORDER BY ts, ord) AS l FROM f GROUP BY w), s(i, known, new) AS (SELECT 0::BIGINT, []::BIGINT[], []::STRUCT(k BIGINT, o BIGINT)[] UNION ALL SELECT l.i, list_concat(known, list_transform(list_filter(l, lambda x: NOT list_contains(known, x.k))[1:10], lambda x: x.k)), list_filter(l, lambda x: NOT list_contains(known, x.k))[1:10] FROM s JOIN l ON l.i = s.i + 1), a AS (SELECT unnest(new, recursive := true) FROM s) SELECT key, o AS admitted_ord FROM (SELECT DISTINCT key FROM f) LEFT JOIN a ON key = k")
 def admit_signups(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("ord"), "ts", F.col("user_id").alias("key"))
     return admission.admit_signups(e, 86400, 10).select("key", "admitted_ord")
