@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import audit, entity, market, nested, provenance, report, resolve, scoring, signals, spatial
+from ..operators import audit, entity, market, nested, provenance, report, report_rules, resolve, scoring, signals, spatial
 from ..sources import pages as page_source
 from ..sources import poi, reports
 from ..streaming import admission
@@ -148,6 +148,21 @@ def forbidden_fields(spark, sf):
     return nested.synthetic_fields(r)
 
 
+_STORED = """to_json(named_struct('schemaVersion', CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 2 END, 'id', cast(o_orderkey AS string), 'createdAt', cast(o_orderdate AS string), 'report', named_struct(
+    'schemaVersion', 2, 'provenance', named_struct('policy', CASE WHEN o_orderpriority = '1-URGENT' THEN 'mixed' ELSE 'real-only' END, 'containsSyntheticData', o_orderkey % 13 = 0,
+        'sources', array(named_struct('id', 'S1', 'kind', 'openstreetmap', 'provider', o_orderpriority, 'title', 'orders', 'accessedAt', cast(o_orderdate AS string), 'status', 'used'))),
+    'market', named_struct('lat', o_totalprice / 5000, 'lon', 0.5D, 'sourceIds', array(CASE WHEN o_orderkey % 7 = 0 THEN 'S2' ELSE 'S1' END)),
+    'summary', named_struct('scoringVersion', 2, 'competitorCount', CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END), 'competitors', array())))"""
+
+
+@query("SELECT o_orderkey AS report_id, CASE WHEN o_orderkey % 11 = 0 OR len(r) > 0 THEN 'invalid' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE array_to_string(list_sort(r), ',') END AS rules FROM (SELECT *, list_filter([CASE WHEN o_orderpriority = '1-URGENT' THEN 'policy' END, CASE WHEN o_orderkey % 13 = 0 THEN 'synthetic' END, CASE WHEN o_totalprice / 5000 > 90 THEN 'coordinates' END, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' END, CASE WHEN o_orderstatus = 'P' THEN 'competitor_count' END], lambda x: x IS NOT NULL) AS r FROM orders)")
+def checked_report_status(spark, sf):
+    """Orders as stored reports; the rules that they break follow from their own columns."""
+    stored = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("report_id"), F.expr(_STORED).alias("payload"))
+    got = report_rules.checked_status(stored)
+    return got.select(F.col("report_id").cast("bigint").alias("report_id"), "status", F.array_join("rules", ",").alias("rules"))
+
+
 @query("WITH m AS (SELECT o_custkey AS catalog_id, max(o_orderkey) AS sample_id FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), s AS (SELECT c_custkey AS catalog_id, c_custkey AS sample_id FROM customer) SELECT * FROM m UNION ALL SELECT * FROM s WHERE catalog_id NOT IN (SELECT catalog_id FROM m)")
 def snapshot_meta(spark, sf):
     m = table(spark, sf, "orders").where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("catalog_id")).agg(F.max("o_orderkey").alias("sample_id"))
