@@ -25,23 +25,32 @@ def keyword_pattern(keyword: Column) -> Column:
     return F.concat(F.lit(r"(?<![a-z0-9])"), F.regexp_replace(quoted, r"\s+", r"[\\s\\p{Z}]+"), F.lit(r"s?(?![a-z0-9])"))
 
 
-def _count(text: str, keyword: str) -> Column:
-    """Matches of a keyword; a text without its first word isn't searched."""
-    first = keyword.lower().split()[0] if keyword.split() else ""
-    return F.when(F.contains(F.col(text), F.lit(first)), F.regexp_count(text, keyword_pattern(F.lit(keyword)))).otherwise(0)
+def _anchors(keyword: Column) -> Column:
+    """Runs of letters and digits of which a text must have one as a whole to hold the keyword; an empty one if it has no such run."""
+    first = F.regexp_extract(F.lower(keyword), "[a-z0-9]+", 0)
+    ends = F.lower(keyword).endswith(first) & (F.length(first) > 0)  # an s may follow a keyword
+    return F.when(ends, F.array(first, F.concat(first, F.lit("s")))).otherwise(F.array(first))
 
 
 def keyword_hits(pages: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """Rows of pages x lexicon (category, kw_ord, keyword) with n, the matches of a keyword in the page; n > 0 only.
 
-    The lexicon is a word list: its size is a parameter's, not the corpus's. It travels as one array column, so that
-    every page's text is normalised once and no pair of page and keyword is a shuffled row.
+    A page's text is normalised and cut into words once; only keywords whose first word it has are joined to it and counted, so
+    neither the plan nor the work on a page grows with keywords that it cannot hold. The lexicon is a word list: its size is a
+    parameter's, not the corpus's, and only the list of its first words travels as one row. Null texts have no hits; keywords
+    without a letter or digit are counted in every page; repeated keywords come each.
     """
-    words = [r.asDict() for r in lexicon.select("category", "kw_ord", "keyword").orderBy("category", "kw_ord").collect()]
+    words = lexicon.select("category", "kw_ord", "keyword", keyword_pattern(F.col("keyword")).alias("_pattern"), F.explode(_anchors(F.col("keyword"))).alias("_anchor"))
+    listed = words.agg(F.collect_set("_anchor").alias("_known"))
     p = pages.withColumn("_t", for_matching(F.col(text)))
-    hits = [F.struct(F.lit(w["category"]).alias("category"), F.lit(w["kw_ord"]).alias("kw_ord"), F.lit(w["keyword"]).alias("keyword"), _count("_t", w["keyword"]).alias("n")) for w in words]
+    found = F.array_intersect(F.array_append(F.regexp_extract_all("_t", F.lit("[a-z0-9]+"), F.lit(0)), F.lit("")), "_known")
+    rest = [c for c in pages.columns if c != text]
+    asked = p.crossJoin(F.broadcast(listed)).select(*rest, "_t", F.explode(found).alias("_anchor")).join(words, "_anchor")
+    # each keyword of a row once, though two of its anchors may occur: the one with an s counts only if the other is absent
+    both = F.endswith(F.col("_anchor"), F.lit("s")) & F.regexp_like("_t", F.concat(F.lit("(?<![a-z0-9])"), F.expr("left(_anchor, length(_anchor) - 1)"), F.lit("(?![a-z0-9])"))) & (F.regexp_extract(F.lower("keyword"), "[a-z0-9]+", 0) != F.col("_anchor"))
+    n = F.when(~both, F.regexp_count("_t", F.col("_pattern"))).otherwise(0)
     # an outer generator: before an inner one the optimizer puts a filter that counts every keyword a second time
-    rows = p.select(*[c for c in pages.columns if c != text], F.inline_outer(F.filter(F.array(*hits), lambda h: h["n"] > 0)))
+    rows = asked.select(*rest, "category", "kw_ord", "keyword", F.inline_outer(F.filter(F.array(F.struct(n.alias("n"))), lambda h: h["n"] > 0)))
     return rows.where("n IS NOT NULL")
 
 

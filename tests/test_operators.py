@@ -150,6 +150,28 @@ def test_names_and_news(spark):
     assert {r["article"]: r["entity"] for r in signals.attribute_articles(t, ok).collect()} == {1: "b", 2: "a"}
 
 
+def test_many_keywords_count_like_one_regex_each(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    parts = ["ab", "abs", "cd's", "x1", "ef-gh", "ij", "é", "klé", "&", "s", "ss", "mn"]
+    texts = [None, "", *("".join(rng.choice(parts) + rng.choice([" ", "  ", ". ", "\u00a0", "", "'", "-"]) for _ in range(60)) for _ in range(12))]
+    words = sorted({" ".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(900)} | {f"word{k} other{k}" for k in range(4200)})
+    pages = spark.createDataFrame(list(enumerate(texts)), "page int, text string")
+    lexicon = spark.createDataFrame([("c", k, w) for k, w in enumerate(words)], "category string, kw_ord int, keyword string")
+    rows = signals.keyword_hits(pages, lexicon)
+    got = {(r["page"], r["keyword"]): r["n"] for r in rows.collect()}
+    plain = {r["page"]: r["t"] or "" for r in pages.select("page", signals.for_matching(F.col("text")).alias("t")).collect()}
+    want = {}
+    for w in words:
+        # java's \\p{Z} and \\s by a list of what the texts have
+        pattern = re.compile(r"(?<![a-z0-9])" + r"[\s\u00a0]+".join(map(re.escape, w.lower().split())) + r"s?(?![a-z0-9])")
+        want |= {(p, w): n for p, t in plain.items() if (n := len(pattern.findall(t)))}
+    assert got == want and len(want) > 300
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp") < 20
+
+
 def test_keywords(spark):
     p = spark.createDataFrame([("x", "Free quote, free  quotes; freequote don’t Café-free quote")], "site string, text string")
     lex = spark.createDataFrame([("offer", 0, "free quote"), ("offer", 1, "don't"), ("risk", 0, "quo")], "category string, kw_ord int, keyword string")
