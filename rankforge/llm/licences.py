@@ -66,6 +66,8 @@ def build_tables(notices: Sequence[tuple[str, int | None, str]] = NOTICES, spdx:
 
 
 SENTENCES, RULES = build_tables()
+#: The licence that any other one beside it outranks.
+ALONE = "Proprietary"
 
 
 def _heads(sentences: Mapping[str, str]) -> list[str]:
@@ -113,9 +115,10 @@ def known_sentences(text: Column, sentences: Mapping[str, str]) -> Column:
     return F.when(may, found).otherwise(F.array().cast("array<string>"))
 
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> DataFrame:
+def scan_licences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES, alone: str = ALONE) -> DataFrame:
     """(id, sentence_ids, licences, n_unmatched): identifiers in order of the text, licences in order of the text, distinct,
-    both joined by commas, and the number of known sentences that no rule consumed.
+    both joined by commas, and the number of known sentences that no rule consumed. The licence ``alone`` (a reservation of
+    rights, which stands above many a licence) is named only where no other one is.
 
     Null and empty texts have none. Everything stays in the row: repeated rows repeat, a very long text is one row, other
     columns are not read and nothing is shuffled. An empty table gives no rows.
@@ -129,10 +132,12 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
         sequence = F.replace(sequence, F.lit("".join(f"[{p}]" for p in parts)), F.lit("{" + name + "}"))
     sequence = F.when(F.size("_ids") > 0, sequence).otherwise("")
     named = F.array_distinct(F.regexp_extract_all("_seq", F.lit(r"\{([^}]*)\}"), F.lit(1)))
+    others = F.array_remove(named, alone)
+    named = F.when(F.size(others) > 0, others).otherwise(named)
     return out.withColumn("_seq", sequence).select(id_col, F.array_join("_ids", ",").alias("sentence_ids"), F.array_join(named, ",").alias("licences"), F.regexp_count("_seq", F.lit(r"\[")).cast("long").alias("n_unmatched"))
 
 
-def scan_sql(table: str = "documents", sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> str:
+def scan_sql(table: str = "documents", sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES, alone: str = ALONE) -> str:
     """DuckDB SQL of scan_licences, by joins of sentences and lines with the table of known ones."""
     rows = ", ".join(f"('{k}', '{s}')" for k, s in sentences.items())
     seq = "coalesce(string_agg('[' || k || ']', '' ORDER BY i, j) FILTER (WHERE k IS NOT NULL), '')"
@@ -149,7 +154,8 @@ o AS (SELECT r, doc_id, i, unnest(l) AS line, generate_subscripts(l, 1) AS j, l
 h AS (SELECT r, doc_id, i, 0 AS j, k FROM w UNION ALL
     SELECT r, doc_id, i, j, coalesce(a.k, b.k) FROM o LEFT JOIN known a ON array_to_string(o.l[j:], ' ') = a.s LEFT JOIN known b ON o.line = b.s),
 g AS (SELECT r, any_value(doc_id) AS doc_id, coalesce(string_agg(k, ',' ORDER BY i, j) FILTER (WHERE k IS NOT NULL), '') AS sentence_ids, {seq} AS seq FROM h GROUP BY r),
-e AS (SELECT *, regexp_extract_all(seq, '\{{([^}}]*)\}}', 1) AS n FROM g)
+a AS (SELECT *, regexp_extract_all(seq, '\{{([^}}]*)\}}', 1) AS every FROM g),
+e AS (SELECT *, CASE WHEN len(list_filter(every, lambda x: x <> '{alone}')) > 0 THEN list_filter(every, lambda x: x <> '{alone}') ELSE every END AS n FROM a)
 SELECT doc_id, sentence_ids, array_to_string(list_filter(n, lambda x, j: list_position(n, x) = j), ',') AS licences,
     (length(seq) - length(replace(seq, '[', '')))::BIGINT AS n_unmatched FROM e
 """

@@ -102,10 +102,12 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(ran
 f AS (SELECT w.doc_id, t, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-    length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, len(list_filter(w, lambda x, i: i > 1 AND w[i - 1] = x)) AS n_stutter FROM w LEFT JOIN rep USING (doc_id)),
+    length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, len(list_filter(w, lambda x, i: i > 1 AND w[i - 1] = x)) AS n_stutter,
+    len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) AS n_bullets, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) AS n_ellipses FROM w LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_stutter > 30 * n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines)
+        OR (n_lines >= 5 AND (100 * n_bullets > 90 * n_lines OR 100 * n_ellipses > 50 * n_lines))
         OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 2 * letters < word_chars) AS kept
 FROM b
 """

@@ -691,11 +691,12 @@ def test_licences(spark):
         (8, commented), (9, wrap(notice("GPL-3.0-or-later"), "# ", 60)), (10, wrap(notice("GPL-2.0-or-later"), "// ", 72)),
         (11, wrap(notice("BSD-3-Clause"), "  ")), (12, "// SPDX-License-Identifier: MIT\nint x;"), (13, "no stop here\nReleased under the MIT License\nand on it goes"),
         (14, "a line with no stop\n" + wrap(grant + "conditions:", "", 40) + "\n" + rest), (15, wrap(notice("Zlib"), "; ")), (16, "word " * 200_000 + "\n\n" + wrap(notice("ISC"))),
+        (17, "Copyright (c) 2019, Somebody\nAll rights reserved.\n\n" + wrap(notice("BSD-3-Clause"))), (18, "Copyright 2020.\nAll rights reserved."),
     ]
     docs = spark.createDataFrame(rows, "doc_id int, text string")
     got = L.scan_licences(docs.union(docs.where("doc_id < 4"))).collect()
     named = {r["doc_id"]: r["licences"] for r in got}
-    assert named == {1: "Apache-2.0", 2: "MIT", 3: "Proprietary,CC-BY-NC-4.0", 4: "", 5: "", 6: "", 7: "", 8: "Apache-2.0", 9: "GPL-3.0-or-later", 10: "GPL-2.0-or-later", 11: "BSD-3-Clause", 12: "MIT", 13: "MIT", 14: "MIT", 15: "Zlib", 16: "ISC"}
+    assert named == {1: "Apache-2.0", 2: "MIT", 3: "CC-BY-NC-4.0", 4: "", 5: "", 6: "", 7: "", 8: "Apache-2.0", 9: "GPL-3.0-or-later", 10: "GPL-2.0-or-later", 11: "BSD-3-Clause", 12: "MIT", 13: "MIT", 14: "MIT", 15: "Zlib", 16: "ISC", 17: "BSD-3-Clause", 18: "Proprietary"}
     assert {r["doc_id"]: r["n_unmatched"] for r in got} == {k: int(k == 7) for k, _ in rows}
     con = duckdb.connect()
     con.register("documents", pd.DataFrame([*rows, *rows[:3]], columns=["doc_id", "text"]))
@@ -713,3 +714,21 @@ def test_every_notice_is_found(spark):
     got = {r["doc_id"]: r["licences"].split(",") for r in L.scan_licences(docs).collect()}
     assert all(name in got[k] for k, (name, _, _) in enumerate(NOTICES))
     assert len(L.SENTENCES) > 120 and len(L.RULES) > 80
+
+
+def test_each_quality_rule_has_its_sql(spark):
+    import duckdb
+
+    from rankforge.llm import queries
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join(words(rng, n, 100000))
+    rows = [prose(60), "\n".join(f"- {prose(6)}" for _ in range(10)), "\n".join(f" \t* {prose(6)}" for _ in range(9)) + "\nplain " + prose(5), "\n".join(f"{prose(5)}..." for _ in range(6)), "\n".join(f"{prose(5)}… \t" if k % 2 else prose(5) for k in range(8))]
+    rows += ["\n".join(f"• {prose(8)}" for _ in range(4)), " ".join(f"#{w}" for w in words(rng, 30, 100000)), " ".join("abcdefghijklmno" + w for w in words(rng, 30, 100000)), "\n".join([prose(6), "the same line of words"] * 5), " ".join(w for w in words(rng, 14, 100000) for _ in (0, 1, 2)), " ".join("1234" + w[0] for w in words(rng, 30, 100000)), None, ""]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    judged = quality.judge_quality(docs).collect()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, kept FROM ({queries.ORACLE_SQL['op3_quality_cascade']})").fetchall()}
+    assert {r["doc_id"]: r["kept"] for r in judged} == want
+    assert not want[1] and not want[3] and want[0] and sum(want.values()) < 6
