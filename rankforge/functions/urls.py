@@ -11,9 +11,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Second labels under which two-letter domains register a third, and hosts shared by many sites.
-GENERIC_SECOND = ("co", "com", "net", "org", "gov", "edu", "ac")
-SHARED_HOSTS = ("facebook.com", "instagram.com", "linktr.ee", "google.com", "yelp.com", "wordpress.com", "wixsite.com", "blogspot.com", "github.io")
+#: Suffixes of two labels, and second labels under which two-letter domains register a third.
+TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.za", "com.br", "co.jp", "co.in", "com.mx")
+GENERIC_SECOND = ("com", "co", "org", "net", "gov", "edu", "ac", "or", "ne", "go", "gob", "gv", "mil", "nom", "ltd", "plc", "sch", "biz", "info")
+#: Hosts shared by many sites.
+SHARED_HOSTS = (
+    "facebook.com", "fb.com", "fb.me", "instagram.com", "twitter.com", "x.com", "tiktok.com", "linkedin.com", "youtube.com", "yelp.com",
+    "google.com", "goo.gl", "g.page", "sites.google.com", "business.site", "wixsite.com", "wix.com", "square.site", "squareup.com",
+    "squarespace.com", "linktr.ee", "linktree.com", "wordpress.com", "blogspot.com", "weebly.com", "godaddysites.com", "carrd.co",
+    "myshopify.com", "github.io", "netlify.app", "vercel.app", "nextdoor.com", "yellowpages.com", "tripadvisor.com", "doordash.com",
+    "ubereats.com", "grubhub.com", "toasttab.com", "opentable.com", "resy.com", "vagaro.com", "booksy.com", "mindbodyonline.com",
+    "schedulicity.com", "setmore.com", "ueniweb.com", "site123.me", "jimdosite.com", "webnode.com",
+)
 #: IPv4 networks that are not public.
 BLOCKED_V4 = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
 BLOCKED_NAMES = ("localhost", "local", "internal", "lan", "home", "test", "invalid")
@@ -85,30 +94,33 @@ def canonical_url(url: Column) -> Column:
     return F.when(u.rlike(m), whole).otherwise(F.lower(u))
 
 
-def domain_root(host: Column, suffixes: Sequence[str] = ()) -> Column:
+def domain_root(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     """The last two labels, or three under a listed suffix or a two-letter domain with a generic second label."""
     labels = F.split(without_www(F.lower(host)), r"\.")
     n = F.size(labels)
     last = lambda k: F.array_join(F.slice(labels, -k, k), ".")
-    three = (n >= 3) & (last(2).isin(*suffixes) if suffixes else F.lit(False)) | ((n >= 3) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, n - 2).isin(*GENERIC_SECOND))
-    return F.when(n < 2, F.array_join(labels, ".")).when(three, last(3)).otherwise(last(2))
+    listed = last(2).isin(*suffixes) if suffixes else F.lit(False)
+    generic = F.element_at(labels, -1).rlike("^[a-z]{2}$") & F.get(labels, n - 2).isin(*GENERIC_SECOND)
+    return F.when(n <= 2, F.array_join(labels, ".")).when(listed | generic, last(3)).otherwise(last(2))
 
 
 def is_shared_host(host: Column, shared: Sequence[str] = SHARED_HOSTS) -> Column:
-    h = F.lower(host)
-    out = F.lit(False)
-    for s in shared:
-        out = out | (h == s) | h.endswith("." + s)
-    return out
+    """The host or a parent of it is listed: one lookup of its suffixes, however long the list."""
+    labels = F.split(F.lower(host), r"\.")
+    n = F.size(labels)
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    return F.coalesce(F.arrays_overlap(ends, F.array(*[F.lit(s) for s in shared])), F.lit(False))
 
 
 def site_identity(url: Column, shared: Sequence[str] = SHARED_HOSTS) -> Column:
-    """The domain root of an own domain; on a shared host its tenant label, or host and path; a bare shared host has none."""
-    host = without_www(host_of(url))
+    """The domain root of an own domain; on a shared host its tenant label, or host, path and the query's ``id``; a bare shared host has none."""
+    own = without_www(host_of(url))
+    rented = is_shared_host(own, shared)
+    host = F.regexp_replace(own, r"^m\.", "")
     path = F.regexp_replace(F.regexp_extract(url, r"^(?i:https?)://[^/?#]+([^?#]*)", 1), r"/+$", "")
-    bare = host.isin(*shared)
-    page = F.when(path != "", F.concat(host, F.lower(path)))
-    return F.when(host == "", None).when(bare, page).when(is_shared_host(host, shared), host).otherwise(domain_root(host))
+    profile = F.regexp_extract(url, r"^[^#?]*\?(?:[^#]*&)?id=([^&#]+)", 1)
+    page = F.when(path != "", F.concat(host, F.lower(path), F.when(profile != "", F.concat(F.lit("?id="), profile)).otherwise("")))
+    return F.when(own == "", None).when(rented & host.isin(*shared), page).when(rented, host).otherwise(domain_root(own))
 
 
 def describe_url(url: Column, most: int = 72) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import haversine_km
+from ..functions.scalars import EARTH_KM, haversine_km
 
 #: Metres within which equal names, and equal sites or phones, are one business.
 NAME_METRES, KEY_METRES = 150.0, 250.0
@@ -28,6 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: what is read twice is made once, and a lost executor doesn't make it again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rankforge/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def priority_score(website: Column, phone: Column, address: Column, lat: Column, type_in_tags: Column, type_in_name: Column, n_tags: Column) -> Column:
     pts = lambda n, c: F.when(c, F.lit(float(n))).otherwise(0.0)
     return pts(30, website.isNotNull()) + pts(20, type_in_tags) + pts(20, phone.isNotNull()) + pts(15, address.isNotNull() | lat.isNotNull()) + pts(10, type_in_name) + F.least(F.lit(5.0), n_tags / F.lit(2.0))
@@ -46,23 +55,47 @@ def poi_candidates(pois: DataFrame, business_type: Column) -> DataFrame:
     return out.withColumn("priority_score", score).drop("_t")
 
 
-def same_business_pairs(c: DataFrame) -> DataFrame:
-    """(market_id, a, b), a < b, of equal businesses: three joins, each on an equal key.
+def _grid(lat: Column, lon: Column, metres: float, band: Column | None = None) -> tuple[Column, Column, Column]:
+    """(band, cell, cells of the band): points within ``metres`` lie in the same or the next band and there in the same or the next cell.
 
-    c: market_id, id, name_key, address_key, site_key, phone_key, lat, lon. Null keys never match.
+    Bands are of equal height. A band's cells are as wide as ``metres`` can reach where it or a neighbour is nearest to a pole,
+    and go round the earth; a band at a pole has one cell.
     """
-    side = lambda p, cols: c.select("market_id", *[F.col(x).alias(p + x) for x in cols])
-    cols = ("id", "name_key", "address_key", "site_key", "phone_key", "lat", "lon")
-    left, right = side("a_", cols), side("b_", cols)
-    near = lambda m: F.coalesce(haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) * 1000 <= m, F.lit(False))
+    reach = metres / (1000 * EARTH_KM) * 1.001
+    height = math.degrees(reach)
+    band = F.floor(lat / height) if band is None else band
+    outermost = F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(height))
+    share = F.lit(math.sin(reach / 2)) / F.greatest(F.lit(1e-12), F.cos(F.radians(outermost)))
+    cells = F.when(share >= 1, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(math.pi) / F.asin(F.least(F.lit(1.0), share)))))
+    return band, F.pmod(F.floor((lon + 180) / 360 * cells), cells), cells
 
-    def on(key: str, ok: Column) -> DataFrame:
-        one = left.where(F.col(f"a_{key}").isNotNull())
-        other = right.withColumnRenamed("market_id", "b_market").where(F.col(f"b_{key}").isNotNull())
-        return one.join(other, (F.col("market_id") == F.col("b_market")) & (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col("a_id") < F.col("b_id"))).where(ok).select("market_id", F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
-    same_address = F.coalesce(F.col("a_address_key") == F.col("b_address_key"), F.lit(False))
-    return on("name_key", same_address | near(NAME_METRES)).union(on("site_key", near(KEY_METRES))).union(on("phone_key", near(KEY_METRES))).distinct()
+def near_pairs(c: DataFrame, key: str, metres: float) -> DataFrame:
+    """(market_id, a, b), a < b, of a market's rows with an equal ``key`` that lie within ``metres``.
+
+    One side goes to its nine cells of a grid, the other to its own, and they meet by market, key and cell: a name borne all
+    over the map is as many small groups, and only rows that are close are compared.
+    """
+    known = c.where(F.col(key).isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    band, cell, _ = _grid(F.col("lat"), F.col("lon"), metres)
+    right = known.select("market_id", F.col(key).alias("key"), band.alias("band"), cell.alias("cell"), F.col("id").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
+    left = known.select("market_id", F.col(key).alias("key"), F.col("id").alias("a"), "lat", "lon", F.explode(F.sequence(band - 1, band + 1)).alias("band"))
+    _, cell, cells = _grid(F.col("lat"), F.col("lon"), metres, F.col("band"))
+    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(cell + d, cells)))
+    left = left.withColumn("cell", F.explode(around))
+    close = haversine_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) * 1000 <= metres
+    return left.join(right, ["market_id", "key", "band", "cell"]).where((F.col("a") < F.col("b")) & close).select("market_id", "a", "b")
+
+
+def same_business_pairs(c: DataFrame) -> DataFrame:
+    """(market_id, a, b), a < b, of equal businesses: equal names at one address or within 150 m, equal sites or phones within 250 m.
+
+    c: market_id, id, name_key, address_key, site_key, phone_key, lat, lon. Null keys never match; rows without a place match by
+    name and address only. Each branch is a join on equal keys.
+    """
+    at = c.where("name_key IS NOT NULL AND address_key IS NOT NULL").select("market_id", "name_key", "address_key", "id")
+    same = at.withColumnRenamed("id", "a").join(at.withColumnRenamed("id", "b"), ["market_id", "name_key", "address_key"]).where("a < b").select("market_id", "a", "b")
+    return same.union(near_pairs(c, "name_key", NAME_METRES)).union(near_pairs(c, "site_key", KEY_METRES)).union(near_pairs(c, "phone_key", KEY_METRES)).distinct()
 
 
 def dedupe_businesses(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -123,20 +156,31 @@ def exclude_self(candidates: DataFrame, subjects: DataFrame) -> tuple[DataFrame,
     return j.where("match IS NULL").drop(*drop), mine.withColumn("_n", best).where("_n = 1").drop("_n", "user_name_key", "user_site")
 
 
-def asof_snapshot(requests: DataFrame, saved: DataFrame, fresh_hours: int = 72, stale_hours: int = 336) -> DataFrame:
+def asof_snapshot(requests: DataFrame, saved: DataFrame, fresh_hours: int = 72, stale_hours: int = 336, slice_hours: int = 6) -> DataFrame:
     """Adds snapshot_at and state (fresh, stale, none): the newest saved row of the request's key that is not too old.
 
-    requests: key, as_of, live_failed; saved: key, saved_at. A stale row serves only if the live source failed.
+    requests: key, as_of, live_failed; saved: key, saved_at. A stale row serves only if the live source failed. A null key or time
+    finds nothing; repeated requests are all kept.
+
+    A merge, not a product of requests and saves: both are one table in order of time, and each request takes the last save before
+    it. A key's time is cut into slices of ``slice_hours``, which are sorted apart; into each goes the newest save of the slices before,
+    found from one row a slice. So a hot key is as many groups as it has slices, and a group is sorted, never held.
     """
-    age = F.timestamp_diff("MICROSECOND", F.col("saved_at"), F.col("as_of")) / F.lit(3.6e9)
-    r = requests.withColumn("_row", F.monotonically_increasing_id())
-    oldest = requests.agg(F.min("as_of"), F.max("as_of")).first()
-    recent = saved.withColumnRenamed("key", "s_key")
-    if oldest[0] is not None:  # rows that no request can use are not sent
-        recent = recent.where((F.col("saved_at") >= F.lit(oldest[0]) - F.make_dt_interval(hours=F.lit(stale_hours))) & (F.col("saved_at") <= F.lit(oldest[1])))
-    recent = recent.dropDuplicates(["s_key", "saved_at"])
-    j = r.join(recent, (F.col("key") == F.col("s_key")) & (F.col("saved_at") <= F.col("as_of")) & (age <= stale_hours), "left")
-    g = j.groupBy("_row", *requests.columns).agg(F.max("saved_at").alias("saved_at")).drop("_row")
-    state = F.when(F.col("saved_at").isNull(), "none").when(age <= fresh_hours, "fresh").when(F.col("live_failed"), "stale").otherwise("none")
-    g = g.withColumn("state", state)
-    return g.withColumn("snapshot_at", F.when(F.col("state") != "none", F.col("saved_at"))).drop("saved_at")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slot = lambda c: F.floor(micros(c) / F.lit(slice_hours * 3.6e9))
+    asked = requests.select("key", slot("as_of").alias("slice"), F.col("as_of").alias("at"), F.struct("*").alias("r"))
+    kept = saved.where("key IS NOT NULL AND saved_at IS NOT NULL").select("key", slot("saved_at").alias("slice"), F.col("saved_at").alias("at")).distinct()
+    newest = kept.groupBy("key", "slice").agg(F.max("at").alias("newest"))
+    used = asked.where("key IS NOT NULL AND slice IS NOT NULL").select("key", "slice").distinct().withColumn("newest", F.lit(None).cast(newest.schema["newest"].dataType))
+    slices = newest.union(used).groupBy("key", "slice").agg(F.max("newest").alias("newest"))
+    before = F.max("newest").over(Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    carried = slices.select("key", "slice", before.alias("at")).where("at IS NOT NULL")
+    saves = kept.union(carried).withColumn("saved_at", F.col("at")).withColumn("r", F.lit(None).cast(asked.schema["r"].dataType))
+    none = F.lit(None).cast(newest.schema["newest"].dataType)
+    line = asked.select("key", "slice", "at", none.alias("saved_at"), "r").union(saves.select("key", "slice", "at", "saved_at", "r"))
+    w = Window.partitionBy("key", "slice").orderBy("at", F.col("r").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    g = line.withColumn("saved_at", F.max("saved_at").over(w)).where("r IS NOT NULL").select("r.*", "saved_at")
+    age = (micros("as_of") - micros("saved_at")) / F.lit(3.6e9)
+    found = F.col("key").isNotNull() & F.col("as_of").isNotNull() & F.col("saved_at").isNotNull() & (age <= stale_hours)
+    state = F.when(~found, "none").when(age <= fresh_hours, "fresh").when(F.col("live_failed"), "stale").otherwise("none")
+    return g.withColumn("state", state).withColumn("snapshot_at", F.when(F.col("state") != "none", F.col("saved_at"))).drop("saved_at")

@@ -10,22 +10,31 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up
+from .joins import salted_join
 from .scoring import CATEGORIES, is_scored, position_status
 
 
-
 def market() -> WindowSpec:
     return Window.partitionBy("market_id")
 
 
-def competition_rank(records: DataFrame) -> DataFrame:
-    """Adds scored, rank (1224 style, null for unscored rows or fewer than two scored) and tied."""
+def competition_rank(records: DataFrame, by: str = "id") -> DataFrame:
+    """Adds scored, rank (1224 style, null for unscored rows or fewer than two scored) and tied.
+
+    Ranks come from each market's counts by score, which meet its rows by market and a salt of column ``by``: scores are whole
+    numbers to 100, so a market of all rows has 101 counts and is never sorted or gathered. No filter and no join key is a score,
+    so the optimizer doesn't copy its expression. Rows without a market get no rank. ``records`` is read twice.
+    """
     r = records.withColumn("scored", is_scored(F.col("available"), F.col("final_score"), F.col("is_chain")))
     r = r.withColumn("_s", F.when(F.col("scored"), F.col("final_score")))
-    many = F.count("_s").over(market()) >= 2
-    rank = F.rank().over(market().orderBy(F.desc_nulls_last("_s")))
-    tied = F.count("_s").over(Window.partitionBy("market_id", "_s")) > 1
-    return r.withColumn("rank", F.when(F.col("scored") & many, rank)).withColumn("tied", F.col("rank").isNotNull() & tied).drop("_s")
+    n = r.groupBy("market_id", "_s").agg(F.count("*").alias("_n"))
+    counts = n.groupBy("market_id").agg(F.collect_list(F.struct("_s", "_n")).alias("_counts"))
+    out = salted_join(r, counts, ["market_id"], [by], "left")
+    rows = lambda fits: F.aggregate("_counts", F.lit(0).cast("bigint"), lambda acc, e: acc + F.when(fits(e["_s"]), e["_n"]).otherwise(0))
+    ranked = F.col("scored") & (rows(lambda s: s.isNotNull()) >= 2)
+    rank = F.when(ranked, rows(lambda s: s > F.col("_s")) + 1).cast("int")
+    tied = F.coalesce(ranked & (rows(lambda s: s == F.col("_s")) > 1), F.lit(False))
+    return out.select(*r.drop("_s").columns, rank.alias("rank"), tied.alias("tied"))
 
 
 def display_order(ranked: DataFrame) -> DataFrame:

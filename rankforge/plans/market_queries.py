@@ -188,17 +188,21 @@ def narrowed_radius(spark, sf):
     return spatial.narrowed_radius(found.join(_centres(spark, sf).select("market_id", "radius_km"), "market_id"), 20)
 
 
+def _name():
+    return F.when(F.col("k") % 4 == 0, F.concat(F.lit("n"), (F.col("k") % 40).cast("string"))).otherwise(F.col("name_key"))
+
+
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
     r = records(spark, sf)
     site = F.when(F.col("k") % 17 != 0, F.concat(F.lit("site"), (F.col("k") % 911).cast("string")))
     phone = F.when(F.col("k") % 6 == 0, F.concat(F.lit("p"), (F.col("k") % 97).cast("string")))
     score = entity.priority_score(site, phone, F.lit(None).cast("string"), F.col("lat"), F.lit(False), F.lit(False), F.col("k") % 5)
-    return r.select("market_id", "id", "name", "name_key", F.lit(None).cast("string").alias("address_key"), site.alias("site_key"), phone.alias("phone_key"), "lat", "lon", score.alias("priority_score"), "k")
+    return r.select("market_id", "id", "name", _name().alias("name_key"), F.when(F.col("k") % 8 == 0, F.concat(F.lit("a"), (F.col("k") % 80).cast("string"))).alias("address_key"), site.alias("site_key"), phone.alias("phone_key"), "lat", "lon", score.alias("priority_score"), "k")
 
 
-_KEYED = f"{RECORDS_SQL}, kd AS (SELECT market_id, id, name, name_key, CASE WHEN k % 17 <> 0 THEN concat('site', cast(k % 911 AS VARCHAR)) END AS site_key, CASE WHEN k % 6 = 0 THEN concat('p', cast(k % 97 AS VARCHAR)) END AS phone_key, lat, lon, (CASE WHEN k % 17 <> 0 THEN 30e0 ELSE 0 END) + (CASE WHEN k % 6 = 0 THEN 20e0 ELSE 0 END) + 15 + least(5e0, (k % 5) / 2e0) AS priority_score, k FROM rec0)"
+_KEYED = f"{RECORDS_SQL}, kd AS (SELECT market_id, id, name, CASE WHEN k % 4 = 0 THEN concat('n', k % 40) ELSE name_key END AS name_key, CASE WHEN k % 8 = 0 THEN concat('a', k % 80) END AS address_key, CASE WHEN k % 17 <> 0 THEN concat('site', cast(k % 911 AS VARCHAR)) END AS site_key, CASE WHEN k % 6 = 0 THEN concat('p', cast(k % 97 AS VARCHAR)) END AS phone_key, lat, lon, (CASE WHEN k % 17 <> 0 THEN 30e0 ELSE 0 END) + (CASE WHEN k % 6 = 0 THEN 20e0 ELSE 0 END) + 15 + least(5e0, (k % 5) / 2e0) AS priority_score, k FROM rec0)"
 _M = "1000 * 2 * 6371.0088e0 * asin(least(1e0, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2))))"
-_PAIRS = f"{_KEYED}, pr AS (SELECT DISTINCT x.market_id, x.id AS a, y.id AS b FROM kd x JOIN kd y ON x.market_id = y.market_id AND x.id < y.id WHERE (x.name_key = y.name_key AND {_M} <= 150) OR ((x.site_key = y.site_key OR x.phone_key = y.phone_key) AND {_M} <= 250))"
+_PAIRS = f"{_KEYED}, pr AS (SELECT DISTINCT x.market_id, x.id AS a, y.id AS b FROM kd x JOIN kd y ON x.market_id = y.market_id AND x.id < y.id WHERE (x.name_key = y.name_key AND (coalesce(x.address_key = y.address_key, false) OR {_M} <= 150)) OR ((x.site_key = y.site_key OR x.phone_key = y.phone_key) AND {_M} <= 250))"
 
 
 @query(f"WITH {_PAIRS} SELECT * FROM pr")
@@ -222,7 +226,7 @@ def flag_chains(spark, sf):
 def exclude_self(spark, sf):
     c = _keyed(spark, sf).withColumn("name_segment", F.col("name_key")).withColumn("distance_km", F.lit(0.0))
     r = records(spark, sf).where("is_user")
-    u = r.select("market_id", F.col("name_key").alias("user_name_key"), F.concat(F.lit("site"), (F.col("k") % 911).cast("string")).alias("user_site"))
+    u = r.select("market_id", _name().alias("user_name_key"), F.concat(F.lit("site"), (F.col("k") % 911).cast("string")).alias("user_site"))
     return entity.exclude_self(c, u)[0].select("market_id", "id")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, urls
-from ..operators import audit, market, scoring, signals
+from ..operators import audit, domains, entity, market, scoring, signals
+from ..operators.joins import salted_join
 from .bindings import table
 
 QUERIES, SQL = {}, {}
@@ -82,12 +83,12 @@ def website_score(spark, sf):
 @query()
 def ranked_pages(spark, sf):
     """The flagship: pages parsed once, scored, and ranked within their host; the first page of a host is its user."""
-    from pyspark.sql import Window
-
-    s = scoring.website_score(_audits(spark, sf)).withColumn("market_id", urls.host_of(F.col("url")))
-    s = s.withColumn("is_user", F.col("page_id") == F.min("page_id").over(Window.partitionBy("market_id"))).withColumn("is_chain", F.lit(False)).withColumn("available", F.col("word_count") >= audit.LEAST_WORDS)
+    s = scoring.website_score(_audits(spark, sf)).withColumn("market_id", urls.host_of(F.col("url"))).withColumn("is_chain", F.lit(False)).withColumn("available", F.col("word_count") >= audit.LEAST_WORDS)
     s = s.withColumn("final_score", F.when(F.col("available"), scoring.final_score(F.col("website_score"), F.lit(50), F.lit(40), F.lit(20))))
-    return market.competition_rank(s).select("market_id", "page_id", "is_user", "website_score", "final_score", "scored", "rank", "tied")
+    s = entity.written(s.select("market_id", "page_id", "website_score", "final_score", "is_chain", "available"))
+    first = s.groupBy("market_id").agg(F.min("page_id").alias("first"))
+    s = salted_join(s, first, ["market_id"], ["page_id"]).withColumn("is_user", F.col("page_id") == F.col("first"))
+    return market.competition_rank(s, "page_id").select("market_id", "page_id", "is_user", "website_score", "final_score", "scored", "rank", "tied")
 
 
 _BARE = r"lower(text)"
@@ -122,14 +123,31 @@ def canonical_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query(r"WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^www\.', '') AS h FROM pages), l AS (SELECT page_id, string_split(h, '.') AS l FROM h) SELECT page_id, CASE WHEN len(l) < 2 THEN array_to_string(l, '.') WHEN len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ('co', 'com', 'net', 'org', 'gov', 'edu', 'ac') THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS root FROM l")
+@query(r"WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^www\.', '') AS h FROM pages), l AS (SELECT page_id, string_split(h, '.') AS l FROM h) SELECT page_id, CASE WHEN len(l) < 2 THEN array_to_string(l, '.') WHEN len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ('com', 'co', 'org', 'net', 'gov', 'edu', 'ac', 'or', 'ne', 'go', 'gob', 'gv', 'mil', 'nom', 'ltd', 'plc', 'sch', 'biz', 'info') THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS root FROM l")
 def domain_root(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.domain_root(urls.host_of(F.col("url"))).alias("root"))
 
 
-@query(r"WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^www\.', '') AS h FROM pages) SELECT page_id, array_to_string(string_split(h, '.')[-2:], '.') AS site FROM h")
+#: The pages' hosts, as they are or under other suffixes, and rules for them.
+_HOSTS = "CASE page_id % 6 WHEN 0 THEN concat('Shop.', split_part(h, '.', 1), '.co.uk') WHEN 1 THEN concat(h, '.ck') WHEN 2 THEN concat('x.', split_part(h, '.', 1), '.city.ck') WHEN 3 THEN concat('www.', split_part(h, '.', 2), '.co.id.') ELSE h END"
+_SUFFIXES = ("co.uk", "net", "example.com", "*.ck", "!example.net.ck", "ck")
+
+
+@query(r"WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#:]+)', 1) AS h FROM pages), o AS (SELECT DISTINCT " + _HOSTS + r" AS host FROM p), n AS (SELECT host, regexp_replace(regexp_replace(lower(host), '\.$', ''), '^www\.', '') AS c FROM o), l AS (SELECT *, string_split(c, '.') AS l FROM n), s AS (SELECT *, CASE WHEN c = 'example.net.ck' OR c LIKE '%.example.net.ck' THEN 2 WHEN c LIKE '%.ck' THEN 2 WHEN c LIKE '%.co.uk' OR c LIKE '%.example.com' OR c = 'example.com' THEN 2 WHEN c LIKE '%.net' THEN 1 WHEN len(l) > 2 AND length(l[-1]) = 2 AND l[-2] = 'co' THEN 2 ELSE 1 END AS k FROM l) SELECT host, array_to_string(l[-least(len(l), k + 1):], '.') AS root FROM s")
+def registrable_domains(spark, sf):
+    hosts = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "://([^/?#:]+)", 1).alias("h")).select(F.expr(_HOSTS).alias("host"))
+    return domains.registrable_domains(hosts, spark.createDataFrame([(s,) for s in _SUFFIXES], "rule string"))
+
+
+_SITES = "CASE page_id % 6 WHEN 0 THEN concat('https://www.facebook.com/', tail, '/') WHEN 1 THEN concat('http://', tail, '.wixsite.com/a') WHEN 2 THEN 'https://facebook.com/' WHEN 3 THEN concat('https://m.yelp.com/Biz/', tail, '?x=1') ELSE url END"
+_TAIL = "concat('t', split_part(split_part(url, '://', 2), '.', 1))"
+
+
+@query(rf"WITH t AS (SELECT page_id, url, {_TAIL} AS tail FROM pages), h AS (SELECT *, regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^www\.', '') AS h FROM t) SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'facebook.com/' || tail WHEN 1 THEN tail || '.wixsite.com' WHEN 2 THEN NULL WHEN 3 THEN 'yelp.com/biz/' || tail ELSE array_to_string(string_split(h, '.')[-2:], '.') END AS site FROM h")
 def site_identity(spark, sf):
-    return table(spark, sf, "pages").select("page_id", urls.site_identity(F.col("url")).alias("site"))
+    """Profiles and tenants named after the pages' hosts, a bare shared host, and the pages' own urls."""
+    p = table(spark, sf, "pages").select("page_id", "url", F.expr(_TAIL).alias("tail"))
+    return p.select("page_id", urls.site_identity(F.expr(_SITES)).alias("site"))
 
 
 @query()

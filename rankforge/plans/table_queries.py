@@ -43,11 +43,14 @@ def retention_sessions(spark, sf):
     return quota.retention_sessions(_events(spark, sf), 2)
 
 
-@query("WITH r AS (SELECT DISTINCT o_custkey AS k, DATE '1997-01-01'::TIMESTAMP AS a, o_custkey % 2 = 0 AS live_failed FROM orders), j AS (SELECT k, live_failed, max(o_orderdate) AS s FROM r LEFT JOIN orders ON o_custkey = k AND o_orderdate <= a AND date_diff('microsecond', o_orderdate, a) / 3.6e9 <= 8760 GROUP BY ALL) SELECT k AS key, CASE WHEN s IS NULL THEN 'none' WHEN date_diff('microsecond', s, TIMESTAMP '1997-01-01') / 3.6e9 <= 2190 THEN 'fresh' WHEN live_failed THEN 'stale' ELSE 'none' END AS state FROM j")
+@query("WITH r AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderdate + to_days((o_orderkey % 500)::INTEGER) AS a, o_orderkey % 2 = 0 AS live_failed FROM orders), j AS (SELECT id, k, a, live_failed, max(o_orderdate) AS s FROM r LEFT JOIN orders ON o_custkey = k AND o_orderkey % 3 = 0 AND o_orderdate <= a AND date_diff('microsecond', o_orderdate::TIMESTAMP, a::TIMESTAMP) / 3.6e9 <= 8760 GROUP BY ALL), t AS (SELECT *, CASE WHEN s IS NULL THEN 'none' WHEN date_diff('microsecond', s::TIMESTAMP, a::TIMESTAMP) / 3.6e9 <= 2190 THEN 'fresh' WHEN live_failed THEN 'stale' ELSE 'none' END AS state FROM j) SELECT id, k AS key, state, CASE WHEN state <> 'none' THEN epoch(s)::BIGINT END AS snapshot_s FROM t")
 def asof_snapshot(spark, sf):
+    """Every order asks, up to 500 days after it was made, for its customer's last saved answer; every third order saved one."""
     o = table(spark, sf, "orders")
-    r = o.select(F.col("o_custkey").alias("key"), F.lit("1997-01-01").cast("timestamp_ntz").alias("as_of"), (F.col("o_custkey") % 2 == 0).alias("live_failed")).distinct()
-    return entity.asof_snapshot(r, o.select(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("saved_at")), 2190, 8760).select("key", "state")
+    day = F.col("o_orderdate").cast("timestamp_ntz")
+    r = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), (day + F.make_dt_interval(days=(F.col("o_orderkey") % 500).cast("int"))).alias("as_of"), (F.col("o_orderkey") % 2 == 0).alias("live_failed"))
+    saved = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("key"), day.alias("saved_at"))
+    return entity.asof_snapshot(r, saved, 2190, 8760).select("id", "key", "state", F.unix_seconds(F.col("snapshot_at").cast("timestamp")).alias("snapshot_s"))
 
 
 def _uses(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,10 +150,25 @@ def pool_health(spark, sf):
     return reports.pool_health(_snapshots(spark, sf), _snapshots(spark, sf), "1997-01-01")
 
 
-@query("SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'blocked' WHEN 2 THEN 'http_5xx' WHEN 3 THEN 'dns' WHEN 4 THEN 'timeout' ELSE 'connection' END AS failure FROM events")
+#: What a fetch met in each of twenty cases, beside a page of 200 OK: column, SQL value by event_id % 20.
+_FETCH = {
+    "timed_out": {2: "true"},
+    "refusal": {3: "'dns_unresolved'", 4: "'dns_error'", 5: "'invalid_url'", 6: "'private_address'", 7: "'unsupported_scheme'"},
+    "robots_allowed": {8: "false"},
+    "status": {**{k: "cast(null as int)" for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)}, 12: "403", 13: "429", 14: "503", 15: "302", 16: "304"},
+    "location": {15: "'/next'"},
+    "error_codes": {1: "array('econnreset')", 9: "array('X', 'UND_ERR_CONNECT_TIMEOUT')", 10: "array('CERT_HAS_EXPIRED', 'EAI_NONAME')", 11: "array('EAI_AGAIN', 'EPROTO')"},
+    "content_type": {17: "'image/png'"},
+    "declared_length": {18: "2000000"},
+    "word_count": {19: "39"},
+}
+_FETCH_ELSE = {"status": "200", "content_type": "'text/html; charset=utf-8'", "declared_length": "100", "word_count": "40"}
+
+
+@query("SELECT event_id AS id, ['connection_failed', 'timeout', 'dns_unresolved', 'dns_error', 'invalid_url', 'blocked_url', 'blocked_url', 'robots_disallowed', 'timeout', 'dns_unresolved', 'tls_error', 'blocked_by_site', 'blocked_by_site', 'http_error', 'too_many_redirects', 'http_error', 'unsupported_content_type', 'too_large', 'insufficient_content'][event_id % 20] AS failure, CASE event_id % 20 WHEN 14 THEN '5xx' WHEN 16 THEN '3xx' END AS status_class FROM events")
 def classify_fetch(spark, sf):
-    log = table(spark, sf, "events").selectExpr("event_id AS id", "CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 503 END AS status", "CASE event_id % 6 WHEN 3 THEN array('ENOTFOUND') WHEN 4 THEN array('X', 'UND_ERR_CONNECT_TIMEOUT') ELSE array('ECONNRESET') END AS error_codes")
-    return audit.classify_fetch(log).select("id", "failure")
+    cases = [f"CASE event_id % 20 {' '.join(f'WHEN {k} THEN {v}' for k, v in of.items())}{' ELSE ' + _FETCH_ELSE[c] if c in _FETCH_ELSE else ''} END AS {c}" for c, of in _FETCH.items()]
+    return audit.classify_fetch(table(spark, sf, "events").selectExpr("event_id AS id", *cases)).select("id", "failure", "status_class")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 10 = 4 THEN 'warn' ELSE 'error' END AS severity FROM events")
@@ -189,13 +207,23 @@ def news_coverage(spark, sf):
     return signals.news_coverage(r)
 
 
+_ROBOTS = "User-agent: *\nDisallow: /es/\nDisallow: /*?utm_\n\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /es/*.html$\n"
+
+
 @query()
 def robots_allowed(spark, sf):
+    """Each host's file holds a body of general rules and, for every seventh page of the host, its path, allowed or not, open or closed."""
     pages = table(spark, sf, "pages")
     u = pages.select(F.col("page_id").alias("id"), F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "://[^/?#]+([^#]*)", 1).alias("path"))
-    body = "User-agent: *\nDisallow: /es/\nDisallow: /*?utm_\n\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /es/*.html$\n"
-    robots = u.select("host").distinct().withColumn("body", F.lit(body))
-    return audit.robots_allowed(u, audit.robots_rules(robots, "bench"))
-
-
-SQL["robots_allowed"] = r"WITH u AS (SELECT page_id AS id, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+([^#]*)', 1) AS path FROM pages) SELECT id, host, path, CASE WHEN regexp_matches(path, '^/es/.*\.html$') THEN true WHEN regexp_matches(path, '^/.*\?utm_') OR starts_with(path, '/es/') THEN false ELSE true END AS allowed FROM u"
+    line = F.concat(F.when(F.col("id") % 2 == 0, "Disallow: ").otherwise("Allow: "), F.substring_index("path", "?", 1), F.when(F.col("id") % 3 == 0, "*=").when(F.col("id") % 3 == 1, "$").otherwise(""))
+    own = u.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list(F.when((F.col("id") % 7 == 0) & (F.col("path") != ""), line))), "\n").alias("own"))
+    robots = own.select("host", F.concat(F.lit(_ROBOTS), F.col("own")).alias("body"))
+    return audit.robots_allowed(u, audit.robots_rules(robots, "bench", most=None))
+
+
+SQL["robots_allowed"] = r"""WITH u AS (SELECT page_id AS id, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+([^#]*)', 1) AS path FROM pages),
+r AS (SELECT host, id % 2 = 1 AS allow, string_split(path, '?')[1] || ['*=', '$', ''][id % 3 + 1] AS rule FROM u WHERE id % 7 = 0 AND path <> ''
+    UNION SELECT host, allow, rule FROM (SELECT DISTINCT host FROM u), (VALUES (false, '/es/'), (false, '/*?utm_'), (true, '/es/*.html$')) v(allow, rule)),
+x AS (SELECT *, '^' || array_to_string(list_transform(string_split(rtrim(rule, '$'), '*'), lambda p: regexp_escape(p)), '.*') || CASE WHEN rule LIKE '%$' THEN '$' ELSE '' END AS pattern FROM r),
+b AS (SELECT id, arg_max(allow, (length(rule), allow)) AS allowed FROM u JOIN x ON u.host = x.host AND regexp_matches(CASE WHEN path = '' THEN '/' ELSE path END, pattern) GROUP BY id)
+SELECT u.*, coalesce(allowed, true) AS allowed FROM u LEFT JOIN b USING (id)"""
