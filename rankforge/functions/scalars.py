@@ -30,9 +30,9 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def sanitize(c: Column) -> Column:
-    """No angle brackets, backticks, braces or control characters; white space collapsed and trimmed."""
-    bare = F.regexp_replace(c, r"[<>`{}\x00-\x08\x0E-\x1F\x7F]", "")
-    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+    """No angle brackets, backticks, braces or control characters (tabs and line ends too); white space collapsed and trimmed."""
+    bare = F.regexp_replace(c, r"[<>`{}\x00-\x1F\x7F]", "")
+    return F.trim(F.regexp_replace(bare, r"(?U)[\s\x{FEFF}]+", " "))
 
 
 def redact_emails(c: Column) -> Column:

@@ -13,22 +13,54 @@ from ..functions.scalars import sanitize
 PROBE_KEYS = ("shop", "amenity", "office", "craft", "leisure", "tourism")
 SETTLEMENTS = ("city", "town", "village", "hamlet", "municipality", "borough", "suburb", "city_district", "district", "quarter", "neighbourhood", "locality", "postcode")
 RIVAL_SHARE = 0.85
-#: Fixed values: (field, longest raw length).
-LIMITS = (("business_name", 120), ("business_url", 300), ("business_type", 80), ("market", 120))
+#: Fixed values: (field, name in a request's JSON, longest raw length).
+LIMITS = (("business_name", "businessName", 80), ("business_url", "businessUrl", 300), ("business_type", "businessType", 80), ("market", "market", 120))
+_URL = r"^(?is)https?://([^\s/?#@]*@)?(\[[0-9a-f:.]+\]|[^\s/?#@:<>^|%\[\]]+)(:\d{0,5})?([/?#].*)?$"
+
+
+def read_requests(bodies: DataFrame) -> DataFrame:
+    """``bodies`` (with body, a JSON text) with the fields of LIMITS and form_errors.
+
+    form_errors: ``body:not_object`` (also for null, broken JSON and a key that occurs twice), ``unknown:<key>`` of each key that a
+    request doesn't have, in order, and ``<field>:not_text`` for a field that is absent or no string; such a field is null.
+    """
+    v = bodies.withColumn("_v", F.try_parse_json("body"))
+    item = lambda name: F.try_variant_get(F.col("_v"), f"$.{name}", "variant")
+    is_text = lambda name: F.coalesce(F.schema_of_variant(item(name)) == "STRING", F.lit(False))
+    fields = {field: F.when(is_text(name), F.try_variant_get(F.col("_v"), f"$.{name}", "string")) for field, name, _ in LIMITS}
+    keys = F.when(F.col("_v").isNotNull(), F.json_object_keys("body"))
+    others = F.array_sort(F.filter(keys, lambda k: ~k.isin(*[name for _, name, _ in LIMITS])))
+    absent = F.array_compact(F.array(*[F.when(~is_text(name), f"{field}:not_text") for field, name, _ in LIMITS]))
+    errors = F.when(keys.isNull(), F.array(F.lit("body:not_object"))).otherwise(F.concat(F.transform(others, lambda k: F.concat(F.lit("unknown:"), k)), absent))
+    return v.withColumns({**fields, "form_errors": errors}).drop("_v")
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
-    """Sanitised fields and violations (array of field:rule); lengths are tested before and after cleaning."""
-    bad: list[Column] = []
-    for field, most in LIMITS:
-        raw, clean = F.coalesce(F.col(field), F.lit("")), sanitize(F.coalesce(F.col(field), F.lit("")))
-        bad.append(F.when(F.length(raw) > most, f"{field}:too_long"))
-        bad.append(F.when(F.length(clean) < 2, f"{field}:too_short"))
-    bad.append(F.when(~F.coalesce(F.col("business_url").rlike(r"^(?i)\s*(https?://)?[^\s/:@]+\.[^\s/:@]+(:\d+)?([/?#]\S*)?\s*$"), F.lit(False)), "business_url:not_http"))
-    place, region = F.trim(F.substring_index("market", ",", 1)), F.trim(F.element_at(F.split(F.coalesce("market", F.lit("")), ","), -1))
-    bad.append(F.when(~F.coalesce(F.col("market").contains(",") & (F.length(place) >= 2) & (F.length(region) >= 2), F.lit(False)), "market:no_region"))
-    out = requests.withColumn("violations", F.array_compact(F.array(*bad)))
-    return out.withColumns({f: sanitize(F.col(f)) for f, _ in LIMITS})
+    """Cleaned fields, violations (array of field:rule) and message.
+
+    Lengths are tested first as they came, where a failure ends a field, then after cleaning; an address is only trimmed and
+    needs http or https. Null counts as empty; what ``form_errors`` names as no text or no object has no further violation. message is the first violation
+    that tells its own rule (the address, then the market), else ``invalid``; null if there is none.
+    """
+    formed = F.col("form_errors") if "form_errors" in requests.columns else F.array().cast("array<string>")
+    lengths: list[Column] = []
+    raw = {field: F.coalesce(F.col(field), F.lit("")) for field, _, _ in LIMITS}
+    silent = lambda field: F.arrays_overlap(formed, F.array(F.lit("body:not_object"), F.lit(f"{field}:not_text")))
+    ends = {field: (F.length(raw[field]) > most) | silent(field) for field, _, most in LIMITS}
+    for field, _, most in LIMITS:
+        lengths.append(F.when(F.length(raw[field]) > most, f"{field}:too_long"))
+        if field != "business_url":
+            lengths.append(F.when(~ends[field] & (F.length(sanitize(raw[field])) < 2), f"{field}:too_short"))
+    parts = F.transform(F.split(sanitize(raw["market"]), ","), lambda x: F.length(F.trim(x)) >= 2)
+    placed = F.get(parts, F.lit(0)) & F.exists(F.slice(parts, F.lit(2), F.size(parts)), lambda x: x)
+    rules = [
+        F.when(~ends["business_url"] & ~F.trim(raw["business_url"]).rlike(_URL), "business_url:not_http"),
+        F.when(~ends["market"] & (F.length(raw["market"]) >= 2) & ~placed, "market:no_region"),
+    ]
+    own = F.get(F.array_compact(F.array(*rules)), F.lit(0))
+    out = requests.withColumn("violations", F.concat(formed, F.array_compact(F.array(*lengths, *rules))))
+    out = out.withColumn("message", F.coalesce(own, F.when(F.size("violations") > 0, "invalid")))
+    return out.withColumns({field: F.trim(field) if field == "business_url" else sanitize(F.col(field)) for field, _, _ in LIMITS})
 
 
 def validate_signups(signups: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def social_platform(spark, sf):
     return table(spark, sf, "pages").select("page_id", signals.social_platform(href).alias("platform"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[<>`{}\x00-\x08\x0E-\x1F\x7F]', '', 'g'), '[\s\p{Z}\x0B\x{85}]+', ' ', 'g').trim() AS clean FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[<>`{}\x00-\x1F\x7F]', '', 'g'), '[\s\p{Z}\x0B\x{85}]+', ' ', 'g').trim() AS clean FROM documents")
 def sanitize_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", scalars.sanitize(F.col("text")).alias("clean"))
 

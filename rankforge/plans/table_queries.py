@@ -79,12 +79,29 @@ def source_violations(spark, sf):
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").selectExpr("p_partkey AS request_id", "p_name AS business_name", "concat('https://p', cast(p_partkey % 50 as string), CASE WHEN p_partkey % 9 = 0 THEN '' ELSE '.example' END) AS business_url", "p_type AS business_type", "CASE WHEN p_partkey % 4 = 0 THEN 'Thon' ELSE concat('Thon', cast(p_partkey % 10 as string), ', CA') END AS market")
+    return table(spark, sf, "part").selectExpr("p_partkey AS request_id", "p_name AS business_name", "concat(CASE p_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'ftp://' ELSE 'https://' END, 'p', cast(p_partkey % 50 as string), '.example') AS business_url", "CASE WHEN p_partkey % 15 = 0 THEN concat('<', chr(9), 'x', '>') ELSE p_type END AS business_type", "CASE p_partkey % 8 WHEN 0 THEN 'Thon' WHEN 4 THEN 'Thon, C' WHEN 6 THEN ' , Thon' ELSE concat('Thon', cast(p_partkey % 10 as string), ', CA, ') END AS market")
 
 
-@query("WITH r AS (SELECT p_partkey AS request_id, p_name AS n, p_type AS t, p_partkey % 9 = 0 AS bad_url, p_partkey % 4 = 0 AS bad_market FROM part) SELECT request_id, concat_ws(',', CASE WHEN length(n) > 120 THEN 'business_name:too_long' END, CASE WHEN length(trim(n)) < 2 THEN 'business_name:too_short' END, CASE WHEN length(t) > 80 THEN 'business_type:too_long' END, CASE WHEN bad_url THEN 'business_url:not_http' END, CASE WHEN bad_market THEN 'market:no_region' END) AS violations FROM r")
+_VIOLATIONS = "CASE WHEN length(n) > 80 THEN 'business_name:too_long' END, CASE WHEN length(trim(n)) < 2 THEN 'business_name:too_short' END, CASE WHEN k % 15 <> 0 AND length(t) > 80 THEN 'business_type:too_long' END, CASE WHEN k % 15 = 0 {short} THEN 'business_type:too_short' END, CASE WHEN k % 9 < 2 THEN 'business_url:not_http' END, CASE WHEN k % 8 IN (0, 4, 6) THEN 'market:no_region' END"
+_MESSAGE = "CASE WHEN k % 9 < 2 THEN 'business_url:not_http' WHEN k % 8 IN (0, 4, 6) THEN 'market:no_region' WHEN v <> '' THEN 'invalid' END"
+
+
+@query(f"WITH r AS (SELECT p_partkey AS k, p_name AS n, p_type AS t FROM part), v AS (SELECT *, concat_ws(',', {_VIOLATIONS.format(short='')}) AS v FROM r) SELECT k AS request_id, v AS violations, {_MESSAGE} AS message FROM v")
 def validate_requests(spark, sf):
-    return resolve.validate_requests(_requests(spark, sf)).select("request_id", F.array_join("violations", ",").alias("violations"))
+    return resolve.validate_requests(_requests(spark, sf)).select("request_id", F.array_join("violations", ",").alias("violations"), "message")
+
+
+@query(f"WITH r AS (SELECT p_partkey AS k, p_name AS n, p_type AS t FROM part), v AS (SELECT *, CASE WHEN k % 17 = 0 THEN 'body:not_object' ELSE concat_ws(',', CASE WHEN k % 11 = 0 THEN 'unknown:a,unknown:b' END, CASE WHEN k % 13 < 3 THEN 'business_type:not_text' END, {_VIOLATIONS.format(short='AND k % 13 > 2')}) END AS v FROM r) SELECT k AS request_id, v AS violations, CASE WHEN k % 17 = 0 THEN 'invalid' ELSE {_MESSAGE} END AS message FROM v")
+def read_requests(spark, sf):
+    """Requests as JSON bodies: some with unknown keys, a business type that is no text or absent, or cut short."""
+    r = _requests(spark, sf)
+    k = F.col("request_id")
+    known = lambda kind: F.struct(F.col("business_name").alias("businessName"), F.col("business_url").alias("businessUrl"), *kind, "market")
+    texts = F.to_json(known([F.col("business_type").alias("businessType")]))
+    body = F.when(k % 13 == 0, F.to_json(known([k.alias("businessType")]))).when(k % 13 == 1, F.to_json(known([F.array("business_type").alias("businessType")]))).when(k % 13 == 2, F.to_json(known([]))).otherwise(texts)
+    body = F.when(k % 17 == 0, F.left(body, F.length(body) - 1)).when(k % 11 == 0, F.concat(F.lit('{"b": 1, "a": null, '), F.substr(body, F.lit(2)))).otherwise(body)
+    v = resolve.validate_requests(resolve.read_requests(r.select("request_id", body.alias("body"))))
+    return v.select("request_id", F.array_join("violations", ",").alias("violations"), "message")
 
 
 def _category_map(spark: SparkSession) -> DataFrame:

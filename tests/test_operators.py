@@ -108,9 +108,9 @@ def test_industry(spark):
 
 
 def test_requests(spark):
-    r = spark.createDataFrame([("Joe's", "joe.example", "cafe", "Town, CA"), ("<>", "ftp://x", "c" * 90, "Town")], "business_name string, business_url string, business_type string, market string")
+    r = spark.createDataFrame([("Joe's", " HTTPS://u:p@joe.example:80/a b ", "cafe", "Town, , CA"), ("A\tb", "joe.example", "ca\x00fe", "Town, C"), ("<>", "ftp://x", "c" * 90, "Town")], "business_name string, business_url string, business_type string, market string")
     got = [x["violations"] for x in resolve.validate_requests(r).collect()]
-    assert got == [[], ["business_name:too_short", "business_type:too_long", "business_url:not_http", "market:no_region"]]
+    assert got == [[], ["business_url:not_http", "market:no_region"], ["business_name:too_short", "business_type:too_long", "business_url:not_http", "market:no_region"]]
 
 
 HTML = "<html><head><title> A  page </title><meta name=description content='Says it'><meta name=viewport content=x></head><body><nav>Menu <a href='/about'>About us</a></nav><h1>Big</h1><p>one<p>two <b>bold</b>ly<script>no()</script><div hidden>not</div><a href='tel:1'>call</a> <a href='https://facebook.com/joe'>fb</a><footer>end</footer></body></html>"

@@ -134,3 +134,16 @@ def test_default_suffixes_agree_with_the_column(spark):
 def test_shared_hosts(spark):
     u = spark.createDataFrame([("https://m.facebook.com/Joe/?id=5#x",), ("https://facebook.com/?id=5",), ("http://joe.square.site/menu",), ("https://sites.google.com/view/x/",), ("https://notfacebook.com/joe",), ("https://x.com",), ("mailto:a",), (None,)], "u string")
     assert [r[0] for r in u.select(urls.site_identity(F.col("u"))).collect()] == ["facebook.com/joe?id=5", None, "joe.square.site", "sites.google.com/view/x", "notfacebook.com", None, None, None]
+
+
+def test_request_bodies(spark):
+    from rankforge.operators import resolve
+
+    good = '{"businessName": "A\\tb", "businessUrl": " https://a.example ", "businessType": "cafe", "market": "Town, UK"%s}'
+    bodies = [good % "", good % ', "z": 1, "y": {"businessName": 2}', "[]", "null", "{", None, "{}", '{"businessName": 5, "businessUrl": null, "businessType": [], "market": "Town"}', good % ', "market": "T, UK"']
+    r = resolve.validate_requests(resolve.read_requests(spark.createDataFrame(list(enumerate(bodies)), "id int, body string"))).orderBy("id").collect()
+    absent = [f"{f}:not_text" for f in ("business_name", "business_url", "business_type", "market")]
+    assert [x["form_errors"] for x in r] == [[], ["unknown:y", "unknown:z"], *[["body:not_object"]] * 4, absent, absent[:3], ["body:not_object"]]
+    assert (r[0]["business_name"], r[0]["business_url"], r[0]["violations"], r[0]["message"]) == ("Ab", "https://a.example", [], None)
+    assert r[1]["message"] == "invalid" and r[6]["violations"] == absent and r[7]["violations"] == [*absent[:3], "market:no_region"] and r[7]["message"] == "market:no_region"
+    assert {(*x["violations"], x["message"]) for x in r if "body:not_object" in x["form_errors"]} == {("body:not_object", "invalid")}
