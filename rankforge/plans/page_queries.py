@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars, urls
 from ..operators import audit, domains, entity, market, scoring, signals
 from ..operators.joins import salted_join
+from . import page_sql
 from .bindings import table
 
 QUERIES, SQL = {}, {}
@@ -33,12 +34,17 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     return audit.page_features(table(spark, sf, "pages"))
 
 
+def _sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of the pages with menus, contact details and descriptions."""
+    return audit.page_features(table(spark, sf, "pages").select("page_id", "url", F.expr(page_sql.SITE_HTML).alias("html")))
+
+
 @query(r"SELECT page_id, len(regexp_extract_all(html, '<h1[ >]'))::INTEGER AS h1_count, len(regexp_extract_all(html, '<h[1-6][ >]'))::INTEGER AS heading_count, contains(html, 'name=\"viewport\"') AS has_viewport, strlen(html)::INTEGER AS html_bytes FROM pages")
 def page_features(spark, sf):
     return _features(spark, sf).select("page_id", "h1_count", "heading_count", "has_viewport", "html_bytes")
 
 
-@query()
+@query(page_sql.PAGE_TEXT)
 def page_text(spark, sf):
     return _features(spark, sf).select("page_id", "title", "word_count", F.length("text").alias("text_chars"), F.length("content").alias("content_chars"))
 
@@ -48,39 +54,42 @@ def page_links(spark, sf):
     return audit.page_links(_features(spark, sf)).select("page_id", "ord", "href", "label")
 
 
-@query()
+@query(page_sql.CLASSIFY_LINKS)
 def classify_links(spark, sf):
-    return audit.page_links(_features(spark, sf)).groupBy("type").agg(F.count("*").alias("n"))
+    return audit.page_links(_sites(spark, sf)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(page_sql.PAGES_TO_FOLLOW)
 def pages_to_follow(spark, sf):
-    return audit.pages_to_follow(audit.page_links(_features(spark, sf)))
+    return audit.pages_to_follow(audit.page_links(_sites(spark, sf)))
 
 
-@query()
+@query(page_sql.AUDIT_GATE)
 def audit_gate(spark, sf):
-    return audit.audit_gate(_features(spark, sf))
+    """The pages and a short page for each that leads to it or to another site."""
+    pages = table(spark, sf, "pages")
+    moved = pages.select((F.col("page_id") + page_sql.MOVED).alias("page_id"), F.expr(page_sql.MOVED_URL).alias("url"), F.expr(page_sql.MOVED_HTML).alias("html"))
+    return audit.audit_gate(audit.page_features(pages.select("page_id", "url", "html").unionByName(moved)))
 
 
-@query()
+@query(page_sql.CONTACT_FLAGS)
 def contact_flags(spark, sf):
-    return audit.contact_flags(_features(spark, sf))
+    return audit.contact_flags(_sites(spark, sf))
 
 
 def _audits(spark: SparkSession, sf: str) -> DataFrame:
     flags = {"has_contact": ("contact",), "has_booking": ("booking", "quote"), "has_services": ("services",), "has_pricing": ("pricing",), "has_about": ("about",), "has_blog": ("blog",)}
-    a = audit.with_contact_flags(audit.link_type_flags(_features(spark, sf), flags))
+    a = audit.with_contact_flags(audit.link_type_flags(_sites(spark, sf), flags))
     word = lambda w: F.regexp_count(signals.for_matching(F.col("text")), signals.keyword_pattern(F.lit(w)))
     return a.select("page_id", "url", "title", "meta_description", "h1_count", "word_count", F.lit("tion").alias("business_type"), F.lit("Thon, CA").alias("market"), F.col("text").alias("body_text"), word("the").alias("cta_count"), "has_phone", "has_email", *flags, (word("of") > 0).alias("has_testimonials"), (word("and") > 0).alias("has_trust"), (word("that") > 0).alias("has_gallery"), "heading_count", "has_viewport", (F.col("page_id") % 5000).alias("fetch_ms"), "html_bytes", F.startswith("url", F.lit("https:")).alias("is_https"))
 
 
-@query()
+@query(page_sql.WEBSITE_SCORE)
 def website_score(spark, sf):
     return scoring.website_score(_audits(spark, sf)).select("page_id", "seo", "conversion", "trust", "content", "technical", "website_score")
 
 
-@query()
+@query(page_sql.RANKED_PAGES)
 def ranked_pages(spark, sf):
     """The flagship: pages parsed once, scored, and ranked within their host; the first page of a host is its user."""
     s = scoring.website_score(_audits(spark, sf)).withColumn("market_id", urls.host_of(F.col("url"))).withColumn("is_chain", F.lit(False)).withColumn("available", F.col("word_count") >= audit.LEAST_WORDS)
@@ -113,7 +122,7 @@ def redact_emails(spark, sf):
     return table(spark, sf, "documents").select("doc_id", scalars.redact_emails(F.col("text")).alias("text"))
 
 
-@query()
+@query(page_sql.NORMALIZE_NAME)
 def normalize_name(spark, sf):
     return table(spark, sf, "documents").select("doc_id", signals.normalize_name(F.col("text")).alias("name"))
 
@@ -150,17 +159,17 @@ def site_identity(spark, sf):
     return p.select("page_id", urls.site_identity(F.expr(_SITES)).alias("site"))
 
 
-@query()
+@query(page_sql.NORMALIZE_URL)
 def normalize_url(spark, sf):
-    return table(spark, sf, "pages").withColumn("p", urls.url_parts("url")).select("page_id", urls.normalize_url(F.col("p")).alias("normal"))
+    return table(spark, sf, "pages").withColumn("p", urls.url_parts(F.expr(page_sql.URL_CASES))).select("page_id", urls.normalize_url(F.col("p")).alias("normal"))
 
 
-@query()
+@query(page_sql.SCREEN_URLS)
 def screen_urls(spark, sf):
-    return table(spark, sf, "pages").withColumn("p", urls.url_parts("url")).select("page_id", urls.screen_reason(F.col("p")).alias("reason"))
+    return table(spark, sf, "pages").withColumn("p", urls.url_parts(F.expr(page_sql.URL_CASES))).select("page_id", urls.screen_reason(F.col("p")).alias("reason"))
 
 
-@query()
+@query(page_sql.DESCRIBE_URL)
 def describe_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.describe_url(F.col("url")).alias("shown"))
 

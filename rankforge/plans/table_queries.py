@@ -109,9 +109,22 @@ def _category_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "keyword string, ord int, key string, value string")
 
 
-@query()
+#: What follows a part's type in a request's industry; both engines read it alike.
+_TRADE = "CASE p_partkey % 7 WHEN 1 THEN ' plated  copper' WHEN 2 THEN ' & Anodized Tin' WHEN 3 THEN ' brushed' WHEN 4 THEN ' tin for the copper' WHEN 5 THEN ' copper, brushed' WHEN 6 THEN ' and the tool' ELSE '' END"
+_STOP = "('and', 'the', 'of', 'for', 'in', 'a')"
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS k, string_split(trim(regexp_replace(lower(p_type || {_TRADE}), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM part),
+c AS (SELECT *, [x FOR x IN w IF x NOT IN {_STOP}] AS cw FROM r),
+tries AS (SELECT k, 1 AS stage, 0 AS a, 0 AS b, array_to_string(w, ' ') AS phrase FROM r UNION ALL SELECT k, 2, -3, i, array_to_string(w[i + 1:i + 3], ' ') FROM r, unnest(range(0, len(w) - 2)) t(i)
+    UNION ALL SELECT k, 2, -2, i, array_to_string(w[i + 1:i + 2], ' ') FROM r, unnest(range(0, len(w) - 1)) t(i) UNION ALL SELECT k, 3, 0, -i, cw[i] FROM c, unnest(range(1, len(cw) + 1)) t(i)),
+known(phrase, n) AS (VALUES ('copper', 2), ('anodized tin', 1), ('brushed', 0), ('small plated copper', 1)),
+hit AS (SELECT k, phrase, n FROM tries JOIN known USING (phrase) QUALIFY row_number() OVER (PARTITION BY k ORDER BY stage, a, b) = 1),
+probe AS (SELECT k, 6 * len(list_distinct(CASE WHEN len(cw) > 1 THEN [array_to_string(cw, '_')] ELSE [] END || cw)) AS m FROM c)
+SELECT k AS request_id, CASE WHEN n > 0 THEN 'map' WHEN n = 0 OR m = 0 THEN 'none' ELSE 'probe' END AS stage, phrase AS keyword, least(24, coalesce(n, m))::INTEGER AS n_tags FROM probe LEFT JOIN hit USING (k)""")
 def resolve_industry(spark, sf):
-    r = resolve.resolve_industry(_requests(spark, sf), _category_map(spark))
+    requests = table(spark, sf, "part").selectExpr("p_partkey AS request_id", f"concat(p_type, {_TRADE}) AS business_type")
+    r = resolve.resolve_industry(requests, _category_map(spark))
     return r.select("request_id", "stage", "keyword", F.size("tags").alias("n_tags"))
 
 
