@@ -37,6 +37,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that no frame in use reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def priority_score(website: Column, phone: Column, address: Column, lat: Column, type_in_tags: Column, type_in_name: Column, n_tags: Column) -> Column:
     pts = lambda n, c: F.when(c, F.lit(float(n))).otherwise(0.0)
     return pts(30, website.isNotNull()) + pts(20, type_in_tags) + pts(20, phone.isNotNull()) + pts(15, address.isNotNull() | lat.isNotNull()) + pts(10, type_in_name) + F.least(F.lit(5.0), n_tags / F.lit(2.0))
@@ -102,7 +108,7 @@ def dedupe_businesses(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
     """Candidates that survive: of each group of linked ones that with the highest priority, then the smallest id.
 
     Labels spread along the pairs and jump to their label's label until none changes; each round is a table in the
-    shared folder, so lineage stays short and a lost executor costs one round.
+    shared folder, so lineage stays short and a lost executor costs one round, and goes when the next is written; the last stays.
     """
     spark = candidates.sparkSession
     where = f"{shared_folder(spark)}/rankforge/{uuid.uuid4().hex}"
@@ -121,9 +127,11 @@ def dedupe_businesses(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
         new = label.join(low, ["market_id", "id"]).select("market_id", "id", F.col("label").alias("was"), F.least("label", "l").alias("label"))
         jump = new.select("market_id", F.col("id").alias("label"), F.col("label").alias("next"))
         new = kept(new.join(jump, ["market_id", "label"]).select("market_id", "id", "was", F.least("label", "next").alias("label")), k)
+        forget(spark, f"{where}/{k - 1}")
         label = new.drop("was")
         if new.where("was <> label").isEmpty():
             break
+    forget(spark, f"{where}/0")
     full = candidates.join(label, ["market_id", "id"], "left").withColumn("label", F.coalesce("label", "id"))
     best = F.row_number().over(Window.partitionBy("market_id", "label").orderBy(F.desc("priority_score"), "id"))
     return full.withColumn("_n", best).where("_n = 1").drop("_n", "label")

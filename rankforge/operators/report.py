@@ -22,6 +22,25 @@ def evidence(audits: DataFrame, follows: DataFrame) -> DataFrame:
     return home.unionByName(more)
 
 
+#: What an audit measures, and the type of each.
+METRICS = {
+    **dict.fromkeys(("h1_count", "heading_count", "word_count", "cta_count", "html_bytes", "fetch_ms", "website_score", "seo", "conversion", "trust", "content", "technical"), "int"),
+    **dict.fromkeys(("has_phone", "has_email", "has_contact", "has_booking", "has_pricing", "has_services", "has_about", "has_blog", "has_careers", "has_testimonials", "has_trust", "has_gallery", "has_social", "has_viewport", "is_https"), "boolean"),
+}
+
+
+def failed_audits(failures: DataFrame) -> DataFrame:
+    """Adds audit_status ``unavailable``, every one of METRICS as null, no links, and evidence: one item of low confidence if the audit had a source.
+
+    failures: url, reason, reason_code, source_ids and what else names the audit. Null or empty source_ids: no evidence. A row
+    that failed has no zeros, so no mean or score counts it.
+    """
+    some = F.coalesce(F.size("source_ids") > 0, F.lit(False))
+    item = F.struct(F.concat(F.lit("No audit of the website: "), F.coalesce("reason", F.lit("unknown")), F.lit(".")).alias("claim"), F.col("url").alias("source_url"), F.lit("homepage").alias("source_type"), F.col("source_ids"), F.lit("low").alias("confidence"))
+    out = failures.withColumns({"audit_status": F.lit("unavailable"), **{m: F.lit(None).cast(t) for m, t in METRICS.items()}})
+    return out.withColumns({"links": F.lit(None).cast("array<string>"), "evidence": F.filter(F.array(item), lambda _: some)})
+
+
 def audit_status(follows: DataFrame) -> DataFrame:
     """(id, status): partial if a followed page failed."""
     return follows.groupBy("id").agg(F.when(F.bool_or("failed"), "partial").otherwise("complete").alias("status"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .joins import SALTS, salted_join
+
 #: Social platforms by host, and beginnings of paths that are no profile.
 SOCIAL = {"facebook.com": "facebook", "fb.com": "facebook", "instagram.com": "instagram", "linkedin.com": "linkedin", "youtube.com": "youtube", "youtu.be": "youtube", "x.com": "x", "twitter.com": "x", "tiktok.com": "tiktok"}
 NO_PROFILE = ("sharer", "share", "sharearticle", "sharing", "dialog", "intent", "plugins", "embed", "home", "login", "cws/share")
@@ -89,19 +91,21 @@ def normalize_name(name: Column, endings: bool = True) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
-def attribute_articles(articles: DataFrame, entities: DataFrame) -> DataFrame:
+def attribute_articles(articles: DataFrame, entities: DataFrame, salts: int = SALTS) -> DataFrame:
     """(market_id, article, entity): the entity whose whole name the title holds; of several the longest, if it holds all.
 
     articles: market_id, article, title_norm; entities: market_id, entity, name_norm (names that are unique and long
-    enough). Joined on the name's first word, which the title must hold as a word, so no nested loop.
+    enough). A title's distinct words and pairs of neighbours meet the names' heads, their first two words or their only one,
+    as narrow rows that are dealt over ``salts`` tasks a head; only what met a name goes back to its title and is compared as
+    a whole. Titles and markets that are null are attributed to nobody.
     """
-    e = entities.withColumn("first", F.substring_index("name_norm", " ", 1))
-    # a word is sent with as much of the title as the longest name has words, never with all of it
-    longest = e.agg(F.max(F.size(F.split("name_norm", " ")))).first()[0] or 1
-    words = F.split("title_norm", " ")
-    w = articles.select("market_id", "article", F.posexplode(words).alias("at", "first"), words.alias("ws"))
-    w = w.select("market_id", "article", "first", F.array_join(F.slice("ws", F.col("at") + 1, longest), " ").alias("here")).distinct()
-    hit = w.join(e, ["market_id", "first"]).where(F.startswith(F.concat(F.col("here"), F.lit(" ")), F.concat(F.col("name_norm"), F.lit(" "))))
+    e = entities.select("market_id", F.substring_index("name_norm", " ", 2).alias("head"), "entity", "name_norm")
+    ws = F.filter(F.split("title_norm", " "), lambda w: w != "")
+    pairs = F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    heads = articles.select("market_id", "article", F.explode(F.array_distinct(F.concat(ws, pairs))).alias("head"))
+    met = salted_join(heads, e, ["market_id", "head"], ["article"], salts=salts).drop("head")
+    titles = articles.select("market_id", "article", F.concat(F.lit(" "), F.col("title_norm"), F.lit(" ")).alias("_t"))
+    hit = met.join(titles, ["market_id", "article"]).where(F.contains("_t", F.concat(F.lit(" "), F.col("name_norm"), F.lit(" "))))
     g = hit.groupBy("market_id", "article").agg(F.max(F.struct(F.length("name_norm").alias("n"), F.col("name_norm").alias("best"), F.col("entity"))).alias("b"), F.collect_set("name_norm").alias("all"))
     ok = F.forall("all", lambda x: F.contains(F.concat(F.lit(" "), F.col("b.best"), F.lit(" ")), F.concat(F.lit(" "), x, F.lit(" "))))
     return g.where(ok).select("market_id", "article", F.col("b.entity").alias("entity"))

@@ -77,11 +77,16 @@ def contact_flags(spark, sf):
     return audit.contact_flags(_sites(spark, sf))
 
 
+@query(page_sql.TEXT_FLAGS)
+def text_flags(spark, sf):
+    return audit.with_text_flags(_sites(spark, sf), ("call", "book now")).select("page_id", "cta_count", *audit.TEXT_FLAGS)
+
+
 def _audits(spark: SparkSession, sf: str) -> DataFrame:
     flags = {"has_contact": ("contact",), "has_booking": ("booking", "quote"), "has_services": ("services",), "has_pricing": ("pricing",), "has_about": ("about",), "has_blog": ("blog",)}
     a = audit.with_contact_flags(audit.link_type_flags(_sites(spark, sf), flags))
-    word = lambda w: F.regexp_count(signals.for_matching(F.col("text")), signals.keyword_pattern(F.lit(w)))
-    return a.select("page_id", "url", "title", "meta_description", "h1_count", "word_count", F.lit("tion").alias("business_type"), F.lit("Thon, CA").alias("market"), F.col("text").alias("body_text"), word("the").alias("cta_count"), "has_phone", "has_email", *flags, (word("of") > 0).alias("has_testimonials"), (word("and") > 0).alias("has_trust"), (word("that") > 0).alias("has_gallery"), "heading_count", "has_viewport", (F.col("page_id") % 5000).alias("fetch_ms"), "html_bytes", F.startswith("url", F.lit("https:")).alias("is_https"))
+    a = audit.with_text_flags(a, ("the",), {"has_testimonials": ("of",), "has_trust": ("and",), "has_gallery": ("that",)})
+    return a.select("page_id", "url", "title", "meta_description", "h1_count", "word_count", F.lit("tion").alias("business_type"), F.lit("Thon, CA").alias("market"), F.col("text").alias("body_text"), "cta_count", "has_phone", "has_email", *flags, "has_testimonials", "has_trust", "has_gallery", "heading_count", "has_viewport", (F.col("page_id") % 5000).alias("fetch_ms"), "html_bytes", F.startswith("url", F.lit("https:")).alias("is_https"))
 
 
 @query(page_sql.WEBSITE_SCORE)

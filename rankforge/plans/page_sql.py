@@ -23,7 +23,7 @@ MENU = (
     (9, 5, "mailto:a@b.example", "Mail"),
 )
 _LINKS = ", ".join(f"case when page_id % {m} = {r} then '<a href=\"{h}\">{t}</a> ' else '' end" for m, r, h, t in MENU)
-_BODY = f"concat('<body>', {_LINKS}, case when page_id % 5 = 1 then '<p>Ring (212) 555-0199.</p>' else '' end, case when page_id % 6 = 1 then '<p>mail shop@site.example</p>' else '' end)"
+_BODY = f"concat('<body>', {_LINKS}, case when page_id % 5 = 1 then '<p>Ring (212) 555-0199.</p>' else '' end, case when page_id % 6 = 1 then '<p>mail shop@site.example</p>' else '' end, case page_id % 8 when 1 then '<p>Read a review, see our  work.</p>' when 2 then '<p>Previews, uninsured.</p>' when 3 then '<p>Case studies; a case study, CERTIFIED</p>' when 4 then '<p>Licensed. Portfolios! Call now, call</p>' else '' end)"
 _HEAD = "concat('</title>', case when page_id % 3 = 0 then '<meta name=\"viewport\" content=\"width=device-width\">' else '' end, case when page_id % 4 <> 1 then '<meta name=\"description\" content=\" A page of Thon \">' else '' end)"
 #: An expression over page_id and html that both engines read alike.
 SITE_HTML = f"replace(replace(html, '<body>', {_BODY}), '</title>', {_HEAD})"
@@ -81,6 +81,8 @@ UNION ALL SELECT page_id + {MOVED}, CASE WHEN words >= 40 AND page_id % 3 <> 0 T
 _times = lambda k: f"len(regexp_extract_all(' ' || regexp_replace(lower(text), '([^a-z0-9])', '\\1\\1', 'g') || ' ', '[^a-z0-9]{k}s?[^a-z0-9]'))"
 _when = lambda n, c: f"CASE WHEN {c} THEN {n} ELSE 0 END"
 _has = lambda *t: "(" + " OR ".join(f"list_contains(types, '{x}')" for x in t) + ")"
+_any = lambda *ks: " OR ".join(f"{_times(k)} > 0" for k in ks)
+TEXT_FLAGS = f"{_SITE} SELECT page_id, ({_times('call')} + {_times('book +now')})::INTEGER AS cta_count, {_any('testimonial', 'review', 'case +study')} AS has_testimonials, {_any('certified', 'licensed', 'insured', 'award', 'guaranteed', 'trusted')} AS has_trust, {_any('gallery', 'case +study', 'portfolio', 'our +work')} AS has_gallery FROM p"
 #: Common table expressions up to ``scored``: the five categories of each page and their sum.
 SCORED = f"""{_SITE}, {LINKS}, kinds AS (SELECT page_id, list(DISTINCT type) AS types FROM links GROUP BY page_id),
 flags AS (SELECT p.*, coalesce(types, []) AS types, {_CONTACT}, lower(coalesce(title, '') || ' ' || coalesce(descr, '') || ' ' || text) AS hay FROM p LEFT JOIN kinds USING (page_id)),

@@ -123,6 +123,15 @@ def evidence(spark, sf):
     return report.evidence(a, f).select("id", "ord", "kind", "confidence")
 
 
+@query("SELECT page_id, 'unavailable' AS audit_status, 27 AS n_null, (page_id % 3 > 0)::INTEGER AS n_evidence, CASE WHEN page_id % 3 > 0 THEN concat('No audit of the website: ', CASE WHEN page_id % 5 = 0 THEN 'unknown' ELSE 'status ' || 400 + page_id % 7 END, '.') END AS claim, CASE WHEN page_id % 3 > 0 THEN url END AS source_url, CASE WHEN page_id % 3 > 0 THEN 'low' END AS confidence FROM pages")
+def failed_audits(spark, sf):
+    """Every page as an audit that failed: without a source list, with an empty one, or with sources."""
+    f = table(spark, sf, "pages").selectExpr("page_id", "url", "CASE WHEN page_id % 5 <> 0 THEN concat('status ', cast(400 + page_id % 7 as string)) END AS reason", "'http_error' AS reason_code", "CASE WHEN page_id % 3 > 0 THEN array(page_id, page_id + 1) WHEN page_id % 2 = 0 THEN array() END AS source_ids")
+    out, item = report.failed_audits(f), F.get("evidence", F.lit(0))
+    nulls = sum((F.col(m).isNull().cast("int") for m in report.METRICS), F.lit(0)).alias("n_null")
+    return out.select("page_id", "audit_status", nulls, F.size("evidence").alias("n_evidence"), *[item[c].alias(c) for c in ("claim", "source_url", "confidence")])
+
+
 @query("WITH e AS (SELECT s_suppkey AS id, ord, CASE WHEN ord > 0 THEN 'linked_page' ELSE 'homepage' END AS kind, CASE WHEN (s_suppkey + ord) % 3 = 0 THEN 'low' ELSE 'high' END AS conf, s_suppkey % 50 + ord AS sid FROM supplier, (VALUES (0), (1), (2)) v(ord)) SELECT id, coalesce(max(CASE WHEN kind = 'homepage' AND conf <> 'low' THEN sid END), min(CASE WHEN ord = 0 THEN sid END))::VARCHAR AS ids FROM e GROUP BY id")
 def observation_ids(spark, sf):
     e = table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "explode(array(0, 1, 2)) AS ord").selectExpr("id", "ord", "CASE WHEN ord > 0 THEN 'linked_page' ELSE 'homepage' END AS kind", "CASE WHEN (id + ord) % 3 = 0 THEN 'low' ELSE 'high' END AS confidence", "array(id % 50 + ord) AS source_ids")

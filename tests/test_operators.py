@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankforge.functions import scalars, urls
-from rankforge.operators import audit, entity, market, provenance, resolve, scoring, signals, spatial
+from rankforge.operators import audit, entity, market, provenance, report, resolve, scoring, signals, spatial
 from rankforge.sources import poi, reports
 from rankforge.streaming import quota
 
@@ -227,3 +227,31 @@ def test_quotas(spark):
     assert t == {1: True, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False}
     a = {r["ord"]: (r["window_no"], r["admitted"]) for r in quota.quota_anchored(e, 60, 2).collect()}
     assert a == {1: (1, True), 2: (1, True), 3: (1, False), 4: (2, True), 5: (2, True), 6: (2, False), 7: (3, True)}
+
+
+def test_names_in_titles_like_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["joe", "cafe", "north", "bar", "the"]
+    names = sorted({" ".join(rng.choices(words, k=rng.randrange(1, 4))) for _ in range(25)})
+    titles = [None, "", "joe", " the cafe ", *(" ".join(rng.choices([*words, "news"], k=rng.randrange(1, 9))) for _ in range(300))]
+    held = {k: [n for n in names if f" {n} " in f" {t} "] for k, t in enumerate(titles) if t is not None}
+    longest = {k: max(h, key=lambda n: (len(n), n)) for k, h in held.items() if h}
+    want = {k: n for k, n in longest.items() if all(f" {x} " in f" {n} " for x in held[k])}
+    a = spark.createDataFrame([(1, k, t) for k, t in enumerate(titles)] + [(1, 4, titles[4])], "market_id int, article int, title_norm string")
+    e = spark.createDataFrame([(1, n, n) for n in names] + [(2, "z", "joe")], "market_id int, entity string, name_norm string")
+    assert {r["article"]: r["entity"] for r in signals.attribute_articles(a, e).collect()} == want and len(want) > 50
+
+
+def test_failed_audits_measure_nothing(spark):
+    f = spark.createDataFrame([(1, "u", "timeout", [4]), (2, "u", None, []), (3, None, None, None), (4, None, None, [1])], "id int, url string, reason string, source_ids array<int>")
+    got = {r["id"]: r for r in report.failed_audits(f).collect()}
+    assert all(r[m] is None for r in got.values() for m in report.METRICS) and [len(got[k]["evidence"]) for k in (1, 2, 3, 4)] == [1, 0, 0, 1]
+    assert got[1]["evidence"][0].asDict() == {"claim": "No audit of the website: timeout.", "source_url": "u", "source_type": "homepage", "source_ids": [4], "confidence": "low"}
+
+
+def test_text_flags_take_whole_words(spark):
+    rows = [(1, "A preview, uninsured"), (2, "Reviews; our work"), (3, None), (4, "case study. AWARD’s")]
+    got = {r[0]: tuple(r)[2:] for r in audit.with_text_flags(spark.createDataFrame(rows, "page_id int, text string"), ("view", "award")).collect()}
+    assert got == {1: (0, False, False, False), 2: (0, True, False, True), 3: (0, False, False, False), 4: (1, True, True, True)}
