@@ -64,15 +64,16 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     made[:] = [p for p in made if p not in set(paths)]
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, count: str, spread: str, total: int) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, count: str, spread: str, total: int, counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined by ``key`` with ``right``, which has one row a key and in ``count`` the key's rows in ``left``.
 
     A key of more than ``total / 1000`` rows (1000 at least) is dealt over several tasks by a hash of ``spread``, and its
-    row of ``right`` is repeated for each. There can be no more than 1000 such keys, so their list may be broadcast.
+    row of ``right`` is repeated for each. There can be no more than 1000 such keys, so their list may be broadcast. It is
+    taken from ``counts`` (key, count), if given, where ``right`` is dear to make twice.
     """
     limit = max(1000, total // 1000)
     parts = F.ceil(F.col(count) / limit).cast("int")
-    hot = right.where(F.col(count) > limit).select(key, parts.alias("_parts"))
+    hot = (right if counts is None else counts).where(F.col(count) > limit).select(key, parts.alias("_parts"))
     left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     right = right.select("*", F.explode(F.when(F.col(count) > limit, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))).alias("_salt")).drop(count)
     return left.join(right, [key, "_salt"]).drop("_salt")

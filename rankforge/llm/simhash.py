@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, words_of
+from .common import connected_components, materialize, salted_join, words_of
 
 SEED = 42
 #: Reference fingerprints. Two unlike 64-bit fingerprints are within 4 of each other in one coordinate with a chance of 0.57,
@@ -282,11 +282,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         out = marked.join(of, ["fp", "sig"], "left")
         return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     marked = materialize(add_fingerprints(docs, id_col, text, shingle, words), "fingerprints")
-    nodes = materialize(marked.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    n = nodes.count()
+    known = marked.where("id IS NOT NULL")
+    nodes = materialize(known.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "nodes")
+    n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     sampled, width = plan_tables(n, 64 * words, *reach) if reach else (0, 16)
     edges = link_fingerprints(nodes.select("id", "fp"), n, max_distance, words, sampled, width, n_pivots)
     groups = connected_components(edges)
-    of = nodes.join(groups, nodes["id"] == groups["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    out = marked.join(of, "fp", "left")
-    return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    of = nodes.join(groups, nodes["id"] == groups["node"], "left").select("fp", F.coalesce("component", nodes["id"]).alias("component_id"), "copies")
+    # copies of one fingerprint may be a third of all rows
+    out = salted_join(known, of, "fp", "copies", "id", total, nodes).unionByName(marked.where("id IS NULL").withColumn("component_id", F.lit(None).cast("long")))
+    return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
