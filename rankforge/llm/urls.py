@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import salted_join
 from .common import connected_components, materialize
 
 #: (verdict, rule): host up to the first slash, then the path's beginning.
@@ -85,6 +86,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str =
     votes = edges.select(F.col("src").alias("node"), judged(F.col("src_url"))).union(edges.select("dst", judged(F.col("dst_url")))).union(out.select("node", "own"))
     votes = votes.where("own IS NOT NULL").groupBy("node").agg(F.min("own").alias("own"))  # allow sorts before block
     decided = votes.join(groups, "node").groupBy("component").agg(F.min("own").alias("said"))
-    said = groups.join(decided, "component").select("node", "said")
-    out = out.join(said, "node", "left")
+    # a component may hold a third of all nodes, a url a third of all rows; rows without a host meet nothing
+    said = salted_join(groups, decided, ["component"], ["node"]).select("node", "said")
+    named = salted_join(out.where("node IS NOT NULL"), said, ["node"], [id_col], "left")
+    out = named.unionByName(out.where("node IS NULL").withColumn("said", F.lit(None).cast("string")))
     return out.select(id_col, "host", "path", "rule", F.coalesce("own", "said", F.lit("allow")).alias("verdict"), (F.col("own").isNull() & F.col("said").isNotNull()).alias("inherited"))
