@@ -88,6 +88,13 @@ def held_out_flags(ids: list[int | None], modulus: int, rest: int) -> np.ndarray
     return np.array([i is not None and zlib.crc32(str(i).encode()) % modulus == rest for i in ids], bool)
 
 
+def united(walked: np.ndarray, base: np.ndarray, share: float) -> np.ndarray:
+    """log10 of the probability of either part, ``share`` being that of the root alone."""
+    if not share:
+        return walked
+    return np.logaddexp((walked + np.log10(1 - share)) * np.log(10), (base + np.log10(share)) * np.log(10)) / np.log(10)
+
+
 class Automaton:
     """The states and arcs that a chunk's texts can reach.
 
@@ -123,21 +130,24 @@ class Automaton:
         """Log-probability of each token, from left to right.
 
         The state before a token is named by its length: the longest n-gram shorter than ``order`` that ends at the token before
-        and is a state. Since every part of a state is a state, that is the state in which the arcs so far end.
+        and is a state. Since every part of a state is a state, that is the state in which the arcs so far end. Shortened keys may
+        give an unseen n-gram the count of another; where its history or its shorter part was not seen it is neither arc nor state.
         """
         g = self.grams
         size = len(g.keys[0])
         arcs = [None, self.arc[1][self.number[1]]]  # the root has an arc for each token
         held, reach = np.where(self.known[self.number[1]], 1, 0), np.ones(size, np.int64)
+        state = np.empty(size, np.int64)
         for n in range(2, self.order + 1):
             live = g.live[n - 1]
             arcs.append(np.full(size, np.nan))
             arcs[n][live] = self.arc[n][self.number[n][live]]
-            has = ~np.isnan(arcs[n])
+            state[1:] = held[:-1]
+            state[g.first] = int(self.starts > 0)
+            has = ~np.isnan(arcs[n]) & (held == n - 1) & (state >= n - 1)
             reach[has] = n
             if n < self.order:
                 held[has] = n
-        state = np.empty(size, np.int64)
         state[1:] = held[:-1]
         state[g.first] = int(self.starts > 0)
         out = np.choose(reach - 1, arcs[1:])
@@ -150,13 +160,14 @@ class Automaton:
         return out
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mus: Sequence[float] = MUS, modulus: int = 7, held_out: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mus: Sequence[float] = MUS, modulus: int = 7, held_out: int = 2, root_share: float = 0.0) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of whole texts, in log10.
 
     The model has order ``len(mus) + 1`` and learns from rows whose crc32(id as text) mod ``modulus`` is not
     ``held_out``; a null id is in training and keeps its neighbours' ids whole. Null and empty texts are their end token,
     a very long text is a chunk of its own. Repeated rows count and return as often as they come; other columns are not read.
-    An empty table gives no rows. The rows of ``docs`` must come in the same order when read again (a table, not a shuffle):
+    An empty table gives no rows. With ``root_share`` the model is a union: that share of its weight starts in a root without
+    states, which reads the text by add-one weights alone, so no text scores below base_score by more than its logarithm. The rows of ``docs`` must come in the same order when read again (a table, not a shuffle):
     each chunk carries a digest of its rows, and one that differs raises.
 
     A key that every chunk holds costs its bucket about five bytes a chunk.
@@ -230,7 +241,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mus
         made = Automaton(grams, counts, numbers, int(counts[0][numbers[0][last[0]]]), tokens, types, mus)  # as many starts as ends
         add = lambda x: np.add.reduceat(x, grams.first)
         base = made.arc[1][numbers[0]]
-        return pd.DataFrame({"id": pd.array(ids, "Int64"), "held_out": held_out_flags(ids, modulus, held_out), "n_tokens": grams.lens, "n_known": add(made.known[numbers[0]].astype(np.int64)), "train_tokens": tokens, "base_score": add(base), "score": add(made.walk())})
+        return pd.DataFrame({"id": pd.array(ids, "Int64"), "held_out": held_out_flags(ids, modulus, held_out), "n_tokens": grams.lens, "n_known": add(made.known[numbers[0]].astype(np.int64)), "train_tokens": tokens, "base_score": add(base), "score": united(add(made.walk()), add(base), root_share)})
 
     dealt = rows.mapInArrow(deal, "chunk long, ids binary, some binary, sizes binary, texts binary")
     out = dealt.groupBy("chunk").cogroup(told.where("chunk >= 0").groupBy("chunk")).applyInPandas(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
