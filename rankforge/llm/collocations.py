@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_tables, made, materialize, salted_join
+from .common import bit_table, drop_tables, made, materialize, salted_join
 from .keyed import mix
 
 #: UTF-8 bytes of text that are counted together in a task.
@@ -110,16 +110,6 @@ def _levels(lang: str, words: list[bytes], longest: int, keep: Members | None, o
         new = ~(before[head[first]] & before[tail[first]]) if old else np.ones(len(uniq), bool)
 
 
-def _bit_table(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bits of hashes, or-ed by Spark; at most MAX_BITS / 64 rows come to the driver."""
-    at = F.col("key").bitwiseAND(F.lit(bits - 1))
-    words = keys.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, CAST(key & 63 AS INT))").alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    table = np.zeros(bits // 64, np.uint64)
-    table[got["word"].to_numpy()] = got["bit"].to_numpy().view(np.uint64)
-    return table
-
-
 def _sample_keys(texts: DataFrame, longest: int, least: int, share: float) -> DataFrame:
     """Hashes of the phrases that ``least`` or more windows' words of a sample hold. Windows are drawn, as a phrase may have all its places in one text."""
 
@@ -187,7 +177,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, sample
     began = len(made)
     proposed = materialize(_sample_keys(texts, longest, sample_least or max(2, int(least * sample_share / 2)), sample_share), "proposed")
     bits = min(MAX_BITS, max(1 << 16, 1 << (32 * max(1, proposed.count()) - 1).bit_length()))
-    keep, old, found = Members(_bit_table(proposed, bits)), None, None
+    keep, old, found = Members(bit_table(proposed, bits)), None, None
     drop_tables(spark, made[began:])
     for expand in (False, True):
         counted = materialize(_count(texts, longest, least, keep, old), "phrases")
@@ -198,7 +188,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, sample
             passes.append(n)
         if not n or expand:  # the second pass counted all that its own failures bring: closed
             break
-        old, keep = keep, Members(keep.words | _bit_table(_hash_phrases(failed), bits))
+        old, keep = keep, Members(keep.words | bit_table(_hash_phrases(failed), bits))
     return found.drop("proposed")
 
 
