@@ -33,10 +33,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_row_an_id(docs: DataFrame) -> DataFrame:
     """Of rows that share an id the one whose columns hash least, the same in every run."""
     docs = docs.where("doc_id IS NOT NULL").select(*COLUMNS)
-    again = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():  # no text has to be sent anywhere
+        return docs
     first = F.min_by(F.struct(*COLUMNS), F.xxhash64(*COLUMNS))
     few = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
-    return docs.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(few)
+    return materialize(docs.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(few), "one-row-an-id")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
