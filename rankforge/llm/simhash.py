@@ -27,6 +27,8 @@ SEED = 42
 PIVOTS = 32
 #: Buckets above this many fingerprints are dealt out as pairs of sub-blocks of half the size.
 HOT_BUCKET = 4096
+#: Sampled tables that share some bits, and unlike fingerprints that have those equal: such a group is sent once for all its tables.
+TABLES, GROUP = 16, 4096
 
 
 def _mix(h: np.ndarray, j: int) -> np.ndarray:
@@ -114,6 +116,16 @@ def plan_tables(n: int, bits: int, distance: int, recall: float, rows: int = 16,
     return max(1, int(np.ceil(np.log1p(-recall) / np.log1p(-hit)))), width
 
 
+def plan_groups(n: int, bits: int, distance: int, recall: float) -> tuple[int, int, int]:
+    """(groups of tables, bits that the TABLES of a group share, width) for ``n`` fingerprints, with the width of ``plan_tables``
+    and as many groups as give a pair at ``distance`` that chance of a shared bucket."""
+    width = plan_tables(n, bits, distance, recall)[1]
+    shared = min(width - 1, max(1, int(np.ceil(np.log2(max(1, n / GROUP))))))
+    same = [(bits - distance - i) / (bits - i) for i in range(width)]
+    hit = float(np.prod(same[:shared]) * (1 - (1 - np.prod(same[shared:])) ** TABLES))
+    return max(1, int(np.ceil(np.log1p(-recall) / np.log1p(-hit)))), shared, width
+
+
 def table_recall(bits: int, distance: int, tables: int, width: int) -> float:
     """Chance that a pair at ``distance`` shares a bucket in at least one sampled table."""
     hit = np.prod([(bits - distance - i) / (bits - i) for i in range(width)])
@@ -131,14 +143,53 @@ def _words_of(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), ">u8").astype(np.uint64).reshape(len(col), -1)
 
 
-def _linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, pv: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of the pairs that share a key and differ in at most ``most`` bits."""
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Joins the trees of each a and b; numbers of the pairs that joined two."""
+    out = []
+    for k, (rx, ry) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while root[rx] != rx:
+            rx = root[rx]
+        while root[ry] != ry:
+            ry = root[ry]
+        if rx != ry:
+            root[max(rx, ry)] = min(rx, ry)
+            out.append(k)
+    while True:
+        jumped = root[root]
+        if (jumped == root).all():
+            return out
+        root[:] = jumped
+
+
+def _linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, pv: np.ndarray, most: int, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of the pairs that share a key and differ in at most ``most`` bits.
+
+    ``root`` has the trees of what other tables have linked and gets those of this one. A bucket that is one tree but for a few rows
+    compares those with all others and is done.
+    """
     order = np.lexsort((pv[:, 0], key))
     key, ids, fp, pv = key[order], ids[order], fp[order], pv[order].astype(np.int16)
     n = len(ids)
-    root = np.arange(n)
+    tree = np.arange(n)
+    if root is not None:
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        tree = back[root[order]]  # no cycle, though a root need not be its tree's least row here
     out_a, out_b = [], []
-    live = np.arange(n - 1) if n else np.arange(0)
+
+    def meet(a: np.ndarray, b: np.ndarray) -> None:
+        ok = (np.abs(pv[a] - pv[b]).max(1) <= most) & (tree[a] != tree[b])
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64) <= most
+        if ok.any():
+            a, b = a[ok], b[ok]
+            new = _join(tree, a, b)
+            out_a.append(ids[a[new]])
+            out_b.append(ids[b[new]])
+
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.arange(0)
+    size = np.diff(np.append(start, n))
+    live = np.arange(max(0, n - 1))
     step = 1
     while len(live):
         live = live[live + step < n]
@@ -147,36 +198,40 @@ def _linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, pv: np.ndarray, mo
         live, other = live[near], other[near]
         if not len(live):
             break
-        ok = (np.abs(pv[live] - pv[other]).max(1) <= most) & (root[live] != root[other])
-        a, b = live[ok], other[ok]
-        ok = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64) <= most
-        if ok.any():
-            for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
-                rx, ry = x, y
-                while root[rx] != rx:
-                    rx = root[rx]
-                while root[ry] != ry:
-                    ry = root[ry]
-                if rx != ry:
-                    root[max(rx, ry)] = min(rx, ry)
-                    out_a.append(ids[x])
-                    out_b.append(ids[y])
-            while True:
-                jumped = root[root]
-                if (jumped == root).all():
-                    break
-                root = jumped
+        meet(live, other)
         step += 1
-    return np.array(out_a, np.int64), np.array(out_b, np.int64)
-
-
-def link_fingerprints(fps: DataFrame, n: int, max_distance: int, words: int = 1, sampled: int = 0, width: int = 16, n_pivots: int = PIVOTS) -> DataFrame:
+        if step >= 64 and step & (step - 1) == 0:
+            done = np.zeros(n, bool)
+            for s, m in zip(start[size > step].tolist(), size[size > step].tolist(), strict=True):
+                trees, count = np.unique(tree[s : s + m], return_counts=True)
+                few = s + np.flatnonzero(tree[s : s + m] != trees[count.argmax()])
+                if len(few) * 16 <= m:
+                    for x in few.tolist():
+                        meet(np.full(m - 1, x), np.delete(np.arange(s, s + m), x - s))
+                    done[s : s + m] = True
+            live = live[~done[live]]
+    if root is not None:
+        root[order] = order[tree]
+    empty = [np.zeros(0, np.int64)]
+    return np.concatenate(empty + out_a), np.concatenate(empty + out_b)
+
+
+def link_fingerprints(fps: DataFrame, n: int, max_distance: int, words: int = 1, reach: tuple[int, float] | None = None, n_pivots: int = PIVOTS) -> DataFrame:
     """Edges (src, dst) between the ids of distinct fingerprints, enough to span every group of linked ones.
 
     fps: (id, fp), one row a fingerprint; n: their number, which sets the partitions. A bucket of over HOT_BUCKET
-    fingerprints goes to pairs of sub-blocks in several groups, so no group is unbounded and no pair is dropped.
+    fingerprints (4 * GROUP for a group of sampled tables) goes to pairs of sub-blocks in several groups, so no group is unbounded
+    and no pair is dropped. A fingerprint is sent once for all tables of a group, and what one of them has linked the others don't link again.
     """
-    spots = bit_tables(64 * words, max_distance, sampled, width)
+    inner: list[list[np.ndarray]] = []
+    if reach:
+        n_groups, shared, width = plan_groups(n, 64 * words, *reach)
+        rng = np.random.default_rng(SEED)
+        spots = [tuple(sorted(rng.choice(64 * words, shared, replace=False).tolist())) for _ in range(n_groups)]
+        inner = [[rng.choice(np.setdiff1d(np.arange(64 * words), s), width - shared, replace=False) for _ in range(TABLES)] for s in spots]
+    else:
+        spots = bit_tables(64 * words, max_distance)
+    limit = 4 * GROUP if reach else HOT_BUCKET
     ref = pivots(words, n_pivots)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +247,26 @@ def link_fingerprints(fps: DataFrame, n: int, max_distance: int, words: int = 1,
                     yield pa.RecordBatch.from_arrays([pa.array(value + (k << 40)), part.column(0), part.column(1), pa.array(far, pa.binary())], ["key", "id", "fp", "pv"])
 
     rows = fps.mapInArrow(keys, "key long, id long, fp binary, pv binary")
-    hot = rows.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select("key", F.ceil(F.col("count") / (HOT_BUCKET // 2)).cast("int").alias("parts"))
+    hot = rows.groupBy("key").count().where(F.col("count") > limit).select("key", F.ceil(F.col("count") / (limit // 2)).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     rows = rows.join(hot, "key", "left").withColumn("own", own)
     blocks = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.least("own", t) * F.col("parts") + F.greatest("own", t)))
     rows = rows.select("key", F.explode(blocks).alias("block"), "id", "fp", "pv")
-    parts = max(8, -(-n * len(spots) // 400_000))
+    parts = max(8, -(-n * len(spots) * max(1, len(inner[0]) if inner else 1) // 400_000))
+
+    def linked(which: np.ndarray, number: np.ndarray, ids: np.ndarray, fp: np.ndarray, pv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of the rows of one number, in all tables of their group ``which``."""
+        if not inner:
+            return _linked(number, ids, fp, pv, max_distance)
+        bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(len(fp), -1), axis=1)
+        root, out = np.arange(len(ids)), []
+        for t in range(TABLES):
+            sub = np.zeros(len(ids), np.int64)
+            for g in np.unique(which).tolist():
+                own = np.flatnonzero(which == g)
+                sub[own] = bits[own][:, inner[g][t]].astype(np.int64) @ (1 << np.arange(len(inner[g][t]), dtype=np.int64))
+            out.append(_linked((number << 40) + sub, ids, fp, pv, max_distance, root))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
@@ -210,7 +279,7 @@ def link_fingerprints(fps: DataFrame, n: int, max_distance: int, words: int = 1,
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["src", "dst"]), [(group, block, ids, fp, pv)]
             number = np.zeros(len(ids), np.int64)
             number[new] = 1
-            a, b = _linked(np.cumsum(number)[:cut], ids[:cut], fp[:cut], pv[:cut], max_distance)
+            a, b = linked(group[:cut] >> 40, np.cumsum(number)[:cut], ids[:cut], fp[:cut], pv[:cut])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"]), [(group[cut:], block[cut:], ids[cut:], fp[cut:], pv[cut:])]
 
         size = 0
@@ -246,8 +315,7 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, min_similarity: float, sh
     groups, now = None, nodes
     while True:
         n = now.count()
-        sampled, width = plan_tables(n, 64 * words, *reach) if reach else (0, 16)
-        pairs = link_fingerprints(now, n, max_distance, words, sampled, width, n_pivots).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        pairs = link_fingerprints(now, n, max_distance, words, reach, n_pivots).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
         pairs = materialize(pairs, "candidates")
         # each side meets the pairs by itself, so few pairs go to the texts and only texts of pairs are sent
         full = pairs.join(texts.toDF("src", "a"), "src").join(pairs.join(texts.toDF("dst", "b"), "dst"), ["src", "dst"]).select("src", "dst", "a", "b")
@@ -286,8 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     known = marked.where("id IS NOT NULL")
     nodes = materialize(known.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "nodes")
     n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    sampled, width = plan_tables(n, 64 * words, *reach) if reach else (0, 16)
-    edges = link_fingerprints(nodes.select("id", "fp"), n, max_distance, words, sampled, width, n_pivots)
+    edges = link_fingerprints(nodes.select("id", "fp"), n, max_distance, words, reach, n_pivots)
     groups = connected_components(edges)
     of = nodes.join(groups, nodes["id"] == groups["node"], "left").select("fp", F.coalesce("component", nodes["id"]).alias("component_id"), "copies")
     # copies of one fingerprint may be a third of all rows
