@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sanitize
+from .joins import salted_join
 
 #: Keys that a probe tries in order, gazetteer types that are settlements, and the rival's share of importance.
 PROBE_KEYS = ("shop", "amenity", "office", "craft", "leisure", "tourism")
 SETTLEMENTS = ("city", "town", "village", "hamlet", "municipality", "borough", "suburb", "city_district", "district", "quarter", "neighbourhood", "locality", "postcode")
 RIVAL_SHARE = 0.85
+#: Rows of a category map that is sent to every executor; a larger one is shuffled.
+MOST_SENT = 50_000
 #: Fixed values: (field, name in a request's JSON, longest raw length).
 LIMITS = (("business_name", "businessName", 80), ("business_url", "businessUrl", 300), ("business_type", "businessType", 80), ("market", "market", 120))
 _URL = r"^(?is)https?://([^\s/?#@]*@)?(\[[0-9a-f:.]+\]|[^\s/?#@:<>^|%\[\]]+)(:\d{0,5})?([/?#].*)?$"
@@ -75,7 +78,8 @@ def resolve_industry(requests: DataFrame, category_map: DataFrame, stop_words: S
 
     category_map: keyword, ord, key, value; a keyword whose only row has a null key is a known dead end, which ends the
     search with none. Phrases are tried whole, then by three and two words from the left, then by single words
-    from the right. Without a hit the probe offers the joined phrase and each word under the probe keys.
+    from the right. Without a hit the probe offers the joined phrase and each word under the probe keys. Requests,
+    their phrases and hits are never broadcast: a table's small files can hold more rows than a driver.
     """
     words = F.filter(F.split(F.lower(F.regexp_replace("business_type", r"[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
     r = requests.select("request_id", words.alias("w")).withColumn("n", F.size("w"))
@@ -85,10 +89,14 @@ def resolve_industry(requests: DataFrame, category_map: DataFrame, stop_words: S
     whole = F.array(F.struct(F.lit(1).alias("stage"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.array_join("w", " ").alias("phrase")))
     tries = r.select("request_id", F.inline(F.concat(whole, grams, singles)))
     known = category_map.groupBy(F.col("keyword").alias("phrase")).agg(F.sort_array(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("ord", "key", "value")))).alias("tags"))
-    hit = tries.join(known, "phrase").withColumn("_n", F.row_number().over(Window.partitionBy("request_id").orderBy("stage", "a", "b"))).where("_n = 1")
+    if category_map.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        met = tries.join(F.broadcast(known), "phrase")
+    else:
+        met = salted_join(tries, known.hint("merge"), ["phrase"], ["request_id"])
+    hit = met.withColumn("_n", F.row_number().over(Window.partitionBy("request_id").orderBy("stage", "a", "b"))).where("_n = 1")
     values = F.array_distinct(F.concat(F.when(F.size(content) >= 2, F.array(F.array_join(content, "_"))).otherwise(F.array()), content))
     probe = F.flatten(F.transform(values, lambda v: F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k in PROBE_KEYS])))
-    out = r.select("request_id", probe.alias("probe")).join(hit.select("request_id", "phrase", "tags"), "request_id", "left")
+    out = r.join(hit.select("request_id", "phrase", "tags").hint("merge"), "request_id", "left").withColumn("probe", probe)
     tags = F.transform("tags", lambda t: F.struct(t["key"].alias("key"), t["value"].alias("value")))
     stage = F.when(F.col("tags").isNotNull(), F.when(F.size("tags") > 0, "map").otherwise("none")).when(F.size("probe") > 0, "probe").otherwise("none")
     out = out.withColumn("stage", stage)

@@ -108,6 +108,19 @@ def test_industry(spark):
     assert got == {1: ("map", "coffee shop", 1), 2: ("map", "big coffee shop", 1), 3: ("map", "shop", 1), 4: ("none", "dead", 0), 5: ("probe", None, 18), 6: ("none", None, 0)}
 
 
+def test_industry_broadcasts_the_map_only(spark, monkeypatch):
+    m = spark.createDataFrame([("shop", 0, "shop", "yes")], "keyword string, ord int, key string, value string")
+    r = spark.range(2000).selectExpr("id AS request_id", "concat('odd thing ', id, if(id % 2 = 0, ' shop', '')) AS business_type")
+    for most, sent in ((1, 1), (0, 0)):
+        monkeypatch.setattr(resolve, "MOST_SENT", most)
+        got = resolve.resolve_industry(r, m)
+        rows = got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert (plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")) == (sent, 2 - sent)
+        assert ("BroadcastExchange" in plan) == bool(sent) and "BuildLeft" not in plan
+        assert sorted(x["stage"] for x in rows) == ["map"] * 1000 + ["probe"] * 1000
+
+
 def test_requests(spark):
     r = spark.createDataFrame([("Joe's", " HTTPS://u:p@joe.example:80/a b ", "cafe", "Town, , CA"), ("A\tb", "joe.example", "ca\x00fe", "Town, C"), ("<>", "ftp://x", "c" * 90, "Town")], "business_name string, business_url string, business_type string, market string")
     got = [x["violations"] for x in resolve.validate_requests(r).collect()]
