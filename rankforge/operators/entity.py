@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EARTH_KM, haversine_km
+from .joins import SALTS
 
 #: Metres within which equal names, and equal sites or phones, are one business.
 NAME_METRES, KEY_METRES = 150.0, 250.0
+#: Width of a grid's cells, as a multiple of the distance within which rows are near.
+WIDE = 4
 _own_dir: list[str] = []
 
 
@@ -61,13 +65,17 @@ def poi_candidates(pois: DataFrame, business_type: Column) -> DataFrame:
     return out.withColumn("priority_score", score).drop("_t")
 
 
+def _reach(metres: float) -> float:
+    return metres / (1000 * EARTH_KM) * 1.001
+
+
 def _grid(lat: Column, lon: Column, metres: float, band: Column | None = None) -> tuple[Column, Column, Column]:
     """(band, cell, cells of the band): points within ``metres`` lie in the same or the next band and there in the same or the next cell.
 
     Bands are of equal height. A band's cells are as wide as ``metres`` can reach where it or a neighbour is nearest to a pole,
     and go round the earth; a band at a pole has one cell.
     """
-    reach = metres / (1000 * EARTH_KM) * 1.001
+    reach = _reach(metres)
     height = math.degrees(reach)
     band = F.floor(lat / height) if band is None else band
     outermost = F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(height))
@@ -79,15 +87,19 @@ def _grid(lat: Column, lon: Column, metres: float, band: Column | None = None) -
 def near_pairs(c: DataFrame, key: str, metres: float) -> DataFrame:
     """(market_id, a, b), a < b, of a market's rows with an equal ``key`` that lie within ``metres``.
 
-    One side goes to its nine cells of a grid, the other to its own, and they meet by market, key and cell: a name borne all
-    over the map is as many small groups, and only rows that are close are compared.
+    One side goes to the cells of a grid that its surroundings touch, the other to its own, and they meet by market, key and cell: a
+    name borne all over the map is as many small groups, and only rows that are close are compared. Cells are WIDE times ``metres``
+    wide, so most rows go to one or two of them.
     """
     known = c.where(F.col(key).isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    band, cell, _ = _grid(F.col("lat"), F.col("lon"), metres)
+    band, cell, _ = _grid(F.col("lat"), F.col("lon"), WIDE * metres)
     right = known.select("market_id", F.col(key).alias("key"), band.alias("band"), cell.alias("cell"), F.col("id").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    left = known.select("market_id", F.col(key).alias("key"), F.col("id").alias("a"), "lat", "lon", F.explode(F.sequence(band - 1, band + 1)).alias("band"))
-    _, cell, cells = _grid(F.col("lat"), F.col("lon"), metres, F.col("band"))
-    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(cell + d, cells)))
+    margin = F.lit(1.0005 / WIDE)
+    at = F.col("lat") / math.degrees(_reach(WIDE * metres))
+    left = known.select("market_id", F.col(key).alias("key"), F.col("id").alias("a"), "lat", "lon", F.explode(F.sequence(F.floor(at - margin), F.floor(at + margin))).alias("band"))
+    _, _, cells = _grid(F.col("lat"), F.col("lon"), WIDE * metres, F.col("band"))
+    at = (F.col("lon") + 180) / 360 * cells
+    around = F.array_distinct(F.transform(F.sequence(F.floor(at - margin), F.floor(at + margin)), lambda x: F.pmod(x, cells)))
     left = left.withColumn("cell", F.explode(around))
     close = haversine_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) * 1000 <= metres
     return left.join(right, ["market_id", "key", "band", "cell"]).where((F.col("a") < F.col("b")) & close).select("market_id", "a", "b")
@@ -104,9 +116,36 @@ def same_business_pairs(c: DataFrame) -> DataFrame:
     return same.union(near_pairs(c, "name_key", NAME_METRES)).union(near_pairs(c, "site_key", KEY_METRES)).union(near_pairs(c, "phone_key", KEY_METRES)).distinct()
 
 
+def stars(rows: DataFrame, keys: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """(market_id, a, b) that hold together rows equal in ``keys``: each leads to the least id of its share, and that to the least of all.
+
+    As many links as rows instead of all pairs; the rows of a hot key are dealt over ``salts`` shares.
+    """
+    dealt = rows.select(*keys, "id", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_salt"))
+    own = dealt.withColumn("a", F.min("id").over(Window.partitionBy(*keys, "_salt")))
+    heads = dealt.groupBy(*keys, "_salt").agg(F.min("id").alias("id")).withColumn("a", F.min("id").over(Window.partitionBy(*keys)))
+    return own.select("market_id", "a", F.col("id").alias("b")).unionByName(heads.select("market_id", "a", F.col("id").alias("b"))).where("a <> b")
+
+
+def business_links(c: DataFrame) -> DataFrame:
+    """(market_id, a, b): links that connect the same rows as ``same_business_pairs``, but not every pair of them.
+
+    Rows of one name and address, and rows of one key at one place, are stars; of each place one row meets those of places near by.
+    """
+    out = stars(c.where("name_key IS NOT NULL AND address_key IS NOT NULL"), ["market_id", "name_key", "address_key"])
+    for key, metres in (("name_key", NAME_METRES), ("site_key", KEY_METRES), ("phone_key", KEY_METRES)):
+        itself = haversine_km(F.col("lat"), F.col("lon"), F.col("lat"), F.col("lon")) * 1000 <= metres  # not so of a place that is no number
+        known = c.where(F.col(key).isNotNull() & itself).select("market_id", key, "lat", "lon", "id")
+        places = known.groupBy("market_id", key, "lat", "lon").agg(F.min("id").alias("id"))
+        out = out.unionByName(stars(known, ["market_id", key, "lat", "lon"])).unionByName(near_pairs(places, key, metres))
+    return out
+
+
 def dedupe_businesses(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
     """Candidates that survive: of each group of linked ones that with the highest priority, then the smallest id.
 
+    pairs: those of ``same_business_pairs``, or the fewer of ``business_links``.
+
     Labels spread along the pairs and jump to their label's label until none changes; each round is a table in the
     shared folder, so lineage stays short and a lost executor costs one round, and goes when the next is written; the last stays.
     """
@@ -117,7 +156,8 @@ def dedupe_businesses(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
         df.write.parquet(f"{where}/{k}")
         return spark.read.schema(df.schema).parquet(f"{where}/{k}")
 
-    both = kept(pairs.select("market_id", F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("market_id", "b", "a")), 0)
+    ways = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))
+    both = kept(pairs.select("market_id", F.inline(ways)), 0)
     label = kept(both.select("market_id", "id").distinct().withColumn("label", F.col("id")), 1)
     k = 1
     while True:

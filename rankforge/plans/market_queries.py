@@ -212,8 +212,8 @@ def same_business_pairs(spark, sf):
 
 @query(f"WITH RECURSIVE {_PAIRS}, bo AS (SELECT market_id, a, b FROM pr UNION ALL SELECT market_id, b, a FROM pr), re AS (SELECT market_id, a AS id, a AS l FROM bo UNION SELECT re.market_id, bo.b, re.l FROM re JOIN bo ON bo.market_id = re.market_id AND bo.a = re.id), lab AS (SELECT market_id, id, min(l) AS l FROM re GROUP BY ALL), f AS (SELECT kd.*, coalesce(l, kd.id) AS g FROM kd LEFT JOIN lab USING (market_id, id)) SELECT market_id, id, priority_score FROM f QUALIFY row_number() OVER (PARTITION BY market_id, g ORDER BY priority_score DESC, id) = 1")
 def dedupe_businesses(spark, sf):
-    c = _keyed(spark, sf)
-    return entity.dedupe_businesses(c, entity.same_business_pairs(c)).select("market_id", "id", "priority_score")
+    c = entity.written(_keyed(spark, sf).drop("name", "k"))
+    return entity.dedupe_businesses(c, entity.business_links(c)).select("market_id", "id", "priority_score")
 
 
 @query(f"WITH {RECORDS_SQL}, c AS (SELECT market_id, id, name, CASE WHEN k % 10 <> 0 THEN concat('root', cast(k % 211 AS VARCHAR)) END AS domain_root, CASE WHEN k % 31 = 0 THEN 'Brand' END AS brand FROM rec0), f AS (SELECT *, coalesce(brand IS NOT NULL OR (domain_root IS NOT NULL AND count(domain_root) OVER (PARTITION BY market_id, domain_root) >= 2), false) AS is_chain FROM c) SELECT market_id, id, is_chain, CASE WHEN is_chain THEN coalesce(brand, name) END AS brand FROM f")

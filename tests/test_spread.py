@@ -114,6 +114,33 @@ def test_a_name_all_over_the_map(spark):
     assert entity.near_pairs(c, "name_key", 150.0).count() == 0
 
 
+def test_links_connect_what_pairs_do(spark):
+    """As many links as rows, where pairs grow with the square; the same groups survive as by a walk over all pairs."""
+    rng = random.Random(5)
+    rows = [(1, f"{k:04d}", "joe", "x", None, None, None, None, float(k % 7)) for k in range(400)]
+    for k in range(400, 1000):
+        place = rng.choice([(None, None), (float("nan"), 0.0), (37 + rng.randrange(6) * 0.0012, rng.randrange(6) * 0.0014), (37 + rng.uniform(0, 0.01), rng.uniform(0, 0.01))])
+        pick = lambda n: rng.choice([None, *map(str, range(n))])
+        rows.append((rng.randrange(1, 3), f"{k:04d}", pick(6), pick(40), pick(60), pick(60), *place, float(rng.randrange(5))))
+    c = spark.createDataFrame(rows, "market_id int, id string, name_key string, address_key string, site_key string, phone_key string, lat double, lon double, priority_score double")
+    links, pairs = entity.business_links(c).collect(), entity.same_business_pairs(c).collect()
+
+    def groups(edges):
+        of = {(r[0], r[1]): {(r[0], r[1])} for r in rows}
+        for e in edges:
+            a, b = of[e["market_id"], e["a"]], of[e["market_id"], e["b"]]
+            if a is not b:
+                a |= b
+                of.update(dict.fromkeys(b, a))
+        return {frozenset(g) for g in of.values()}
+
+    want = groups(pairs)
+    assert groups(links) == want and 10 < len(want) < 900
+    assert len(pairs) > 79_800 and len(links) < 3000
+    score = {(r[0], r[1]): (-r[-1], r[1]) for r in rows}
+    assert {(r["market_id"], r["id"]) for r in entity.dedupe_businesses(c, entity.business_links(c)).collect()} == {min(g, key=score.get) for g in want}
+
+
 def test_registrable_domains(spark):
     rules = spark.createDataFrame([(r,) for r in ("com", "CO.uk", "*.ck", "!www2.ck", "ck", "a.b.example", None, "co.uk")], "rule string")
     hosts = ["shop.Example.co.uk", "www.example.co.uk", "co.uk", "x.y.ck", "p.x.y.ck", "ck", "www2.ck", "p.www2.ck", "t.a.b.example", "u.t.a.b.example", "b.example", "one.two.com.sg", "localhost", "", "x.com.", None, "x.com."]
