@@ -37,9 +37,14 @@ def _blank(c: str) -> Column:
 
 
 def envelope_violations(reports: DataFrame) -> DataFrame:
-    """(report_id, rule) of report_id, schema_version, policy, synthetic, scoring_version, n_sources, lat, lon, generated_at (text)."""
+    """(report_id, rule) of a report's ``envelope_rules``."""
+    return _broken(reports, ("report_id",), envelope_rules())
+
+
+def envelope_rules() -> dict[str, Column]:
+    """When each rule is broken, of report_id, schema_version, policy, synthetic, scoring_version, n_sources, lat, lon, generated_at (text)."""
     inside = lambda c, most: F.coalesce(F.col(c).between(-most, most), F.lit(False))
-    rules = {
+    return {
         "schema_version": ~F.col("schema_version").eqNullSafe(SCHEMA_VERSION),
         "policy": ~F.col("policy").eqNullSafe(POLICY),
         "synthetic": ~F.col("synthetic").eqNullSafe(False),
@@ -48,7 +53,6 @@ def envelope_violations(reports: DataFrame) -> DataFrame:
         "scoring_version": F.col("scoring_version") != SCORING_VERSION,
         "generated_at": F.expr("try_cast(generated_at AS timestamp) IS NULL"),
     }
-    return _broken(reports, ("report_id",), rules)
 
 
 def source_row_violations(sources: DataFrame) -> DataFrame:
@@ -65,10 +69,11 @@ def source_row_violations(sources: DataFrame) -> DataFrame:
     return _broken(sources, ("report_id", "source_id"), rules)
 
 
-def citation_violations(citations: DataFrame, sources: DataFrame) -> DataFrame:
+def citation_violations(citations: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(report_id, label, rule) of report_id, label, required and source_ids (array): missing, empty, repeated or unknown ids.
 
-    sources: report_id, source_id. Ids are exploded and joined, so no report's sources are gathered in a row.
+    sources: report_id, source_id. Ids are exploded and joined, so no report's sources are gathered in a row. Without sources,
+    citations have ``unknown``, as where a report's sources came with them.
     """
     n = F.size("source_ids")
     rules = {
@@ -76,6 +81,8 @@ def citation_violations(citations: DataFrame, sources: DataFrame) -> DataFrame:
         "empty": F.col("source_ids").isNotNull() & F.col("required") & (n == 0),
         "repeated": F.size(F.array_distinct("source_ids")) < n,
     }
+    if sources is None:
+        return _broken(citations, ("report_id", "label"), rules | {"unknown": F.col("unknown")})
     cited = citations.select("report_id", "label", F.explode("source_ids").alias("source_id"))
     known = sources.select("report_id", "source_id").distinct()
     lost = cited.join(known, ["report_id", "source_id"], "left_anti").select("report_id", "label", F.lit("unknown").alias("rule")).distinct()

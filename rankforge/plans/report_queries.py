@@ -167,7 +167,8 @@ _STORED = """to_json(named_struct('schemaVersion', CASE WHEN o_orderkey % 11 = 0
 @query("SELECT o_orderkey AS report_id, CASE WHEN o_orderkey % 11 = 0 OR len(r) > 0 THEN 'invalid' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE array_to_string(list_sort(r), ',') END AS rules FROM (SELECT *, list_filter([CASE WHEN o_orderpriority = '1-URGENT' THEN 'policy' END, CASE WHEN o_orderkey % 13 = 0 THEN 'synthetic' END, CASE WHEN o_totalprice / 5000 > 90 THEN 'coordinates' END, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' END, CASE WHEN o_orderstatus = 'P' THEN 'competitor_count' END], lambda x: x IS NOT NULL) AS r FROM orders)")
 def checked_report_status(spark, sf):
     """Orders as stored reports; the rules that they break follow from their own columns."""
-    stored = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("report_id"), F.expr(_STORED).alias("payload"))
+    dealt = table(spark, sf, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")  # few small files make many large payloads
+    stored = dealt.select(F.col("o_orderkey").cast("string").alias("report_id"), F.expr(_STORED).alias("payload"))
     got = report_rules.checked_status(stored)
     return got.select(F.col("report_id").cast("bigint").alias("report_id"), "status", F.array_join("rules", ",").alias("rules"))
 

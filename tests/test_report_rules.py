@@ -103,3 +103,30 @@ def test_each_broken_rule_makes_a_report_invalid(spark, sound):
     got = {r["report_id"]: (r["status"], r["rules"]) for r in report_rules.checked_status(spark.createDataFrame(rows, report_rules.REPORT_TEXT)).collect()}
     assert got["r0"] == ("ok", []) and got["none"][0] == "missing" and got["old"][0] == got["bad"][0] == "legacy" and got["other id"][0] == "invalid"
     assert {name: got[name] for name in BROKEN if got[name][0] != "invalid" or name not in got[name][1]} == {}
+
+
+def test_what_the_text_alone_rules_out(spark):
+    """Whatever synthetic_fields finds is suspect, escapes and spaces included; reports without such words are never opened."""
+    from pyspark.sql import functions as F
+
+    from rankforge.operators import nested
+
+    broken = ['{"a": [{"Uplift_by": 1}]}', '{"demoMode": null}', '{"provider" :\n "big \\"Demo\\" x"}', '{"policy": "sYnthetic"}', '{"d\\u0065moMode": 1}', '{"source": "m\\u006fck"}', '{"sourceType": "a, \\\\ mock"}', '{"provider": "x", "provider2": {"provider": "mock"}}']
+    sound = ['{"containsSyntheticData": false, "policy": "real-only", "title": "a mock demo"}', '{"provider": "x", "note": "synthetic"}', "{", None, '"demo"']
+    rows = spark.createDataFrame(list(enumerate([*broken, *sound])), "report_id int, payload string")
+    assert {r["report_id"] for r in nested.synthetic_fields(rows).collect()} == set(range(len(broken)))
+    assert [bool(r[0]) for r in rows.orderBy("report_id").select(nested.suspect(F.col("payload"))).collect()] == [True] * len(broken) + [False] * len(sound)
+
+
+def test_one_pass_over_payloads(spark, sound):
+    """Sources and cited ids of a report come with it, so no join and one parse; ids that are null or of another report are unknown."""
+    docs = [copy.deepcopy(sound) for _ in range(3)]
+    docs[1]["report"]["market"]["sourceIds"] = ["S1", None]
+    docs[2]["report"]["provenance"]["sources"] = docs[2]["report"]["provenance"]["sources"][:1]
+    rows = [(f"r{k}", json.dumps(d)) for k, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, report_rules.REPORT_TEXT)
+    found = report_rules.report_rules(df)
+    got = {(r["report_id"], r["part"]) for r in found.collect() if r["rule"] == "unknown"}
+    assert ("r1", "market") in got and ("r2", "recommendations") in got and not any(i == "r0" or (i, p) == ("r2", "market") for i, p in got)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "parse_json" not in plan
