@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +46,8 @@ def suspect(payload: Column) -> Column:
     Strings that an escape hides (\\uXXXX, or any in a source's own text) are suspect as well.
     """
     sources = rf'"(?:{"|".join(SOURCE_KEYS)})"\s*:\s*"[^"\\]*(?:\\|(?:{SYNTHETIC}))'
-    return payload.rlike("|".join([r"\\u", *FORBIDDEN_KEYS, f"(?:{FORBIDDEN_KEY_PART})", sources]))
+    words = [F.contains(payload, F.lit(x)) for x in ("\\u", *FORBIDDEN_KEYS)]  # cheaper than one pattern of all
+    return reduce(or_, [*words, payload.rlike(FORBIDDEN_KEY_PART), payload.rlike(sources)])
 
 
 def synthetic_fields(reports: DataFrame) -> DataFrame:

@@ -47,12 +47,12 @@ def _list(path: str, of: str = "v") -> Column:
 
 
 def opened(reports: DataFrame) -> DataFrame:
-    """(report_id, generated_at, v, payload) of reports (report_id, payload): v is the report as VARIANT, null if there is none.
+    """(report_id, is_json, generated_at, v, payload) of reports (report_id, payload): v is the report as VARIANT, null if there is none.
 
-    payload stays only where ``nested.suspect``, else it is null. Null payloads and those that are no JSON have no row.
+    payload stays only where ``nested.suspect``, else it is null. is_json is for a filter behind the table: before it, all is parsed twice.
     """
-    r = reports.select("report_id", F.try_parse_json("payload").alias("all"), F.when(nested.suspect(F.col("payload")), F.col("payload")).alias("payload")).where("all IS NOT NULL")
-    return r.select("report_id", _at("createdAt", "string", "all").alias("generated_at"), _at("report", "variant", "all").alias("v"), "payload")
+    r = reports.select("report_id", F.try_parse_json("payload").alias("all"), F.when(nested.suspect(F.col("payload")), F.col("payload")).alias("payload"))
+    return r.select("report_id", F.col("all").isNotNull().alias("is_json"), _at("createdAt", "string", "all").alias("generated_at"), _at("report", "variant", "all").alias("v"), "payload")
 
 
 def relations(r: DataFrame) -> dict[str, DataFrame]:
@@ -111,7 +111,7 @@ def _broken_rules(reports: DataFrame) -> DataFrame:
         df.write.parquet(f"{where}/{name}")
         return spark.read.schema(df.schema).parquet(f"{where}/{name}")
 
-    r = kept(opened(reports), "opened")  # payloads are parsed once
+    r = kept(opened(reports), "opened").where("is_json")  # payloads are parsed once
     rel = relations(r)
     suspects = r.select("report_id", "payload").where("payload IS NOT NULL")
     e, c = rel["envelope"], rel["citations"]
